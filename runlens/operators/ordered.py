@@ -2,8 +2,8 @@
 
 ``Window.partitionBy(key).orderBy(seq)`` sends every row of a key to one task. Here the rows of a key are
 cut into spans of ``seq`` first. Each (key, span) is scanned on its own, one small row per span is carried
-across the spans of the key, and the two are joined. ``seq`` is a whole number that is unique within the
-key, so a span never holds more than ``span`` rows, however many rows the key has.
+across the spans of the key, and the two are joined. Where ``seq`` is a whole number that is unique within
+the key, a span never holds more than ``span`` rows, however many rows the key has.
 """
 
 from __future__ import annotations
@@ -13,80 +13,91 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SPAN = 1 << 16
 _CHUNK = "__span"
 
 
-def same_keys(left: dict[str, Column] | list[Column], right: list[Column]) -> Column:
+def same_keys(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
 
 
 def scan(
     df: DataFrame,
     keys: list[str],
-    seq: str,
+    order: str | list[str],
     *,
     row_number: str | None = None,
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
     total: dict[str, str] | None = None,
     last: dict[str, str] | None = None,
-    span: int = SPAN,
+    span: float = SPAN,
+    settled: bool = False,
 ) -> DataFrame:
     """Add ordered columns to ``df``.
 
-    ``row_number``: name of the 1-based position within the key. ``lag`` / ``lead``: new name -> column,
-    value in the previous / next row. ``total``: new name -> column, running sum up to this row. ``last``:
-    new name -> column, latest value that is not null, this row included.
+    ``order`` must be unique within the key; spans are cut from its first column, a number (or a time,
+    counted in seconds), ``span`` units wide. ``row_number``: name of the 1-based position within the key.
+    ``lag`` / ``lead``: new name -> column, value in the previous / next row. ``total``: new name -> column,
+    running sum up to this row. ``last``: new name -> column, latest value that is not null, this row included.
+
+    The input is read twice. It is written to the shared folder first unless ``settled`` says that it is cheap to
+    read again (a table scan with projections and filters), so chained scans do not multiply their inputs.
     """
     lag, lead, total, last = lag or {}, lead or {}, total or {}, last or {}
-    base = df.withColumn(_CHUNK, F.floor(F.col(seq) / F.lit(span)).cast("long"))
+    order = [order] if isinstance(order, str) else order
+    first_type = dict(df.dtypes)[order[0]]
+    df = df if settled else cut(df)
+    first = F.unix_micros(order[0]) / 1000000 if first_type == "timestamp" else F.col(order[0])
+    base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
+    at = F.struct(*order)
 
     # one row per (key, span)
-    aggs = [F.min(seq).alias("__lo"), F.max(seq).alias("__hi")]
+    aggs = []
     if row_number:
         aggs.append(F.count(F.lit(1)).alias("__n"))
-    for i, col in enumerate(lag.values()):
-        aggs.append(F.max_by(F.struct(F.col(col).alias("v")), F.col(seq)).alias(f"__lag{i}"))
-    for i, col in enumerate(lead.values()):
-        aggs.append(F.min_by(F.struct(F.col(col).alias("v")), F.col(seq)).alias(f"__lead{i}"))
+    if lag:
+        aggs.append(F.max_by(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(lag.values())]), at).alias("__lag"))
+    if lead:
+        aggs.append(F.min_by(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(lead.values())]), at).alias("__lead"))
     for i, col in enumerate(total.values()):
         aggs.append(F.sum(col).alias(f"__sum{i}"))
     for i, col in enumerate(last.values()):
-        at = F.when(F.col(col).isNotNull(), F.col(seq))
-        aggs.append(F.max_by(F.col(col), at).alias(f"__last{i}"))
+        aggs.append(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), at)).alias(f"__last{i}"))
     spans = base.groupBy(*keys, _CHUNK).agg(*aggs)
 
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    carried += [F.col(_CHUNK).alias("__s"), "__lo", "__hi"]
+    carried = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] + [F.col(_CHUNK).alias("__s")]
     if row_number:
         carried.append(F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
-    carried += [F.lag(f"__lag{i}").over(across).alias(f"__lag{i}") for i in range(len(lag))]
-    carried += [F.lead(f"__lead{i}").over(across).alias(f"__lead{i}") for i in range(len(lead))]
-    for i, col in enumerate(total.values()):
+    if lag:
+        carried.append(F.lag("__lag").over(across).alias("__lag"))
+    if lead:
+        carried.append(F.lead("__lead").over(across).alias("__lead"))
+    for i in range(len(total)):
         zero = F.lit(0).cast(spans.schema[f"__sum{i}"].dataType)
         carried.append(F.coalesce(F.sum(f"__sum{i}").over(earlier), zero).alias(f"__sum{i}"))
     carried += [F.last(f"__last{i}", ignorenulls=True).over(earlier).alias(f"__last{i}") for i in range(len(last))]
     carry = spans.select(*carried)
 
     # inside each span
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(seq)
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = base
     cols: dict[str, Column] = {}
     if row_number:
         cols["__rn"] = F.row_number().over(inside).cast("long")
-    for i, col in enumerate(lag.values()):
-        cols[f"__plag{i}"] = F.lag(col).over(inside)
-    for i, col in enumerate(lead.values()):
-        cols[f"__plead{i}"] = F.lead(col).over(inside)
+    if lag:
+        cols["__plag"] = F.lag(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(lag.values())])).over(inside)
+    if lead:
+        cols["__plead"] = F.lead(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(lead.values())])).over(inside)
     for i, col in enumerate(total.values()):
         cols[f"__psum{i}"] = F.sum(col).over(upto)
     for i, col in enumerate(last.values()):
         cols[f"__plast{i}"] = F.last(col, ignorenulls=True).over(upto)
-    local = local.withColumns(cols)
+    local = base.withColumns(cols)
 
     on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
     both = local.join(carry, on, "inner")
@@ -95,9 +106,9 @@ def scan(
     if row_number:
         out.append((F.col("__rn") + F.col("__n")).alias(row_number))
     for i, name in enumerate(lag):
-        out.append(F.when(F.col(seq) == F.col("__lo"), F.col(f"__lag{i}.v")).otherwise(F.col(f"__plag{i}")).alias(name))
+        out.append(F.when(F.col("__plag").isNull(), F.col(f"__lag.v{i}")).otherwise(F.col(f"__plag.v{i}")).alias(name))
     for i, name in enumerate(lead):
-        out.append(F.when(F.col(seq) == F.col("__hi"), F.col(f"__lead{i}.v")).otherwise(F.col(f"__plead{i}")).alias(name))
+        out.append(F.when(F.col("__plead").isNull(), F.col(f"__lead.v{i}")).otherwise(F.col(f"__plead.v{i}")).alias(name))
     for i, name in enumerate(total):
         out.append((F.coalesce(F.col(f"__psum{i}"), F.lit(0)) + F.col(f"__sum{i}")).alias(name))
     for i, name in enumerate(last):
@@ -113,12 +124,20 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str | Non
     return out.withColumnRenamed("__rk", rank) if rank else out.drop("__rk")
 
 
-def islands(df: DataFrame, keys: list[str], seq: str, same_as: list[str], out: str, span: int = SPAN,
-            breaks: Column | None = None) -> DataFrame:
+def islands(
+    df: DataFrame,
+    keys: list[str],
+    seq: str | list[str],
+    same_as: list[str],
+    out: str,
+    span: float = SPAN,
+    breaks: Column | None = None,
+    settled: bool = False,
+) -> DataFrame:
     """Number the runs of neighbouring rows that agree on ``same_as`` (gaps and islands). A true ``breaks``
     starts a new run anyway. Numbers start at 1 in each key."""
     tagged = df.withColumn("__tag", F.struct(*same_as))
-    tagged = scan(tagged, keys, seq, lag={"__prev": "__tag"}, span=span)
+    tagged = scan(tagged, keys, seq, lag={"__prev": "__tag"}, span=span, settled=settled)
     new = F.col("__prev").isNull() | ~F.col("__tag").eqNullSafe(F.col("__prev"))
     if breaks is not None:
         new = new | F.coalesce(breaks, F.lit(False))

@@ -61,10 +61,11 @@ SELECT run_id, pos + 1 AS node,
        CASE WHEN event_type = 'error' AND k % 10 = 0 THEN concat('KeyError: ', k) END AS raised
 FROM ({EV}) e"""
 
-# line events of a run: eight calls, 25 events each
+# line events of a run: control moves between the calls 1, 3, 6 and 7 every ten events
+_B = "cast(floor(pos / 10) AS bigint)"
+_NODE = f"(1 + ({_B} * {_B} + {_B}) % 7)"
 LINES = f"""
-SELECT run_id, pos + 1 AS seq, cast(floor(pos / 25) AS bigint) + 1 AS node,
-       concat('f', (cast(floor(pos / 25) AS bigint) + 1) % 4, '.py') AS file,
+SELECT run_id, pos + 1 AS seq, {_NODE} AS node, concat('f', {_NODE} % 4, '.py') AS file,
        cast(floor(k * k / 6) AS bigint) % 17 + 1 AS line, floor(pos / 2) * 2.0E0 AS t_ms, event_type AS var, value, k, event_id,
        CASE WHEN event_type = 'error' AND k % 10 = 0 THEN concat('KeyError: ', k) END AS raised
 FROM ({EV}) e"""
@@ -87,7 +88,7 @@ FROM (SELECT cast(floor(o_orderkey / 60) AS bigint) AS run_id, {_I} AS i, o_orde
 
 # reads and writes of a run, before coalescing
 IO = f"""
-SELECT run_id, pos + 1 AS seq, cast(floor(pos / 25) AS bigint) + 1 AS node,
+SELECT run_id, pos + 1 AS seq, {_NODE} AS node,
        CASE WHEN event_type = 'purchase' THEN 'database' WHEN event_type = 'error' THEN 'file' ELSE 'api' END AS kind,
        CASE k % 5 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'connect' WHEN 3 THEN 'insert'
             ELSE 'read-after-write' END AS op,

@@ -61,19 +61,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), f"runlens-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never reused, so nothing is overwritten."""
-    return os.path.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
-
+    return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan with a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut the lineage: write the table once to the shared folder and read it back.
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: survives the loss of executors."""
+    The written table survives the loss of any executor, is read with column pruning, and keeps the plans of
+    iterative and multi-pass operators small. ``drop_scratch`` removes it when the job is done."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove everything this application wrote below the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
