@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import materialise
 
 SPAN = 1 << 16
 _CHUNK = "__span"
@@ -49,7 +49,7 @@ def scan(
     lag, lead, total, last = lag or {}, lead or {}, total or {}, last or {}
     order = [order] if isinstance(order, str) else order
     first_type = dict(df.dtypes)[order[0]]
-    df = df if settled else cut(df)
+    df = df if settled else materialise(df)
     first = F.unix_micros(order[0]) / 1000000 if first_type == "timestamp" else F.col(order[0])
     base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
     at = F.struct(*order)
@@ -127,7 +127,7 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str | Non
 def islands(
     df: DataFrame,
     keys: list[str],
-    seq: str | list[str],
+    order: str | list[str],
     same_as: list[str],
     out: str,
     span: float = SPAN,
@@ -135,11 +135,33 @@ def islands(
     settled: bool = False,
 ) -> DataFrame:
     """Number the runs of neighbouring rows that agree on ``same_as`` (gaps and islands). A true ``breaks``
-    starts a new run anyway. Numbers start at 1 in each key."""
-    tagged = df.withColumn("__tag", F.struct(*same_as))
-    tagged = scan(tagged, keys, seq, lag={"__prev": "__tag"}, span=span, settled=settled)
-    new = F.col("__prev").isNull() | ~F.col("__tag").eqNullSafe(F.col("__prev"))
-    if breaks is not None:
-        new = new | F.coalesce(breaks, F.lit(False))
-    tagged = tagged.withColumn("__new", F.when(new, 1).otherwise(0).cast("long"))
-    return scan(tagged, keys, seq, total={out: "__new"}, span=span).drop("__tag", "__prev", "__new")
+    starts a new run anyway. Numbers start at 1 in each key. Spans are numbered on their own; per span only the
+    first and last row and the number of runs are carried on."""
+    order = [order] if isinstance(order, str) else order
+    df = df if settled else materialise(df)
+    forced = F.lit(False) if breaks is None else F.coalesce(breaks, F.lit(False))
+    base = df.withColumns(
+        {_CHUNK: F.floor(F.col(order[0]) / F.lit(span)).cast("long"), "__tag": F.struct(*same_as), "__forced": forced}
+    )
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    local = base.withColumn("__prev", F.lag("__tag").over(inside))
+    new = F.col("__prev").isNotNull() & (F.col("__forced") | ~F.col("__tag").eqNullSafe(F.col("__prev")))
+    local = local.withColumn("__new", new.cast("long"))
+    local = local.withColumn("__upto", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = F.struct(*order)
+    spans = local.groupBy(*keys, _CHUNK).agg(
+        F.min_by(F.struct("__tag", "__forced"), at).alias("__first"),
+        F.max_by("__tag", at).alias("__last"),
+        F.sum("__new").alias("__runs"),
+    )
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    before = F.lag("__last").over(across)
+    edge = (before.isNull() | F.col("__first.__forced") | ~before.eqNullSafe(F.col("__first.__tag"))).cast("long")
+    spans = spans.withColumn("__edge", edge)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("__runs") + F.col("__edge")).over(earlier), F.lit(0).cast("long")) + F.col("__edge")
+    carry = spans.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("__s"), start.alias("__start")
+    )
+    on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
+    return local.join(carry, on).select(*[F.col(c) for c in df.columns], (F.col("__upto") + F.col("__start")).alias(out))

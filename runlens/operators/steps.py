@@ -90,16 +90,17 @@ def during(events: DataFrame, facts: DataFrame, span_ms: float = 60000.0) -> Dat
     before = both.filter((F.col("__side") == 0) & (F.col("__cur.t_end") >= F.col("t_ms"))).select(
         "run_id", "node", F.col("__cur.seq").alias("seq"), F.col("__id").alias("fact")
     )
-    same = events.select("run_id", "node", "t_ms", "seq").join(facts.select("run_id", "node", "t_ms", "fact"), ["run_id", "node", "t_ms"])
+    lasting = events.filter(F.col("t_end") >= F.col("t_ms"))
+    same = lasting.select("run_id", "node", "t_ms", "seq").join(facts.select("run_id", "node", "t_ms", "fact"), ["run_id", "node", "t_ms"])
     return before.unionByName(same.select("run_id", "node", "seq", "fact"))
 
 
 def call_site(probes: DataFrame, events: DataFrame, ancestry: DataFrame, span: float = SPAN) -> DataFrame:
-    """Last event before ``at`` in the nearest ancestor call that has one.
+    """Last event before ``at_seq`` in the nearest ancestor call that has one.
 
-    ``probes(run_id, node, at)``, ``events(run_id, node, seq)``, ``ancestry(run_id, node, ancestor, distance)``."""
+    ``probes(run_id, node, at_seq)``, ``events(run_id, node, seq)``, ``ancestry(run_id, node, ancestor, distance)``."""
     p = probes.join(ancestry, CALL).select(
-        "run_id", F.col("ancestor").alias("node"), F.col("at").alias("__o"), F.lit(0).alias("__side"),
+        "run_id", F.col("ancestor").alias("node"), F.col("at_seq").alias("__o"), F.lit(0).alias("__side"),
         F.col("node").alias("__call"), "distance", F.lit(None).cast("long").alias("__seq"),
     ).distinct()
     e = events.select(
@@ -108,7 +109,7 @@ def call_site(probes: DataFrame, events: DataFrame, ancestry: DataFrame, span: f
     )
     found = scan(p.unionByName(e), CALL, ["__o", "__side", "__call"], last={"__site": "__seq"}, span=span)
     hit = found.filter((F.col("__side") == 0) & F.col("__site").isNotNull())
-    return hit.groupBy("run_id", F.col("__call").alias("node"), F.col("__o").alias("at")).agg(
+    return hit.groupBy("run_id", F.col("__call").alias("node"), F.col("__o").alias("at_seq")).agg(
         F.min_by("__site", F.col("distance")).alias("site")
     )
 
@@ -117,7 +118,7 @@ def call_rows(events: DataFrame, paths: DataFrame, focused: DataFrame | None = N
     """Rows for calls entered and left between neighbouring events of a run.
 
     The stacks of the two events are compared: calls beyond the common part are left deepest first, then entered
-    outermost first, at the later event; open calls are left behind the last event (``at`` null).
+    outermost first, at the later event; open calls are left behind the last event (``at_seq`` null).
     ``paths(run_id, node, path)``; ``focused(run_id, node)`` limits the rows to these calls."""
     chains = paths.select("run_id", "node", F.transform("path", lambda x: x["node"]).alias("chain"))
     moved = scan(events.select("run_id", "seq", "node"), RUN, "seq", lag={"__prev": "node"}, lead={"__next": "seq"}, span=span)
@@ -133,7 +134,7 @@ def call_rows(events: DataFrame, paths: DataFrame, focused: DataFrame | None = N
     final = moved.filter(F.col("__next").isNull()).join(chains, CALL)
 
     def rows(df: DataFrame, calls: Column, kind: str, at: Column) -> DataFrame:
-        return df.select("run_id", at.alias("at"), F.lit(kind).alias("type"), F.posexplode(calls).alias("ord", "node"))
+        return df.select("run_id", at.alias("at_seq"), F.lit(kind).alias("type"), F.posexplode(calls).alias("ord", "node"))
 
     out = (
         rows(now, pops, "return", F.col("seq"))
@@ -149,7 +150,7 @@ def call_rows(events: DataFrame, paths: DataFrame, focused: DataFrame | None = N
         barrier = ends.join(shown, CALL, "left_anti").groupBy("run_id").agg(F.min("ord").alias("__barrier"))
         ends = ends.join(barrier, RUN, "left").filter(F.col("__barrier").isNull() | (F.col("ord") < F.col("__barrier"))).drop("__barrier")
     out = out.unionByName(ends)
-    return out.select("run_id", "at", "type", F.col("ord").cast("long").alias("ord"), "node")
+    return out.select("run_id", "at_seq", "type", F.col("ord").cast("long").alias("ord"), "node")
 
 
 def branch_taken(events: DataFrame, closure: DataFrame, span: float = SPAN) -> DataFrame:

@@ -66,7 +66,7 @@ _B = "cast(floor(pos / 10) AS bigint)"
 _NODE = f"(1 + ({_B} * {_B} + {_B}) % 7)"
 LINES = f"""
 SELECT run_id, pos + 1 AS seq, {_NODE} AS node, concat('f', {_NODE} % 4, '.py') AS file,
-       cast(floor(k * k / 6) AS bigint) % 17 + 1 AS line, floor(pos / 2) * 2.0E0 AS t_ms, event_type AS var, value, k, event_id,
+       CASE WHEN k < 80 THEN k % 8 ELSE k % 17 END + 1 AS line, floor(pos / 2) * 2.0E0 AS t_ms, event_type AS var, value, k, event_id,
        CASE WHEN event_type = 'error' AND k % 10 = 0 THEN concat('KeyError: ', k) END AS raised
 FROM ({EV}) e"""
 

@@ -129,7 +129,7 @@ df AS (SELECT mv.*, a.path AS a, b.path AS b,
        FROM mv JOIN ch a ON a.run_id = mv.run_id AND a.node = mv.prev JOIN ch b ON b.run_id = mv.run_id AND b.node = mv.node
        WHERE prev <> mv.node),
 cr AS (
-  SELECT run_id, seq AS at, 'return' AS type, unnest(range(len(a) - c)) AS ord, unnest(list_reverse(a[c + 1:])) AS node FROM df
+  SELECT run_id, seq AS at_seq, 'return' AS type, unnest(range(len(a) - c)) AS ord, unnest(list_reverse(a[c + 1:])) AS node FROM df
   UNION ALL
   SELECT run_id, seq, 'enter', unnest(range(len(b) - c)), unnest(b[c + 1:]) FROM df
   UNION ALL
@@ -139,7 +139,7 @@ cr AS (
 """
 
 
-@query("win12_call_rows", with_steps("SELECT run_id, at, type, ord, node FROM cr", _ROWS))
+@query("win12_call_rows", with_steps("SELECT run_id, at_seq, type, ord, node FROM cr", _ROWS))
 def _(t):
     return steps.call_rows(kept(t), paths(t))
 
@@ -147,25 +147,25 @@ def _(t):
 @query(
     "jn5_call_site",
     with_steps(
-        """SELECT run_id, node, at, site FROM (
-             SELECT cr.run_id, cr.node, cr.at, kp.seq AS site, row_number() OVER (PARTITION BY cr.run_id, cr.node, cr.at
+        """SELECT run_id, node, at_seq, site FROM (
+             SELECT cr.run_id, cr.node, cr.at_seq, kp.seq AS site, row_number() OVER (PARTITION BY cr.run_id, cr.node, cr.at_seq
                     ORDER BY list_position(c.path, kp.node) DESC, kp.seq DESC) AS rn
              FROM cr JOIN ch c ON c.run_id = cr.run_id AND c.node = cr.node
-                  JOIN kp ON kp.run_id = cr.run_id AND kp.seq < cr.at AND list_contains(c.path, kp.node) AND kp.node <> cr.node
+                  JOIN kp ON kp.run_id = cr.run_id AND kp.seq < cr.at_seq AND list_contains(c.path, kp.node) AND kp.node <> cr.node
              WHERE cr.type = 'enter') x WHERE rn = 1""",
         _ROWS,
     ),
 )
 def _(t):
     p, k = paths(t), kept(t)
-    enter = steps.call_rows(k, p).filter("type = 'enter'").select("run_id", "node", "at")
+    enter = steps.call_rows(k, p).filter("type = 'enter'").select("run_id", "node", "at_seq")
     up = trees.ancestors(p, RUN, "node").select("run_id", "node", "ancestor", "distance")
     return steps.call_site(enter, k.select("run_id", "node", "seq"), up)
 
 
 _RET = """
-rt AS (SELECT cr.*, coalesce(at, 1000000) AS lim FROM cr WHERE type = 'return'),
-rs AS (SELECT * FROM (SELECT rt.run_id, rt.node, rt.at, rt.ord, kp.seq AS site, row_number() OVER (PARTITION BY rt.run_id, rt.node, rt.at
+rt AS (SELECT cr.*, coalesce(at_seq, 1000000) AS lim FROM cr WHERE type = 'return'),
+rs AS (SELECT * FROM (SELECT rt.run_id, rt.node, rt.at_seq, rt.ord, kp.seq AS site, row_number() OVER (PARTITION BY rt.run_id, rt.node, rt.at_seq
          ORDER BY list_position(c.path, kp.node) DESC, kp.seq DESC) AS rn
        FROM rt JOIN ch c ON c.run_id = rt.run_id AND c.node = rt.node
             JOIN kp ON kp.run_id = rt.run_id AND kp.seq < rt.lim AND list_contains(c.path, kp.node) AND kp.node <> rt.node) WHERE rn = 1)
@@ -175,18 +175,18 @@ rs AS (SELECT * FROM (SELECT rt.run_id, rt.node, rt.at, rt.ord, kp.seq AS site,
 @query(
     "win13_changes_on_return",
     with_steps(
-        """SELECT run_id, site, arg_max(node, at * 1000 + ord) AS shown_on, max(at) AS at FROM rs WHERE at IS NOT NULL GROUP BY run_id, site""",
+        """SELECT run_id, site, arg_max(node, at_seq * 1000 + ord) AS shown_on, max(at_seq) AS at_seq FROM rs WHERE at_seq IS NOT NULL GROUP BY run_id, site""",
         _ROWS + "," + _RET,
     ),
 )
 def _(t):
     p, k = paths(t), kept(t)
-    rets = steps.call_rows(k, p).filter("type = 'return' AND at IS NOT NULL")
+    rets = steps.call_rows(k, p).filter("type = 'return' AND at_seq IS NOT NULL")
     up = trees.ancestors(p, RUN, "node").select("run_id", "node", "ancestor", "distance")
-    site = steps.call_site(rets.select("run_id", "node", "at"), k.select("run_id", "node", "seq"), up)
+    site = steps.call_site(rets.select("run_id", "node", "at_seq"), k.select("run_id", "node", "seq"), up)
     # the changes of a calling statement are shown on its last return
-    return rets.join(site, ["run_id", "node", "at"]).groupBy("run_id", "site").agg(
-        F.max_by("node", F.struct("at", "ord")).alias("shown_on"), F.max("at").alias("at")
+    return rets.join(site, ["run_id", "node", "at_seq"]).groupBy("run_id", "site").agg(
+        F.max_by("node", F.struct("at_seq", "ord")).alias("shown_on"), F.max("at_seq").alias("at_seq")
     )
 
 

@@ -70,11 +70,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Cut the lineage: write the table once to the shared folder and read it back.
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a loop with a reliable checkpoint: for the narrow state that a loop carries along."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The written table survives the loss of any executor, is read with column pruning, and keeps the plans of
-    iterative and multi-pass operators small. ``drop_scratch`` removes it when the job is done."""
+
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a wide table once to the shared folder and read it back.
+
+    It survives the loss of any executor, is read with column pruning, and keeps the plans of multi-pass operators
+    small. ``drop_scratch`` removes it when the job is done."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
