@@ -137,11 +137,18 @@ SELECT page_id, url,
 FROM {pages}"""
 
 
+_TABLE = re.compile(r"\{(" + "|".join(TABLE_NAMES) + r")\}")
+
+
 def spark_feed(t: Tables, text: str) -> DataFrame:
-    names = set(re.findall(r"\{(\w+)\}", text)) & set(TABLE_NAMES)
-    return t.spark.sql(text, **{n: getattr(t, n) for n in names})
+    names = set(_TABLE.findall(text))
+    # every other brace is text (JSON) and has to be doubled
+    parts = _TABLE.split(text)
+    parts[0::2] = [x.replace("{", "{{").replace("}", "}}") for x in parts[0::2]]
+    parts[1::2] = ["{" + x + "}" for x in parts[1::2]]
+    return t.spark.sql("".join(parts), **{n: getattr(t, n) for n in names})
 
 
 def oracle_feed(text: str) -> str:
     """The feed as a bracketed subquery on the table names themselves."""
-    return "(" + re.sub(r"\{(\w+)\}", r"\1", text) + ")"
+    return "(" + _TABLE.sub(r"\1", text) + ")"
