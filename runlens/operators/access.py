@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even, rate
 from ..functions.text import endpoint, is_log_line, log_fields, percent
+from .profile import one_row
 
 ALERT_RATE = 0.05
 
@@ -64,9 +65,8 @@ def alert(rates: DataFrame, threshold: float = ALERT_RATE, k: int = 5) -> DataFr
         ).alias("w")
     )
     body = F.array_join(F.transform("w", lambda x: F.concat(x["endpoint"], F.lit(": "), x["errors"], F.lit(" errors"))), "\n")
-    gate = decision(rates, threshold).filter("taken")
-    # both sides hold one row
-    return gate.join(lines, F.lit(True), "inner").select(
+    both = one_row([decision(rates, threshold), lines])
+    return both.filter("taken").select(
         F.concat(F.lit("Error rate "), percent(F.col("rate")), F.lit(" in last night's traffic")).alias("subject"),
         body.alias("body"),
     )

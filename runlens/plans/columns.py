@@ -133,9 +133,9 @@ def _(t):
     return spark_feed(t, feeds.EV).select("event_id", F.array_join(_SARR, " -> ").alias("path"))
 
 
-@query("top7_samples", "SELECT vec_id, [round(x, 4) FOR x IN embedding[1:5]] AS first FROM embeddings")
+@query("top7_samples", "SELECT vec_id, [round(x, 6) FOR x IN embedding[1:5]] AS first FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x, 4)).alias("first"))
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x, 6)).alias("first"))
 
 
 @dataclass(frozen=True)
