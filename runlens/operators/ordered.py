@@ -48,9 +48,10 @@ def scan(
     """
     lag, lead, total, last = lag or {}, lead or {}, total or {}, last or {}
     order = [order] if isinstance(order, str) else order
-    first_type = dict(df.dtypes)[order[0]]
     df = df if settled else materialise(df)
-    first = F.unix_micros(order[0]) / 1000000 if first_type == "timestamp" else F.col(order[0])
+    first = F.col(order[0])
+    if dict(df.dtypes)[order[0]].startswith("timestamp"):
+        first = F.unix_micros(first.cast("timestamp")) / 1000000
     base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
     at = F.struct(*order)
 

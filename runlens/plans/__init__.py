@@ -13,9 +13,6 @@ MODULES = [
 
 
 def all_queries():
-    import os
     for name in MODULES:
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), name + ".py")):
-            continue
         importlib.import_module(f"{__name__}.{name}")
     return QUERIES

@@ -146,8 +146,8 @@ def _(t):
     area.rename(target + "_a", target + "_b")
     area.remove(target + "_b")
     area.remove(target)
-    left = t.spark.read.parquet(target).agg(F.count(F.lit(1)).alias("left_rows"))
-    return area.ledger().select("seq", "op", "handled").join(F.broadcast(left))
+    left = t.spark.read.parquet(target).agg(F.count(F.lit(1))).scalar()
+    return area.ledger().select("seq", "op", "handled", left.alias("left_rows"))
 
 
 @query("snk9_effect_ledger", f"SELECT kind, op, count(*) AS n FROM {oracle_feed(feeds.IO)} i GROUP BY kind, op")
@@ -165,5 +165,5 @@ def _(t):
     target = scratch_path(t.spark, "nation")
     area = Staging(t.spark, scratch_path(t.spark, "staging"), live=True)
     area.write(t.nation, target)
-    n = t.spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n"))
-    return area.ledger().select("handled", effects.is_real_effect().alias("real")).join(F.broadcast(n))
+    n = t.spark.read.parquet(target).agg(F.count(F.lit(1))).scalar()
+    return area.ledger().select("handled", effects.is_real_effect().alias("real"), n.alias("n"))

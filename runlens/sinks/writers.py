@@ -71,7 +71,6 @@ def alert_pages(rows: DataFrame, pos: str, columns: list[str], page: int = 1000)
     numbered = scan(rows.withColumn("__all", F.lit(0)), ["__all"], pos, row_number="__n")
     paged = numbered.withColumn("page", F.floor((F.col("__n") - 1) / page).cast("long"))
     pages = paged.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("__n", *columns))).alias("x"))
-    total = rows.agg(F.count(F.lit(1)).alias("count"))
     items = F.transform("x", lambda r: F.struct(*[r[c].alias(c) for c in columns]))
-    # the other side is one number
-    return pages.join(F.broadcast(total)).select("page", F.to_json(F.struct("count", items.alias("stations"))).alias("payload"))
+    total = rows.agg(F.count(F.lit(1)).alias("count")).scalar()
+    return pages.select("page", F.to_json(F.struct(total.alias("count"), items.alias("stations"))).alias("payload"))
