@@ -89,7 +89,11 @@ def _(t):
 
 
 _ARR = "list_value(event_type, concat('k', k % 3), event_type, concat('k', k % 5))"
-_SARR = F.expr("array(event_type, concat('k', k % 3), event_type, concat('k', k % 5))")
+
+
+def _tags():
+    return F.expr("array(event_type, concat('k', k % 3), event_type, concat('k', k % 5))")
+
 
 
 @query(
@@ -109,17 +113,17 @@ def _(t):
     f"""SELECT event_id, CASE WHEN k % 3 = k % 5 THEN [event_type, concat('k', k % 3)] ELSE [event_type, concat('k', k % 3), concat('k', k % 5)] END AS xs FROM {_EVS} e""",
 )
 def _(t):
-    return spark_feed(t, feeds.EV).select("event_id", F.array_distinct(_SARR).alias("xs"))
+    return spark_feed(t, feeds.EV).select("event_id", F.array_distinct(_tags()).alias("xs"))
 
 
 @query("fn26_array_cap", f"SELECT event_id, {_ARR}[1:3] AS xs FROM {_EVS} e")
 def _(t):
-    return spark_feed(t, feeds.EV).select("event_id", F.slice(_SARR, 1, 3).alias("xs"))
+    return spark_feed(t, feeds.EV).select("event_id", F.slice(_tags(), 1, 3).alias("xs"))
 
 
 @query("fn27_array_minus", f"SELECT event_id, CASE WHEN k % 5 = k % 3 THEN [concat('k', k % 3)] ELSE [concat('k', k % 3), concat('k', k % 5)] END AS xs FROM {_EVS} e")
 def _(t):
-    return spark_feed(t, feeds.EV).select("event_id", F.array_except(_SARR, F.array("event_type")).alias("xs"))
+    return spark_feed(t, feeds.EV).select("event_id", F.array_except(_tags(), F.array("event_type")).alias("xs"))
 
 
 @query("fn28_keys", "SELECT event_id, json_keys(props) AS keys, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
@@ -130,7 +134,7 @@ def _(t):
 
 @query("fn29_joined_names", f"SELECT event_id, array_to_string({_ARR}, ' -> ') AS path FROM {_EVS} e")
 def _(t):
-    return spark_feed(t, feeds.EV).select("event_id", F.array_join(_SARR, " -> ").alias("path"))
+    return spark_feed(t, feeds.EV).select("event_id", F.array_join(_tags(), " -> ").alias("path"))
 
 
 @query("top7_samples", "SELECT vec_id, [round(x, 6) FOR x IN embedding[1:5]] AS first FROM embeddings")

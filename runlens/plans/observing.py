@@ -152,3 +152,15 @@ def _(t):
 def _(t):
     df = t.documents.select("doc_id", "lang", F.col("source").alias("secret"))
     return profile.summarise_columns(df, ["doc_id", "lang", "secret"])
+
+
+@query(
+    "obs14_schema_profile",
+    """SELECT * FROM (SELECT 'o_orderkey' AS name, 'bigint' AS dtype, 0 AS pos, count(o_orderkey) AS filled FROM orders
+       UNION ALL SELECT 'o_custkey', 'bigint', 1, count(o_custkey) FROM orders UNION ALL SELECT 'o_orderstatus', 'string', 2, count(o_orderstatus) FROM orders
+       UNION ALL SELECT 'o_totalprice', 'double', 3, count(o_totalprice) FROM orders UNION ALL SELECT 'o_orderpriority', 'string', 4, count(o_orderpriority) FROM orders) x""",
+)
+def _(t):
+    # names and types come from the plan alone; the filled values beside them need the rows
+    lazy = t.orders.drop("o_orderdate")
+    return profile.schema_profile(lazy).join(profile.filled(lazy).select("name", "filled"), "name")
