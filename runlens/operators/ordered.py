@@ -166,3 +166,33 @@ def islands(
     )
     on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
     return local.join(carry, on).select(*[F.col(c) for c in df.columns], (F.col("__upto") + F.col("__start")).alias(out))
+
+
+def value_before_run(
+    df: DataFrame, keys: list[str], order: str | list[str], col: str, out: str, span: float = SPAN, settled: bool = False
+) -> DataFrame:
+    """The value of ``col`` that preceded the current run of equal values; null in the first run of a key.
+
+    Inside a span it is the value before the latest change. A span without a change takes over what the spans before
+    it ended with."""
+    order = [order] if isinstance(order, str) else order
+    df = df if settled else materialise(df)
+    base = df.withColumn(_CHUNK, F.floor(F.col(order[0]) / F.lit(span)).cast("long"))
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.withColumn("__prev", F.lag(col).over(inside))
+    local = local.withColumn("__changed", F.when(F.col("__prev") != F.col(col), F.col("__prev")))
+    local = local.withColumn("__local", F.last("__changed", ignorenulls=True).over(upto))
+    at = F.struct(*order)
+    spans = local.groupBy(*keys, _CHUNK).agg(
+        F.min_by(col, at).alias("__first"), F.max_by(col, at).alias("__end"), F.max_by("__local", at).alias("__before")
+    )
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    was = F.lag("__end").over(across)
+    spans = spans.withColumn("__edge", F.when(was != F.col("__first"), was))
+    handed = F.last(F.coalesce("__before", "__edge"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    carry = spans.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("__s"), F.coalesce(F.col("__edge"), handed).alias("__start")
+    )
+    on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
+    return local.join(carry, on).select(*[F.col(c) for c in df.columns], F.coalesce("__local", "__start").alias(out))

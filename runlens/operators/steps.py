@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import SPAN, first_k, islands, scan
+from .ordered import SPAN, first_k, islands, scan, value_before_run
 
 RUN = ["run_id"]
 CALL = ["run_id", "node"]
@@ -64,9 +64,8 @@ def drop_tails(events: DataFrame, closure: DataFrame, span: float = SPAN) -> Dat
     cols = events.columns
     ahead = _inside(scan(events, CALL, "seq", lead={"__next": "stmt"}, span=span), closure, "__next", "stmt", "__into")
     tail = F.col("kind").isin("for", "while") & (F.col("occurrence") > 1) & F.col("__into").isNull()
-    body = scan(ahead.filter(~tail), CALL, "seq", lag={"__prev": "stmt"}, span=span)
-    body = body.withColumn("__other", F.when(F.col("__prev") != F.col("stmt"), F.col("__prev")))
-    body = _inside(scan(body, CALL, "seq", last={"__before": "__other"}, span=span), closure, "__before", "stmt", "__from")
+    body = value_before_run(ahead.filter(~tail).select(cols), CALL, "seq", "stmt", "__before", span)
+    body = _inside(body, closure, "__before", "stmt", "__from")
     return body.filter(~((F.col("kind") == "with") & F.col("__from").isNotNull())).select(cols)
 
 

@@ -15,7 +15,7 @@ def tree_paths(df: DataFrame, keys: list[str], node: str, parent: str, payload:
     Pointers are doubled each round (parent, grandparent, 4th ancestor, ...), so a tree of depth d needs
     log2(d) joins. The join key is one node, so a big run or a parent with many children is spread."""
     item = F.struct(F.col(node).alias("node"), *(payload or []))
-    state = cut(df.select(*keys, F.col(node).alias("__n"), F.col(parent).alias("__up"), F.array(item).alias("path")))
+    state = df.select(*keys, F.col(node).alias("__n"), F.col(parent).alias("__up"), F.array(item).alias("path"))
     while not state.filter(F.col("__up").isNotNull()).isEmpty():
         above = state.select(
             *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],

@@ -60,6 +60,21 @@ def test_islands(spark, span):
     assert got == want
 
 
+@pytest.mark.parametrize("span", [1, 3, 100000])
+def test_value_before_run(spark, span):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "key string, seq long, v long, tag string")
+    got = {r.seq: r.before for r in ordered.value_before_run(df, ["key"], "seq", "tag", "before", span).collect()}
+    want = {}
+    for group in by_key(rows).values():
+        before = prev = None
+        for _, seq, _, tag in group:
+            before = prev if prev is not None and prev != tag else before
+            want[seq] = before
+            prev = tag
+    assert got == want
+
+
 def test_scan_of_nothing(spark):
     df = spark.createDataFrame([], "key string, seq long, v long")
     assert ordered.scan(df, ["key"], "seq", row_number="rn", total={"s": "v"}).collect() == []
