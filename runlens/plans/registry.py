@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import materialise, tune
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -23,10 +23,17 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = tune(spark)
         self.path = path
+        self._stages: dict[str, DataFrame] = {}
 
     def file(self, name: str) -> str:
         return f"{self.path}/{name}.parquet"
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage that one query uses several times: written once, read as often as needed."""
+        if name not in self._stages:
+            self._stages[name] = materialise(build(), name)
+        return self._stages[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)

@@ -15,11 +15,11 @@ RUN = ["run_id"]
 
 
 def lines(t):
-    return spark_feed(t, feeds.LINES)
+    return t.once("lines", lambda: spark_feed(t, feeds.LINES))
 
 
 def stmts(t):
-    return spark_feed(t, feeds.STATEMENTS)
+    return t.once("statements", lambda: spark_feed(t, feeds.STATEMENTS))
 
 
 def nodes(t):
@@ -27,11 +27,11 @@ def nodes(t):
 
 
 def closure(t):
-    return trees.block_ancestors(stmts(t), RUN)
+    return t.once("closure", lambda: trees.block_ancestors(stmts(t), RUN))
 
 
 def tagged(t):
-    return steps.tag_islands(steps.map_lines(lines(t), stmts(t)))
+    return t.once("tagged", lambda: steps.tag_islands(steps.map_lines(lines(t), stmts(t))))
 
 
 def occurred(t):
@@ -40,16 +40,16 @@ def occurred(t):
 
 
 def kept(t, c=None):
-    return steps.drop_tails(occurred(t), closure(t) if c is None else c)
+    return t.once("kept", lambda: steps.drop_tails(occurred(t), closure(t) if c is None else c))
 
 
 def paths(t):
-    return trees.tree_paths(nodes(t), RUN, "node", "parent")
+    return t.once("paths", lambda: trees.tree_paths(nodes(t), RUN, "node", "parent"))
 
 
 @query("jn2_line_statement", with_steps("SELECT run_id, seq, file, line, stmt FROM mp"))
 def _(t):
-    return steps.map_lines(lines(t), stmts(t)).select("run_id", "seq", "file", "line", "stmt")
+    return steps.map_lines(spark_feed(t, feeds.LINES), spark_feed(t, feeds.STATEMENTS)).select("run_id", "seq", "file", "line", "stmt")
 
 
 @query("win5_islands", with_steps("SELECT run_id, seq, island, node, stmt FROM isl"))

@@ -86,9 +86,13 @@ def _(t):
         WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, parent, fn ORDER BY node) <= 3) x GROUP BY run_id, parent, fn""",
 )
 def _(t):
-    out = append_run(S.first_calls(spark_feed(live(t), WIDE).filter("parent is not null")), *places(t, "first"))
+    (out, state), seen = places(t, "first"), scratch_path(t.spark, "seen")
+    each_batch(spark_feed(live(t), WIDE).filter("parent is not null"), state, S.first_calls_batch(t.spark, seen, out))
+    keys = ["run_id", "parent", "fn"]
     # at most three nodes per key
-    return out.groupBy("run_id", "parent", "fn").agg((F.max("seen") - 3).alias("more"), F.array_sort(F.collect_list("node")).alias("nodes"))
+    kept = t.spark.read.parquet(out).groupBy(*keys).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    more = t.spark.read.parquet(seen).groupBy(*keys).agg((F.sum("n") - 3).alias("more"))
+    return kept.join(more, keys)
 
 
 # starts and ends of calls of three threads per run

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numbers import exact_mean, half_even
 from ..operators.access import ALERT_RATE, alert, endpoint_rates, parse
+from ..operators.ordered import first_k
+from ..sinks.writers import exists
 
 DETAIL = 3
 
@@ -34,39 +36,26 @@ def drop_repeats(readings: DataFrame, delay: str) -> DataFrame:
     return readings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["station_id", "timestamp"])
 
 
-def _partial_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Before the shuffle: per batch of rows and key at most three candidates, plus one row that counts them all."""
+def first_calls_batch(spark: SparkSession, state: str, out: str):
+    """Batch function: the first three calls per (run, parent, function) are kept, all are counted.
+
+    The counts of the batches before are the state, kept as a table in the shared folder. Both writes belong to one
+    batch number, so a batch that runs again changes nothing. The limit and the counts are taken before the shuffle,
+    so a hot key sends at most three rows and one number per task."""
     keys = ["run_id", "parent", "fn"]
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pdf = pdf.sort_values("node")
-        total = pdf.groupby(keys, as_index=False, dropna=False).agg(n=("node", "size"))
-        first = pdf.groupby(keys, dropna=False).head(DETAIL)[keys + ["node"]].assign(n=0)
-        yield pd.concat([first, total.assign(node=None)])[keys + ["node", "n"]].astype({"node": "Int64", "n": "int64"})
-
-
-def _keep_first(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a key: how many calls were kept, how many were seen."""
-    kept, seen = state.get if state.exists else (0, 0)
-    nodes: list[int] = []
-    for pdf in batches:
-        seen += int(pdf["n"].sum())
-        nodes = sorted(nodes + [int(x) for x in pdf["node"].dropna()])[: DETAIL - kept]
-    kept += len(nodes)
-    state.update((kept, seen))
-    run, parent, fn = key
-    rows = [(run, parent, fn, n, None) for n in nodes] + [(run, parent, fn, None, seen)]
-    out = pd.DataFrame(rows, columns=["run_id", "parent", "fn", "node", "seen"])
-    yield out.astype({"run_id": "int64", "parent": "int64", "node": "Int64", "seen": "Int64"})
-
-
-def first_calls(calls: DataFrame) -> DataFrame:
-    """First three calls per (run, parent, function) with their node, and one row per batch with the calls seen so far."""
-    part = calls.select("run_id", "parent", "fn", "node").mapInPandas(_partial_first, "run_id long, parent long, fn string, node long, n long")
-    return part.groupBy("run_id", "parent", "fn").applyInPandasWithState(
-        _keep_first, "run_id long, parent long, fn string, node long, seen long", "kept int, seen long", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def run(df: DataFrame, batch: int) -> None:
+        df = df.select(*keys, "node").persist()
+        first = first_k(df, keys, ["node"], DETAIL, "rank")
+        if exists(spark, state):
+            before = spark.read.option("basePath", state).parquet(state).filter(F.col("batch") < batch)
+            before = before.groupBy(*keys).agg(F.sum("n").alias("seen"))
+            first = first.join(before, keys, "left").filter(F.col("rank") + F.coalesce("seen", F.lit(0)) <= DETAIL).drop("seen")
+        first.select(*keys, "node").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{state}/batch={batch}")
+        df.unpersist()
+
+    return run
 
 
 def match_calls(stack: list[tuple[int, str, float]], events) -> tuple[list[tuple], list[tuple]]:
@@ -120,8 +109,6 @@ def late_batch(spark, marks: str, out: str, delay_seconds: int):
     """Batch function: rows older than the watermark of the batches before go to a side table, the others on."""
 
     def run(df: DataFrame, batch: int) -> None:
-        from ..sinks.writers import exists
-
         top = None
         if exists(spark, marks):
             top = spark.read.parquet(marks).filter(F.col("batch") < batch).agg(F.max("top")).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.operators import access, effects
 from runlens.session import scratch_path
 from runlens.streaming import operators as S
-from runlens.streaming.runner import append_run, file_stream, update_run
+from runlens.streaming.runner import append_run, each_batch, file_stream, update_run
 
 
 def arrivals(spark, batches, schema):
@@ -53,8 +53,11 @@ def test_first_calls_across_batches(spark):
     r = random.Random(2)
     rows = [(1, 1 if i % 3 else 2, r.choice("fg"), i) for i in range(90)]
     df, live = arrivals(spark, [rows[:10], rows[10:11], rows[11:]], "run_id long, parent long, fn string, node long")
-    out = append_run(S.first_calls(live), *place(spark))
-    got = {(x.parent, x.fn): (sorted(x.nodes), x.seen) for x in out.groupBy("parent", "fn").agg(F.collect_list("node").alias("nodes"), F.max("seen").alias("seen")).collect()}
+    (out, state), seen = place(spark), scratch_path(spark, "seen")
+    each_batch(live, state, S.first_calls_batch(spark, seen, out))
+    nodes = {(x.parent, x.fn): sorted(x.nodes) for x in spark.read.parquet(out).groupBy("parent", "fn").agg(F.collect_list("node").alias("nodes")).collect()}
+    counts = {(x.parent, x.fn): x.n for x in spark.read.parquet(seen).groupBy("parent", "fn").agg(F.sum("n").alias("n")).collect()}
+    got = {k: (nodes[k], counts[k]) for k in nodes}
     want = {}
     for _, p, f, n in rows:
         nodes, seen = want.get((p, f), ([], 0))
