@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, is_written, written
 from .ordered import SPAN, first_k, islands, scan, value_before_run
 
 RUN = ["run_id"]
@@ -83,9 +83,10 @@ def during(events: DataFrame, facts: DataFrame, span_ms: float = 60000.0) -> Dat
     Events of a call follow each other in time. A fact therefore belongs to the last event that began before it
     (one ordered scan) and to the events that began at the same instant (one equality join): no pair is tried that is
     not a result."""
+    events, facts = written(events), written(facts)
     e = events.select("run_id", "node", "t_ms", F.lit(1).alias("__side"), F.col("seq").alias("__id"), F.struct("seq", "t_end").alias("__ev"))
     f = facts.select("run_id", "node", "t_ms", F.lit(0).alias("__side"), F.col("fact").alias("__id"), F.lit(None).cast(e.schema["__ev"].dataType).alias("__ev"))
-    both = scan(e.unionByName(f), CALL, ["t_ms", "__side", "__id"], last={"__cur": "__ev"}, span=span_ms)
+    both = scan(e.unionByName(f), CALL, ["t_ms", "__side", "__id"], last={"__cur": "__ev"}, span=span_ms, settled=True)
     before = both.filter((F.col("__side") == 0) & (F.col("__cur.t_end") >= F.col("t_ms"))).select(
         "run_id", "node", F.col("__cur.seq").alias("seq"), F.col("__id").alias("fact")
     )
@@ -120,7 +121,10 @@ def call_rows(events: DataFrame, paths: DataFrame, focused: DataFrame | None = N
     outermost first, at the later event; open calls are left behind the last event (``at_seq`` null).
     ``paths(run_id, node, path)``; ``focused(run_id, node)`` limits the rows to these calls."""
     chains = paths.select("run_id", "node", F.transform("path", lambda x: x["node"]).alias("chain"))
-    moved = scan(events.select("run_id", "seq", "node"), RUN, "seq", lag={"__prev": "node"}, lead={"__next": "seq"}, span=span)
+    moved = scan(
+        events.select("run_id", "seq", "node"), RUN, "seq", lag={"__prev": "node"}, lead={"__next": "seq"}, span=span, settled=is_written(events)
+    )
+    moved = written(moved)
     now = moved.filter(F.col("__prev").isNotNull() & (F.col("__prev") != F.col("node")))
     now = now.join(chains, CALL).join(
         chains.select("run_id", F.col("node").alias("__prev"), F.col("chain").alias("__was")), ["run_id", "__prev"]
@@ -171,7 +175,8 @@ def loop_spans(events: DataFrame, closure: DataFrame, stmts: DataFrame, counts:
     )
     iters = first_line.join(counts, ["run_id", "line"]).select("run_id", "node", "loop", F.col("n").alias("iterations"))
     # where a loop is left: an event in it whose next event is not. One row per event and enclosing loop.
-    nexts = scan(events.select("run_id", "node", "stmt", "seq"), CALL, "seq", lead={"__next": "stmt", "__at": "seq"})
+    events = written(events)
+    nexts = scan(events.select("run_id", "node", "stmt", "seq"), CALL, "seq", lead={"__next": "stmt", "__at": "seq"}, settled=True)
     in_loop = closure.select("run_id", "stmt", F.col("ancestor").alias("loop"))
     loops = heads.select("run_id", "loop").distinct()
     in_loop = in_loop.join(loops, ["run_id", "loop"], "left_semi").unionByName(loops.withColumn("stmt", F.col("loop")))
@@ -199,12 +204,13 @@ def first_disjoint(spans: DataFrame, keys: list[str], start: str, stop: str, spa
 
     Each span points to the first span that begins at or behind its end; pointers are doubled, so log2(spans) rounds
     mark all that hang on the first one. A null ``stop`` reaches to the end."""
+    spans = written(spans)
     mark = spans.select(*keys, F.col(start).alias("__o"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__id"))
     ask = spans.filter(F.col(stop).isNotNull()).select(*keys, F.col(stop).alias("__o"), F.lit(0).alias("__side"), F.col(start).alias("__id"))
     # next span start at or behind the end: scan from the right, so order by the negative position
     both = ask.unionByName(mark).withColumns({"__neg": -F.col("__o"), "__pos": F.when(F.col("__side") == 1, F.col("__o"))})
     both = both.withColumn("__rank", -F.col("__side"))
-    nxt = scan(both, keys, ["__neg", "__rank", "__id"], last={"__to": "__pos"}, span=span).filter("__side = 0")
+    nxt = scan(both, keys, ["__neg", "__rank", "__id"], last={"__to": "__pos"}, span=span, settled=True).filter("__side = 0")
     jump = cut(nxt.select(*keys, F.col("__id").alias("__from"), "__to").filter(F.col("__to").isNotNull()))
     taken = cut(spans.groupBy(*keys).agg(F.min(start).alias("__from")))
     n = taken.count()
@@ -224,6 +230,7 @@ def hidden_by_loops(events: DataFrame, spans: DataFrame, span: float = SPAN) ->
     """Events hidden by a collapsed loop: more than three iterations and a second header; the events from that
     header to the end of the loop, whatever call they belong to. Taken spans do not overlap, so one ordered scan
     finds the span an event lies in."""
+    events = written(events)
     collapsed = first_disjoint(spans.filter((F.col("iterations") > DETAIL) & F.col("second").isNotNull()), RUN, "start", "stop", span)
     c = collapsed.select(
         "run_id", F.col("second").alias("__o"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("seq"),
@@ -232,7 +239,7 @@ def hidden_by_loops(events: DataFrame, spans: DataFrame, span: float = SPAN) ->
     e = events.select(
         "run_id", F.col("seq").alias("__o"), F.lit(1).alias("__side"), "seq", F.lit(None).cast(c.schema["__loop"].dataType).alias("__loop")
     )
-    both = scan(c.unionByName(e), RUN, ["__o", "__side"], last={"__cur": "__loop"}, span=span)
+    both = scan(written(c).unionByName(e), RUN, ["__o", "__side"], last={"__cur": "__loop"}, span=span, settled=True)
     return both.filter(
         (F.col("__side") == 1) & F.col("__cur").isNotNull() & (F.col("__cur.stop").isNull() | (F.col("seq") < F.col("__cur.stop")))
     ).select("run_id", "seq", F.col("__cur.start").alias("hidden_by"))

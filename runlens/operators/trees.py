@@ -105,7 +105,7 @@ def walk_order(sites: DataFrame, entry: DataFrame, key: str) -> DataFrame:
         best = cut(best.join(frontier.select(key, "fn"), [key, "fn"], "left_anti").unionByName(frontier))
 
 
-def fit_budget(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int, window: int = 4096) -> DataFrame:
+def fit_budget(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int, window: int = 1000) -> DataFrame:
     """Greedy budget in order: an item is kept if it still fits; later, smaller ones may still fit.
 
     Each round takes the next ``window`` items of a key that could fit at all and folds them in one bounded

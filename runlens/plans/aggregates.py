@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names, sql_text
+from ..functions import sql_text
 from ..operators import calls, effects, trees
 from . import feeds
 from .feeds import oracle_feed, spark_feed

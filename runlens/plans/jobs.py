@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import half_even, rate, reorder_quantity
+from ..functions.numbers import half_even, reorder_quantity
 from ..functions.text import endpoint, percent
 from ..operators import access, readings, stock
 from . import feeds

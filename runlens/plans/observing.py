@@ -10,7 +10,7 @@ from . import feeds
 from .feeds import oracle_feed, spark_feed
 from .jobs import _CTE, S
 from .registry import query
-from .text import SECRET, sql_redact, sql_short
+from .text import sql_redact, sql_short
 
 _CELL = lambda c: f"coalesce({sql_short(sql_redact(c), 24)}, 'None')"
 

@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merging two change maps: the later value wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # the first k rows of a key are cut on the map side up to the largest cap of a recording
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 
@@ -83,7 +85,18 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     small. ``drop_scratch`` removes it when the job is done."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.is_written = True
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether this very table came from ``materialise``: it can be read again for the price of a scan."""
+    return getattr(df, "__dict__", {}).get("is_written", False)
+
+
+def written(df: DataFrame, label: str = "stage") -> DataFrame:
+    return df if is_written(df) else materialise(df, label)
 
 
 def drop_scratch(spark: SparkSession) -> None:

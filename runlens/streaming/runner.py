@@ -35,9 +35,13 @@ def each_batch(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int]
 
 
 def file_stream(spark: SparkSession, schema, path: str, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Files as they arrive. A micro-batch is bounded, in files or else in bytes, so that what one key brings into one
+    batch is bounded too."""
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", 256 * 1024 * 1024)
     return reader.parquet(path)
