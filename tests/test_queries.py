@@ -8,7 +8,7 @@ import oracle
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # these need more rows than the smallest tables hold to give any row
-SPARSE = {"win11_loop_collapse", "agg14_loop_effect", "jn9_links"}
+SPARSE = {"chk11_budget", "win11_loop_collapse", "agg14_loop_effect", "jn9_links"}
 
 
 @pytest.fixture(scope="module")
