@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..session import written
 from .rows import ID, TIE, give, keyed, text_of
 
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: between words, and a character of a word, before A-Z are in lower case
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: fixed values: phrase words and their label
@@ -78,29 +80,34 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def held_words(known: list[Template]) -> str:
+    """A pattern for line feeds and the words of the templates, whole words in any case, grouped by first letter."""
+    by: dict[str, set[str]] = {}
+    for w in {w for t in known for w in t.words}:
+        by.setdefault(w[0], set()).add(w[1:])
+    either = "|".join(first + "(?:" + "|".join(sorted(rest, reverse=True)) + ")" for first, rest in sorted(by.items()))
+    return rf"\n|(?i)(?<!{WORD})(?:{either})(?!{WORD})"
+
+
 def blocks(docs: DataFrame, text: str, known: list[Template]) -> DataFrame:
-    """``__id, __tie, n_words``, ``marks`` (the phrase words with their places) and ``blocks`` (number, and the distinct
-    template words held; -1 is the whole text). Blocks that hold too few words for any template are left out."""
+    """``__id, __tie, n_words``, ``blocks`` (number, and the distinct template words held; -1 is the whole text) and
+    ``words`` (null where the text holds too few phrase words). Blocks with too few words for any template are left out."""
     phrase_words = sorted({w for t in known if t.whole for w in t.words})
     sentence_words = sorted({w for t in known if not t.whole for w in t.words})
-    least = min([t.need for t in known if not t.whole], default=1)
-    least_whole = min([t.need for t in known if t.whole], default=1)
-    lines = F.split(lower_case(text_of(text)), "\n")
-    per_line = F.transform(lines, lambda line: F.filter(F.split(line, SEPARATOR), lambda w: w != ""))
-    rows = docs.select(ID, TIE, per_line.alias("lines")).select(ID, TIE, "lines", F.flatten("lines").alias("words"))
-    placed = F.transform("words", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("w")))
-    marks = F.filter(placed, lambda m: m["w"].isin(phrase_words))
-    held = F.transform(
-        "lines",
-        lambda words, i: F.struct(i.cast("long").alias("block"), F.array_intersect(words, strings(sentence_words)).alias("held")),
-    )
-    rows = rows.select(
-        ID, TIE, F.size("words").cast("long").alias("n_words"), marks.alias("marks"),
-        F.filter(held, lambda b: F.size(b["held"]) >= least).alias("lines"),
-    )
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.array_distinct(F.transform("marks", lambda m: m["w"])).alias("held")))
-    whole = F.filter(whole, lambda b: F.size(b["held"]) >= least_whole)
-    return rows.select(ID, TIE, "n_words", "marks", F.concat("lines", whole).alias("blocks"))
+    least, least_whole = (min([t.need for t in known if t.whole == w], default=1) for w in (False, True))
+    body = text_of(text)
+    stream = F.lower(F.array_join(F.regexp_extract_all(body, F.lit(held_words(known)), F.lit(0)), " "))
+    rows = docs.select(ID, TIE, body.alias("body"), F.size(F.array_remove(F.split(body, SEPARATOR), "")).cast("long").alias("n_words"), stream.alias("s"))
+    lines = F.transform(F.split("s", "\n"), lambda line, i: F.struct(i.cast("long").alias("block"), F.split(line, " ").alias("held")))
+    lines = F.filter(lines, lambda b: F.size(b["held"]) >= least)
+    lines = F.transform(lines, lambda b: F.struct(b["block"].alias("block"), F.array_intersect(b["held"], strings(sentence_words)).alias("held")))
+    whole = F.array_intersect(F.split(F.translate("s", "\n", " "), " "), strings(phrase_words))
+    rows = rows.select(ID, TIE, "body", "n_words", lines.alias("lines"), whole.alias("whole"))
+    enough = F.size("whole") >= least_whole
+    whole = F.when(enough, F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.col("whole").alias("held"))))
+    words = F.when(enough, F.regexp_extract_all(lower_case(F.col("body")), F.lit(WORD + "+"), F.lit(0)))
+    found = F.concat(F.filter("lines", lambda b: F.size(b["held"]) >= least), F.coalesce(whole, F.filter("lines", lambda b: F.lit(False))))
+    return rows.select(ID, TIE, "n_words", found.alias("blocks"), words.alias("words"))
 
 
 def frequencies(found: DataFrame, known: list[Template]) -> list[str]:
@@ -137,17 +144,17 @@ def join(found: DataFrame, known: list[Template]) -> DataFrame:
     return checked.select(ID, TIE, "block", "template", (F.size("shared") / F.col("size")).alias("share"))
 
 
-def places(marks: str, words: tuple[str, ...]) -> Column:
-    """Starts of consecutive ``words``; ``marks`` hold every place of each of them."""
+def places(words: str, phrase: tuple[str, ...]) -> Column:
+    """Where the words of the phrase stand consecutively."""
+    every = F.transform(words, lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("w")))
 
-    def starts(m: Column, i: Column) -> Column:
-        hit = m["w"] == words[0]
-        for k, w in enumerate(words[1:], 1):
-            following = F.get(F.col(marks), i + k)
-            hit = hit & F.coalesce((following["at"] == m["at"] + k) & (following["w"] == w), F.lit(False))
+    def start(m: Column) -> Column:
+        hit = m["w"] == phrase[0]
+        for k, w in enumerate(phrase[1:], 1):
+            hit = hit & F.coalesce(F.get(F.col(words), (m["at"] + k).cast("int")) == w, F.lit(False))
         return hit
 
-    return F.transform(F.filter(marks, starts), lambda m: m["at"])
+    return F.transform(F.filter(every, start), lambda m: m["at"])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: list[Template] | None = None) -> DataFrame:
@@ -155,13 +162,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: list[T
     known = known or templates()
     found = written(blocks(keyed(docs, key, text), text, known), "blocks")
     pairs = join(found, known)
-    marks = found.select(ID, TIE, "marks").where(F.size("marks") > 0)
     phrases = pairs.where("block < 0").select(ID, TIE, "template").distinct()
-    phrases = give(phrases, marks.dropDuplicates([ID, TIE]))
+    phrases = give(phrases, found.select(ID, TIE, "words").where("words is not null").dropDuplicates([ID, TIE]))
     at = F.lit(None).cast("array<long>")
     for number, t in enumerate(known):
         if t.whole:
-            at = F.when(F.col("template") == number, places("marks", t.words)).otherwise(at)
+            at = F.when(F.col("template") == number, places("words", t.words)).otherwise(at)
     base = phrases.select(ID, TIE, "template", at.alias("at")).where(F.size("at") > 0)
     labels = F.element_at(F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, t.label)]), F.col("template"))
     own = pairs.where("block >= 0").select(ID, TIE, labels.alias("label"), "share")
