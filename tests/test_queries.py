@@ -5,8 +5,10 @@ from conftest import DATA
 
 import __spark_entry__ as entry
 import oracle
+from runlens.plans import all_queries
+from runlens.plans.registry import ORACLES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = dict(all_queries())
 # these need more rows than the smallest tables hold to give any row
 SPARSE = {"chk11_budget", "win11_loop_collapse", "agg14_loop_effect", "jn9_links"}
 
@@ -30,3 +32,5 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
