@@ -31,7 +31,8 @@ class LineRuns:
     def __init__(self, spark: SparkSession, settled: int, fanout: int = FANOUT):
         self.spark, self.settled, self.fanout = spark, settled, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
+        #: table and path of the runs of each level
+        self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, counts: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -39,24 +40,23 @@ class LineRuns:
         counts.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.spark.table(name))
+        self.levels[level].append((name, path))
 
     def add(self, digests: DataFrame) -> None:
         """``digests``: one row per document and distinct line of it."""
         new = digests.groupBy("digest").agg(F.count("*").alias("n"))
-        for run in (r for level in self.levels for r in level):
-            new = new.join(run.where(F.col("n") >= self.settled), "digest", "left_anti")
+        for name, _ in (r for level in self.levels for r in level):
+            new = new.join(self.spark.table(name).where(F.col("n") >= self.settled), "digest", "left_anti")
         self._write(new, 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 merged, self.levels[level] = self._merged(self.levels[level]), []
                 self._write(merged, level + 1)
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("digest").agg(F.sum("n").alias("n"))
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """Sums over runs. They are read as plain files: the union of bucketed columnar scans keeps the buckets' claim
+        of partitioning but not their alignment, so sums over it would come out in parts."""
+        return self.spark.read.parquet(*[path for _, path in runs]).groupBy("digest").agg(F.sum("n").alias("n"))
 
     def counts(self) -> DataFrame:
         return self._merged([r for level in self.levels for r in level])

@@ -101,6 +101,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     for start, end in spans:
         out += data[at:start]
         at = end
+        if data[at : at + 1] in (b"\n", b""):
+            out = out.rstrip(b" ")
         if not out or out[-1:] in b" \n":
             while data[at : at + 1] == b" " or (data[at : at + 1] == b"\n" and (not out or out[-1:] == b"\n")):
                 at += 1
