@@ -56,7 +56,7 @@ class LineRuns:
     def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         """Sums over runs. They are read as plain files: the union of bucketed columnar scans keeps the buckets' claim
         of partitioning but not their alignment, so sums over it would come out in parts."""
-        return self.spark.read.parquet(*[path for _, path in runs]).groupBy("digest").agg(F.sum("n").alias("n"))
+        return self.spark.read.schema("digest binary, n long").parquet(*[path for _, path in runs]).groupBy("digest").agg(F.sum("n").alias("n"))
 
     def counts(self) -> DataFrame:
         return self._merged([r for level in self.levels for r in level])
@@ -94,7 +94,8 @@ def dedup(docs: DataFrame, key_col: str = "doc_id", text: str = "text", least_do
     runs = LineRuns(spark, least_docs)
     for i in range(batches):
         runs.add(held.where(F.col("batch") == i))
-    common = runs.counts().where(F.col("n") >= least_docs).select("digest")
+    # written, so that the join below reads both sides by a shuffle of their own and a hot digest can be split
+    common = materialise(runs.counts().where(F.col("n") >= least_docs).select("digest"), "common")
     hit = held.select(ID, TIE, "digest").join(common, "digest", "left_semi")
     per_doc = hit.groupBy(ID, TIE).agg(F.collect_set("digest").alias("__gone"))
     joined = give(docs, per_doc)
