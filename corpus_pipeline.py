@@ -12,39 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import lineruns, neardup, packing, quality_rules, substring
-from runlens.session import materialise, tune
+from runlens.llm.rows import prepared
+from runlens.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the classifier go."""
-    tune(spark)
+    prepared(spark)
     model = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.rules(docs, model).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least ten documents go; a document left without a word goes too."""
-    tune(spark)
+    prepared(spark)
     out = lineruns.dedup(docs).select(*docs.columns)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, similarity 0.8."""
-    tune(spark)
+    prepared(spark)
     return neardup.dedup(docs, k=5, percent=80).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a document left without a word goes too."""
-    tune(spark)
+    prepared(spark)
     out = substring.dedup(docs).select(*docs.columns)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their place in sequences of 2048 tokens."""
-    tune(spark)
+    prepared(spark)
     ids = packing.tokenise(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), 1)
     pieces = packing.cut(docs.select("doc_id", ids.alias("ids")), "ids").withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces, ["doc_id", "start", "ids_crc32"])

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, tune
+from ..session import materialise
 from . import byte_bpe, licenses, lineruns, neardup, packing, qda, quality_rules, sharding, substring, topk
+from .rows import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, path: fn(tune(spark), path)
+        QUERIES[name] = lambda spark, path: fn(prepared(spark), path)
         if sql is not None:
             ORACLES[name] = sql
         return fn

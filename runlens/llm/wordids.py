@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: words remembered per Python worker, and the longest that is
-REMEMBERED, REMEMBERED_CHARS = 600_000, 48
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 #: bytes of text held as Python objects at once (or one text)
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def slices(array: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
