@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .wordids import WordIds, binaries, joined, slices
+from .wordids import WordIds, binaries, forgetting, joined, slices
 
 # letters that stand for the 256 bytes; none of them is white space
 _FIRST_LETTER = 0x100
@@ -100,7 +100,7 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker."""
     return Codec(path, pattern)
@@ -110,9 +110,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """Packed ids of each text by the vocabulary file at ``path`` (readable on every executor)."""
 
     @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        return joined([own.encode(part.to_pylist()) for part in slices(texts)])
+        return forgetting(own.words, batches, lambda texts: joined([own.encode(part.to_pylist()) for part in slices(texts)]))
 
     return encoded(text)
 

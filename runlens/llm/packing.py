@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .wordids import WordIds, binaries, joined, slices
+from .wordids import WordIds, binaries, forgetting, joined, slices
 
 WINDOW = 2048
 #: a run of ASCII marks, no apostrophe, between a letter and a space
@@ -82,7 +83,7 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -92,10 +93,14 @@ def tokenise(text: Column, path: str, end_id: int) -> Column:
     end = struct.pack("<I", end_id)
 
     @F.arrow_udf("binary")
-    def tokenised(texts: pa.Array) -> pa.Array:
+    def tokenised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = word_tokenizer(path)
-        parts = [own.encode(part) for part in slices(texts)]
-        return pc.binary_join_element_wise(joined(parts), pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary()))
+
+        def ids(texts: pa.Array) -> pa.Array:
+            found = joined([own.encode(part) for part in slices(texts)])
+            return pc.binary_join_element_wise(found, pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary()))
+
+        return forgetting(own.words, batches, ids)
 
     return tokenised(text)
 

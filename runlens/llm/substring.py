@@ -119,8 +119,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
     held = materialise(docs.select(ID, TIE, digests(F.col(text)).alias("units")), "units")
     each = held.select(ID, TIE, F.explode("units").alias("u")).select(ID, TIE, "u.*")
     rank = F.struct(F.col(ID), F.col(TIE), F.col("unit"))
-    groups = each.groupBy("h", "g").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    found = each.join(groups.select("h", "g", "first"), ["h", "g"]).where(~rank.eqNullSafe(F.col("first")))
+    # by the first hash alone, which most units have for themselves; only the others are grouped and joined in full
+    often = materialise(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    some = materialise(each.join(often, "h", "left_semi"), "repeated")
+    groups = materialise(some.groupBy("h", "g").agg(F.min(rank).alias("first")), "groups")
+    found = some.join(groups, ["h", "g"]).where(~rank.eqNullSafe(F.col("first")))
     per_doc = found.groupBy(ID, TIE).agg(F.collect_set(F.struct("unit", F.col(f"first.{ID}").alias("kept"))).alias("__earlier"))
     joined = give(docs, per_doc)
 

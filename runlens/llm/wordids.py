@@ -72,5 +72,15 @@ def binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
 
 
+def forgetting(words: WordIds, arrays: Iterator[pa.Array], encode: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """``encode`` of each array; the words are forgotten after the last, as the worker may live on for other work."""
+    try:
+        for array in arrays:
+            yield encode(array)
+    finally:
+        words.known.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def joined(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
