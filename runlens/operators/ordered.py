@@ -2,9 +2,9 @@
 
 ``Window.partitionBy(key).orderBy(seq)`` sends every row of a key to one task. Here the rows of a key are
 cut into spans of ``seq`` first. Each (key, span) is scanned on its own, one small row per span is carried
-across the spans of the key, and the two are joined. When one look at the bounds of ``seq`` shows that the whole
-table lies in a single span, there is nothing to carry and a plain window does. Where ``seq`` is a whole number that is unique within
-the key, a span never holds more than ``span`` rows, however many rows the key has.
+across the spans of the key, and the two are joined. There is one plan for every size. Where ``seq`` is a whole number
+that is unique within the key, a span never holds more than ``span`` rows, however many rows the key has; where it is a
+time, a span holds what happened in ``span`` units. The carry of a key sorts its spans, one small row each.
 """
 
 from __future__ import annotations
@@ -16,15 +16,10 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-SPAN = 1 << 16
+SPAN = 1 << 12
 _CHUNK = "__span"
 
 
-def _one_span(df: DataFrame) -> bool:
-    lo, hi = df.agg(F.min(_CHUNK), F.max(_CHUNK)).first()
-    return lo == hi
-
-
 def same_keys(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
 
@@ -60,15 +55,6 @@ def scan(
         first = F.unix_micros(first.cast("timestamp")) / 1000000
     base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
     at = F.struct(*order)
-    if _one_span(base):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        plain: dict[str, Column] = {row_number: F.row_number().over(w).cast("long")} if row_number else {}
-        plain |= {name: F.lag(c).over(w) for name, c in lag.items()}
-        plain |= {name: F.lead(c).over(w) for name, c in lead.items()}
-        plain |= {name: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for name, c in total.items()}
-        plain |= {name: F.last(c, ignorenulls=True).over(so_far) for name, c in last.items()}
-        return df.select(*df.columns, *[c.alias(name) for name, c in plain.items()])
 
     # one row per (key, span)
     aggs = []
@@ -134,7 +120,10 @@ def scan(
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key. The limit is applied on the map side (WindowGroupLimit), so at most
-    ``k`` rows per key and task are shuffled."""
+    ``k`` rows per key and task are shuffled; a ``k`` beyond what the session limits that way is refused."""
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > most:
+        raise ValueError(f"first {k} rows of a key: more than spark.sql.optimizer.windowGroupLimitThreshold = {most}")
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= k)
     return out.withColumnRenamed("__rk", rank) if rank else out.drop("__rk")
@@ -159,12 +148,6 @@ def islands(
     base = df.withColumns(
         {_CHUNK: F.floor(F.col(order[0]) / F.lit(span)).cast("long"), "__tag": F.struct(*same_as), "__forced": forced}
     )
-    if _one_span(base):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        before = F.lag("__tag").over(w)
-        first = (before.isNull() | F.col("__forced") | ~F.col("__tag").eqNullSafe(before)).cast("long")
-        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return base.withColumn("__new", first).withColumn(out, F.sum("__new").over(so_far)).select(*df.columns, out)
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     local = base.withColumn("__prev", F.lag("__tag").over(inside))
     new = F.col("__prev").isNotNull() & (F.col("__forced") | ~F.col("__tag").eqNullSafe(F.col("__prev")))
@@ -204,8 +187,6 @@ def value_before_run(
     local = base.withColumn("__prev", F.lag(col).over(inside))
     local = local.withColumn("__changed", F.when(F.col("__prev") != F.col(col), F.col("__prev")))
     local = local.withColumn("__local", F.last("__changed", ignorenulls=True).over(upto))
-    if _one_span(base):
-        return local.select(*df.columns, F.col("__local").alias(out))
     at = F.struct(*order)
     spans = local.groupBy(*keys, _CHUNK).agg(
         F.min_by(col, at).alias("__first"), F.max_by(col, at).alias("__end"), F.max_by("__local", at).alias("__before")

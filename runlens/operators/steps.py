@@ -76,7 +76,7 @@ def with_next_time(events: DataFrame, calls: DataFrame, span: float = SPAN) -> D
     return timed.withColumn("t_end", F.coalesce("__next_t", "__end")).drop("__next_t", "__end")
 
 
-def during(events: DataFrame, facts: DataFrame, span_ms: float = 60000.0) -> DataFrame:
+def during(events: DataFrame, facts: DataFrame, span_ms: float = 256.0) -> DataFrame:
     """Facts (``fact``, ``t_ms``) of a call that happened while an event (``seq``, ``t_ms``, ``t_end``) was current; both
     ends belong to it, so a fact on a boundary is attached twice.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,27 +55,20 @@ def block_ancestors(stmts: DataFrame, keys: list[str]) -> DataFrame:
     return ancestors(paths, keys, "stmt").select(*keys, "stmt", "ancestor", F.col("below.block").alias("side"))
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Fewest hops from the start vertices, 0 for themselves, at most ``max_depth``.
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Fewest hops from the start vertices, 0 for themselves; ``max_depth``: that many levels at most.
 
-    ``edges(src, dst)``, ``start(v)``. Edges are made distinct once, the reached set is kept in reliable
-    checkpoints, and only the frontier is joined each round."""
+    ``edges(src, dst)``, ``start(v)``. Edges are made distinct once. Each level is checkpointed once and never written
+    again; the next one is anti-joined with their union. Cycles end, as no vertex is reached twice."""
     edges = cut(edges.select("src", "dst").distinct())
-    reached = cut(start.select("v").distinct().withColumn("depth", F.lit(0).cast("long")))
-    frontier = reached
-    depth = 0
-    while depth < max_depth - 1 and not frontier.isEmpty():
-        depth += 1
-        nxt = (
-            edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("v"))
-            .distinct()
-            .join(reached, "v", "left_anti")
-            .withColumn("depth", F.lit(depth).cast("long"))
-        )
-        frontier = cut(nxt)
-        reached = cut(reached.unionByName(frontier))
-    return reached
+    frontier = cut(start.select("v").distinct().withColumn("depth", F.lit(0).cast("long")))
+    levels = [frontier]
+    while (max_depth is None or len(levels) < max_depth) and not frontier.isEmpty():
+        nxt = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+        nxt = nxt.join(reduce(DataFrame.unionByName, levels), "v", "left_anti")
+        frontier = cut(nxt.withColumn("depth", F.lit(len(levels)).cast("long")))
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def walk_order(sites: DataFrame, entry: DataFrame, key: str) -> DataFrame:

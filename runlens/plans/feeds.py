@@ -97,8 +97,7 @@ SELECT run_id, pos + 1 AS seq, {_NODE} AS node,
             WHEN 4 THEN 'working-copy' WHEN 5 THEN 'read-redirected' END AS handled,
        CASE WHEN k % 3 = 0 THEN k END AS n_rows, CASE WHEN k % 4 = 0 THEN k * 100 END AS n_bytes,
        floor(pos / 2) * 2.0E0 AS t_ms, k, event_id
-FROM ({EV}) e
-WHERE event_type IN ('purchase', 'error', 'signup')"""
+FROM ({EV}) e"""
 
 # SQL text a job sent to a database
 SQL_CALLS = f"""

@@ -18,34 +18,35 @@ _EDGES = """(SELECT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst
 
 @query(
     "gr1_import_closure",
-    f"""WITH RECURSIVE e AS {_EDGES}, r(v, depth) AS (SELECT 's0', 0::bigint UNION SELECT dst, depth + 1 FROM r JOIN e ON src = v WHERE depth < 3)
-        SELECT v, min(depth) AS depth FROM r GROUP BY v""",
+    f"""WITH RECURSIVE e AS {_EDGES}, r(v, depth) USING KEY (v) AS (SELECT 's0', 0::bigint UNION SELECT dst, min(r.depth + 1) FROM r JOIN e ON src = r.v
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.v = dst) GROUP BY dst) SELECT v, depth FROM r""",
 )
 def _(t):
     li = t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     edges = li.unionByName(li.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     start = t.spark.createDataFrame([("s0",)], "v string")
-    return trees.reach(edges, start, 4)
+    return trees.reach(edges, start)
 
 
-_CG = f"(SELECT DISTINCT concat(p.run_id, '/', p.fn) AS src, concat(n.run_id, '/', n.fn) AS dst FROM {_ND} n JOIN {_ND} p ON p.run_id = n.run_id AND p.node = n.parent WHERE n.dur_ms > 20)"
+_CG = f"(SELECT DISTINCT concat(p.run_id, '/', p.fn) AS src, concat(n.run_id, '/', n.fn) AS dst FROM {_ND} n JOIN {_ND} p ON p.run_id = n.run_id AND p.node = n.parent)"
 
 
 @query(
     "gr3_reach_depth",
-    f"""WITH RECURSIVE e AS {_CG}, r(v, depth) AS (SELECT DISTINCT dst, 0::bigint FROM e WHERE src LIKE '%main:<module>'
-        UNION SELECT dst, depth + 1 FROM r JOIN e ON src = v WHERE depth < 12),
-        b AS (SELECT v, min(depth) AS depth FROM r GROUP BY v)
+    f"""WITH RECURSIVE e AS {_CG}, r(v, depth) USING KEY (v) AS (SELECT DISTINCT dst, 0::bigint FROM e WHERE src LIKE '%main:<module>'
+        UNION SELECT dst, min(r.depth + 1) FROM r JOIN e ON src = r.v
+        WHERE r.depth < 49 AND NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.v = dst) GROUP BY dst),
+        b AS (SELECT v, depth FROM r)
         SELECT f.v, depth FROM (SELECT DISTINCT concat(run_id, '/', fn) AS v FROM {_ND} n) f LEFT JOIN b USING (v)""",
 )
 def _(t):
     n = spark_feed(t, feeds.NODES)
     p = n.select("run_id", F.col("node").alias("parent"), F.col("fn").alias("pfn"))
-    edges = n.filter("dur_ms > 20").join(p, ["run_id", "parent"]).select(
+    edges = n.join(p, ["run_id", "parent"]).select(
         F.concat_ws("/", "run_id", "pfn").alias("src"), F.concat_ws("/", "run_id", "fn").alias("dst")
     )
     start = edges.filter(F.col("src").endswith("main:<module>")).select(F.col("dst").alias("v"))
-    reached = trees.reach(edges, start, 13)
+    reached = trees.reach(edges, start, 50)
     return n.select(F.concat_ws("/", "run_id", "fn").alias("v")).distinct().join(reached, "v", "left")
 
 

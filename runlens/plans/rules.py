@@ -79,10 +79,10 @@ def _(t):
     return D.check_scene_limits(docs, D.scenes(docs))
 
 
-# one walkthrough per document: its title is the text, its statements come from the labels
+# one walkthrough per document: its title begins like the text, its first explanation is the whole text
 WALK = """
 SELECT doc_id, n_chars, concat('{"schema":"x.walkthrough/1","title":"', regexp_replace(substring(text, 1, 20 + cast(n_chars % 90 AS integer)), '[^A-Za-z ]', '.'), '"',
-  CASE WHEN doc_id % 6 = 0 THEN ',"author":"me"' ELSE '' END, ',"entry":"main","explanations":{"a.py:', doc_id % 40, '":{"title":"x","text":"', CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END,
+  CASE WHEN doc_id % 6 = 0 THEN ',"author":"me"' ELSE '' END, ',"entry":"main","explanations":{"a.py:', doc_id % 40, '":{"title":"x","text":"', CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE regexp_replace(text, '[^A-Za-z ]', '.') END,
   '"},"b.py:', doc_id % 30, '":{"title":"', repeat('t', cast(doc_id % 80 AS integer)), '","text":"y"', CASE WHEN doc_id % 5 = 0 THEN ',"why":"z"' ELSE '' END,
   '},"bad', doc_id % 3, '":{"title":"x","text":"y"}},"notes":{"s', doc_id % 12, '":"', repeat('n', cast(n_chars % 400 AS integer)), '"}}') AS json
 FROM {documents}"""
@@ -90,7 +90,7 @@ FROM {documents}"""
 
 def _sql_walk() -> str:
     # the checking engine replaces only the first match unless told otherwise
-    return "(" + WALK.replace("'.'), '\"',", "'.', 'g'), '\"',").replace("{documents}", "documents") + ")"
+    return "(" + WALK.replace("'.')", "'.', 'g')").replace("{documents}", "documents") + ")"
 
 
 _W = _sql_walk()
@@ -134,6 +134,7 @@ _EXP = f"""(SELECT doc_id, concat('a.py:', doc_id % 40) AS stmt, 'x' AS title, C
         UNION ALL SELECT doc_id, 'problem', 'required', concat(stmt, '.title'), 'missing' FROM x WHERE well AND known AND trim(title) = ''
         UNION ALL SELECT doc_id, 'problem', 'too long', concat(stmt, '.title'), length(title)::varchar FROM x WHERE well AND known AND length(title) > 60
         UNION ALL SELECT doc_id, 'problem', 'required', concat(stmt, '.text'), 'missing' FROM x WHERE well AND known AND trim(text) = ''
+        UNION ALL SELECT doc_id, 'problem', 'too long', concat(stmt, '.text'), length(text)::varchar FROM x WHERE well AND known AND length(text) > 700
         UNION ALL SELECT doc_id, 'problem', 'unknown field', concat(stmt, '.why'), '' FROM x WHERE known AND starts_with(stmt, 'b.py') AND doc_id % 5 = 0""",
 )
 def _(t):

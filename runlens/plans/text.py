@@ -62,8 +62,7 @@ def _(t):
     )
 
 
-_COMMENTS = r"(?s)^\s*(--[^\n]*\n|/\*.*?\*/\s*)*"
-_STRIP = rf"trim(regexp_replace(q, '{_COMMENTS}', ''), chr(10) || chr(9) || ' ')"
+_STRIP = rf"trim(regexp_replace(q, '{sql_text.COMMENTS}', ''), chr(10) || chr(9) || ' ')"
 _WORD = r"lower(regexp_extract({0}, '^\s*(\S*)', 1))"
 
 
@@ -71,7 +70,7 @@ def _sql_kind(col: str) -> str:
     reads = ", ".join(f"'{w}'" for w in sql_text.READ_WORDS + [""])
     word = _WORD.format(col)
     return (
-        rf"CASE WHEN {word} = 'with' THEN CASE WHEN regexp_matches({col}, '(?i)\)\s*(insert|update|delete|merge)\b') "
+        rf"CASE WHEN {word} = 'with' THEN CASE WHEN regexp_matches({col}, '(?i){sql_text.WITH_WRITE}') "
         f"THEN 'write' ELSE 'read' END WHEN {word} IN ({reads}) THEN 'read' ELSE 'write' END"
     )
 
@@ -81,10 +80,7 @@ def _sql_unquote(col: str) -> str:
 
 
 def _sql_written(col: str) -> str:
-    found = ", ".join(
-        f"nullif(regexp_extract({col}, '(?i)^\\s*{form}([\\w.\"`\\[\\]]+)', 1), '')" for form in sql_text.WRITE_FORMS
-    )
-    return _sql_unquote(f"coalesce({found})")
+    return _sql_unquote(f"nullif(regexp_extract({col}, '(?i){sql_text.WRITE_FORM}', 1), '')")
 
 
 def _sql_from(col: str) -> str:
