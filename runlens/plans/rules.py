@@ -121,7 +121,7 @@ def _(t):
     return D.check_walkthrough_head(walkthroughs(t))
 
 
-_EXP = f"""(SELECT doc_id, concat('a.py:', doc_id % 40) AS stmt, 'x' AS title, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS text FROM documents
+_EXP = f"""(SELECT doc_id, concat('a.py:', doc_id % 40) AS stmt, 'x' AS title, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE regexp_replace(text, '[^A-Za-z ]', '.', 'g') END AS text FROM documents
   UNION ALL SELECT doc_id, concat('b.py:', doc_id % 30), repeat('t', cast(doc_id % 80 AS integer)), 'y' FROM documents
   UNION ALL SELECT doc_id, concat('bad', doc_id % 3), 'x', 'y' FROM documents)"""
 
