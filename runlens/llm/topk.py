@@ -139,7 +139,9 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int, fac
     def wanted(group: pd.Series) -> pd.Series:
         return pd.Series([cells[needed(matrix([r["v"] for r in g])).any(0)].tolist() for g in group])
 
-    asked = queries.withColumn("cell", F.explode(wanted("group")))
+    # a given number of partitions: few bytes, much arithmetic, so they shouldn't be merged by size
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.withColumn("cell", F.explode(wanted("group"))).repartition(partitions, "cell")
     data_blocks = blocked(rows, F.col("cell")).select(F.col("by").alias("cell"), "rows")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
