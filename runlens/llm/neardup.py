@@ -8,9 +8,14 @@ probability 1 - (1 - s ** (d + 1)) ** TREES, 0.999 for s = 0.85 and d = ``DEPTH`
 
 First each node compares its classes with one of them, its pivot. Links are confirmed on full sets, and the components
 that they make are known before nodes are compared exhaustively: only classes of different components still matter, so
-a large group of near copies, once joined, costs nothing more, and a node of one component is done. Leaves compare
-exhaustively, and so do nodes that stay large at the last depth: those outside a node's largest component with all. A pair goes on
-to the full sets if its sketches agree often enough (``AGREE``: missed with probability below 1e-4 at the threshold).
+a large group of near copies, once joined, costs nothing more, and a node of one component is done.
+
+Leaves compare exhaustively, and so do nodes that stay large at the last depth: those outside a node's largest component
+with all. A pair goes on to the full sets if its sketches agree often enough (``agree``: missed with probability below
+1e-4 at the threshold). Nodes of more than ``SMALL`` classes are compared in blocks of bounded size, first of sketches,
+then of the full sets of the classes that are in such a pair: a task gets two blocks and returns only links that join
+components, so the many pairs just below the threshold that a large group of loose copies has are never written.
+Smaller nodes write their pairs, and those that blocks have not joined meanwhile are confirmed one by one.
 
 Empty sets are linked with nothing. The component of a document is the smallest id in it; a null id alone has none.
 Rows equal in id and text are one document. Shingles are 64-bit hashes; classes have 128-bit digests.
@@ -19,6 +24,8 @@ Rows equal in id and text are one document. Shingles are 64-bit hashes; classes
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -32,7 +39,9 @@ from .rows import ID, TIE, give, keyed
 from .textbytes import mix, shingles
 from .wordids import slices
 
-SKETCH, TREES, LEAF, DEPTH = 64, 12, 96, 4
+SKETCH, TREES, LEAF, DEPTH, SMALL = 64, 12, 96, 4, 16
+#: classes of a block on the side that is probed and on the other, and shingles of either
+PROBES, BLOCK, BLOCK_SHINGLES = 128, 512, 1 << 20
 _SALTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _FACTORS = mix(_SALTS) | np.uint64(1)
 
@@ -95,6 +104,64 @@ def shared(a: str, b: str) -> Column:
     return counted(a, b)
 
 
+def paired(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """For two blocks, rows ``probe, node, digest, root, out, n, sketch``: the classes, ``node, digest, root, out, n``, that
+    are in a pair of a probe and one of the others, of different components, whose sketches and sizes are near enough."""
+    least = agree(percent)
+
+    def kept(block: pa.Table) -> pa.Table:
+        probe = block["probe"].to_numpy()
+        left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
+        number: dict[bytes, int] = {}
+        part = np.array([number.setdefault(r, len(number)) for r in block["root"].to_pylist()], dtype=np.int64)
+        n = block["n"].to_numpy()
+        sketch = np.array(block["sketch"].to_pylist(), dtype=np.int32).reshape(-1, SKETCH)
+        others, used = sketch[right], np.zeros(len(probe), dtype=bool)
+        for i in left:
+            near = (others == sketch[i]).sum(axis=1) >= least
+            near &= (part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+            used[i] |= near.any()
+            used[right[near]] = True
+        return block.filter(pa.array(used)).select(["node", "digest", "root", "out", "n"])
+
+    return kept
+
+
+def joining(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """For two blocks, rows ``probe, digest, root, set``: links between a probe and one of the others that join their
+    components, at most one less than there are components."""
+
+    def linked(block: pa.Table) -> pa.Table:
+        probe, digest, root = (block[c].to_pylist() for c in ("probe", "digest", "root"))
+        held = [np.frombuffer(x, dtype=np.uint64) for x in block["set"].to_pylist()]
+        left = [i for i, p in enumerate(probe) if p]
+        right = [i for i, p in enumerate(probe) if not p]
+        links: list[tuple[bytes, bytes]] = []
+        if left and right:
+            sizes = np.array([len(held[i]) for i in right])
+            known, codes = np.unique(np.concatenate([held[i] for i in right]), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+            part = np.array([number[r] for r in root])
+            others = np.array(right)
+            for i in left:
+                own = held[i]
+                at = np.searchsorted(known, own)
+                at[at == len(known)] = 0
+                flags = np.zeros(len(known), dtype=np.uint8)
+                flags[at[known[at] == own]] = 1
+                same = np.add.reduceat(flags[codes], starts, dtype=np.int64)
+                near = others[100 * same >= percent * (len(own) + sizes - same)]
+                parts, first = np.unique(part[near], return_index=True)
+                for p, j in zip(parts, near[first]):
+                    if p != part[i]:
+                        links.append((digest[i], digest[j]))
+                        part[part == p] = part[i]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return linked
+
+
 class _Join:
     """One run of the join over the classes of a table."""
 
@@ -114,23 +181,28 @@ class _Join:
         sizes = 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
         return sizes & (same >= agree(self.percent))
 
+    def _ends(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))
+
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of digests whose full sets are similar enough."""
-        pairs = materialise(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+        """The pairs (a, b) of gathered digests whose full sets are similar enough."""
+        left = self.sets.select(F.col("digest").alias("a"), F.col("set").alias("x"))
+        right = self.sets.select(F.col("digest").alias("b"), F.col("set").alias("y"))
+        both = pairs.join(left, "a").join(right, "b").withColumn("same", shared("x", "y"))
+        total = ((F.length("x") + F.length("y")) / 8).cast("long") - F.col("same")
+        return materialise(both.where(100 * F.col("same") >= self.percent * total).select("a", "b"), "links")
+
+    def _gather(self, wanted: DataFrame) -> None:
+        """Have the full sets of the ``wanted`` digests as well."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
         wanted = self.classes.join(wanted, "digest", "left_semi").select("digest", "place.*")
-        wanted = wanted.withColumnsRenamed({ID: "__fid", TIE: "__ftie"})
+        # written, so that the planner knows its size and spares the shuffle of all texts where it may
+        wanted = materialise(wanted, "wanted").withColumnsRenamed({ID: "__fid", TIE: "__ftie"})
         on = F.col(ID).eqNullSafe(F.col("__fid")) & (F.col(TIE) == F.col("__ftie"))
         rows = self.docs.select(ID, TIE, self.text).join(wanted, on)
         new = materialise(rows.select("digest", sets(F.col(self.text), self.k).alias("set")), "sets").dropDuplicates(["digest"])
         self.sets = new if self.sets is None else self.sets.unionByName(new)
-        left = self.sets.select(F.col("digest").alias("a"), F.col("set").alias("x"))
-        right = self.sets.select(F.col("digest").alias("b"), F.col("set").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("same", shared("x", "y"))
-        total = ((F.length("x") + F.length("y")) / 8).cast("long") - F.col("same")
-        return materialise(both.where(100 * F.col("same") >= self.percent * total).select("a", "b"), "links")
 
     def _rooted(self, links: DataFrame) -> DataFrame:
         return self.classes.select("digest").join(components(links).withColumnRenamed("a", "digest"), "digest", "left").select(
@@ -170,24 +242,55 @@ class _Join:
         pairs = left.join(right, "node").where("ra <> rb and (rb = main or a < b)")
         return pairs.where(self._near("sa", "sb", "na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
+    def _blocked(self, nodes: DataFrame, *columns: str) -> DataFrame:
+        """Rows of ``nodes`` once for each pair of blocks of their node: ``node, l, r, probe`` and ``columns``."""
+        count = lambda n, each: F.ceil(F.greatest(F.count(n) / each, F.sum(n) / BLOCK_SHINGLES))
+        parts = nodes.groupBy("node").agg(count(F.when(F.col("out"), F.col("n")), PROBES).alias("ls"), count(F.col("n"), BLOCK).alias("rs"))
+        each = nodes.join(parts, "node").withColumn("h", F.xxhash64("digest"))
+        spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        probes = each.where("out").select("node", F.pmod("h", "ls").alias("l"), spread("rs").alias("r"), F.lit(True).alias("probe"), *columns)
+        others = each.select("node", spread("ls").alias("l"), F.pmod("h", "rs").alias("r"), F.lit(False).alias("probe"), *columns)
+        return probes.unionByName(others)
+
+    def _candidates(self, nodes: DataFrame) -> DataFrame:
+        """The classes of large nodes that are in a pair of near sketches."""
+        nodes = nodes.withColumn("out", F.col("root") != F.col("main"))
+        rows = self._blocked(nodes, "digest", "root", "out", "n", "sketch").groupBy("node", "l", "r")
+        found = rows.applyInArrow(paired(self.percent), "node long, digest binary, root binary, out boolean, n long")
+        return materialise(found.distinct(), "blocks")
+
+    def _joined(self, nodes: DataFrame) -> DataFrame:
+        """Links that join components within large nodes, found on gathered sets."""
+        rows = self._blocked(nodes, "digest", "root").join(self.sets, "digest")
+        return materialise(rows.groupBy("node", "l", "r").applyInArrow(joining(self.percent), "a binary, b binary"), "joined")
+
     def links(self) -> DataFrame:
         first = self._first_nodes()
-        stars = self._confirmed(self._star(first))
-        roots = materialise(self._rooted(stars), "roots")
+        stars = materialise(self._star(first).distinct(), "pairs")
+        self._gather(self._ends(stars).distinct())
+        links = self._confirmed(stars)
+        roots = materialise(self._rooted(links), "roots")
         nodes = first.select("node", "digest").join(roots, "digest")
         nodes = self._mixed(nodes).join(self.classes.select("digest", "sketch", "n"), "digest")
-        found = None
+        done = []
         for depth in range(DEPTH + 1):
             nodes = materialise(nodes, f"depth{depth}")
-            done = nodes if depth == DEPTH else nodes.where(F.col("size") <= LEAF)
-            found = self._pairs(done) if found is None else found.unionByName(self._pairs(done))
+            done.append(nodes if depth == DEPTH else nodes.where(F.col("size") <= LEAF))
             large = nodes.where(F.col("size") > LEAF)
             if depth == DEPTH or large.isEmpty():
                 break
             way = F.pmod(F.xxhash64(F.lit(depth), "node"), F.lit(SKETCH)).cast("int")
             child = F.xxhash64("node", F.get("sketch", way))
             nodes = self._mixed(large.withColumn("node", child).drop("size", "main"))
-        return stars.unionByName(self._confirmed(found))
+        leaves = reduce(DataFrame.unionByName, done)
+        large = self._candidates(leaves.where(F.col("size") > SMALL))
+        pairs = materialise(self._pairs(leaves.where(F.col("size") <= SMALL)).distinct(), "pairs")
+        self._gather(self._ends(pairs).union(large.select("digest")).distinct())
+        links = links.unionByName(self._joined(large))
+        roots = materialise(self._rooted(links), "roots")
+        for end in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("digest").alias(end), F.col("root").alias(f"r{end}")), end)
+        return links.unionByName(self._confirmed(pairs.where("ra <> rb").select("a", "b")))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from llm_rows import docs, no_rows, odd  # noqa: F401
 from pyspark.sql import functions as F
@@ -221,6 +222,32 @@ def test_near_groups_of_all_sizes(docs, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_large_group_of_loose_copies(docs, monkeypatch):
+    """Copies around the threshold, compared in many small blocks."""
+    for name, value in (("LEAF", 24), ("SMALL", 4), ("PROBES", 7), ("BLOCK", 16)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, words = random.Random(31), vocabulary(900, 32)
+    base, rows = prose(rng, words, 120).split(), []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 7)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    got = {r["__id"]: r["component_id"] for r in neardup.link(docs(rows)).collect()}
+    want = brute_components(rows, 3, 85)
+    assert 10 < len(set(want.values())) < 140
+    assert got == want
+
+
+def test_joining_links_components_once():
+    own = [bytes(shingles(t, 1).tobytes()) for t in ("a b c d", "a b c d e", "a b c d f", "x y")]
+    rows = {"probe": [True, True, False, False, False], "digest": [b"0", b"3", b"1", b"2", b"3"],
+            "root": [b"0", b"3", b"1", b"1", b"3"], "set": [own[0], own[3], own[1], own[2], own[3]]}
+    links = neardup.joining(80)(pa.table(rows)).to_pylist()
+    assert links == [{"a": b"0", "b": b"1"}]
+    assert neardup.joining(80)(pa.table({k: v[:2] for k, v in rows.items()})).num_rows == 0
+
+
 def test_near_dedup_of_odd_rows(docs, odd, no_rows):
     linked = neardup.link(odd).collect()
     assert len(linked) == odd.count()
