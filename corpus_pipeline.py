@@ -24,9 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least ten documents go; a document left without a word goes too."""
+    """Lines found in at least ten documents go from all but the earliest; a document left without a word goes too."""
     prepared(spark)
-    out = lineruns.dedup(docs).select(*docs.columns)
+    out = lineruns.dedup(docs, keep_first=True).select(*docs.columns)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

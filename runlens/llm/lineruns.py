@@ -8,6 +8,9 @@ sum over the runs; lines whose digest reaches the threshold go from every docume
 
 Digests are counted per task before the shuffle, so a line that is everywhere costs one row per task. Digests have
 128 bits. Empty keys aren't counted. Null and empty texts are one empty line and stay. Rows repeated are documents each.
+
+With ``keep_first`` a common line stays in its earliest document (the smallest id, null last, then the text's hash), so
+no line goes from the corpus altogether; rows equal in id and text keep it alike.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def rebuild(text: Column, dropped: Column) -> Column:
     return kept(text, dropped)
 
 
-def dedup(docs: DataFrame, key_col: str = "doc_id", text: str = "text", least_docs: int = LEAST_DOCS, least_chars: int = 1, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, key_col: str = "doc_id", text: str = "text", least_docs: int = LEAST_DOCS, least_chars: int = 1, batches: int = BATCHES, keep_first: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without common lines, with ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
     docs = keyed(docs, key_col, text)
@@ -97,6 +100,10 @@ def dedup(docs: DataFrame, key_col: str = "doc_id", text: str = "text", least_do
     # written, so that the join below reads both sides by a shuffle of their own and a hot digest can be split
     common = materialise(runs.counts().where(F.col("n") >= least_docs).select("digest"), "common")
     hit = held.select(ID, TIE, "digest").join(common, "digest", "left_semi")
+    if keep_first:
+        hit, place = materialise(hit, "hit"), F.struct(F.col(ID).isNull().alias("late"), ID, TIE)
+        first = materialise(hit.groupBy("digest").agg(F.min(place).alias("first")), "first")
+        hit = hit.join(first, "digest").where(~place.eqNullSafe(F.col("first")))
     per_doc = hit.groupBy(ID, TIE).agg(F.collect_set("digest").alias("__gone"))
     joined = give(docs, per_doc)
     made = rebuild(F.col(text), F.col("__gone"))

@@ -285,3 +285,21 @@ def test_pipeline(spark):
     assert set(kept["near_dedup"]) == set(near.values())
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"] for r in packed} == set(kept["substring_dedup"])
+
+
+def test_pipeline_keeps_one_of_many_equal_texts(spark, docs):
+    """From the output of the first stage on: 12 equal texts, 11 near copies, one line in every document."""
+    import corpus_pipeline
+
+    rng, words = random.Random(51), vocabulary(900, 52)
+    text = lambda: "\n".join(prose(rng, words, 12) for _ in range(6))
+    hot, near, line = text(), text(), "this line stands in every document of the table"
+    rows = [(100 + i, f"{line}\n{text()}") for i in range(15)]
+    rows += [(200 + i, hot) for i in range(10)] + [(None, hot)] * 2 + [(300 + i, f"{near}\n{words[i]} {words[i + 20]}") for i in range(11)]
+    out = docs(rows)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, DATA).cache()
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert [i for i, t in kept if hot in t] == [200] and [i for i, t in kept if near in t] == [300]
+    assert [i for i, t in kept if line in t] == [100]
+    assert {i for i, _ in kept} >= {100 + i for i in range(15)}
