@@ -169,7 +169,7 @@ class _Join:
         self.text, self.k, self.percent, self.docs = text, k, percent, docs
         self.signed = materialise(docs.select(ID, TIE, signature(F.col(text), k).alias("s")).select(ID, TIE, "s.*"), "signatures")
         own = self.signed.where("n > 0").groupBy("digest")
-        place = F.struct(F.col(ID), F.col(TIE))
+        place = F.struct(F.col(ID).isNull().alias("late"), ID, TIE)
         self.classes = materialise(
             own.agg(F.min(place).alias("place"), F.min(ID).alias("least"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes"
         )
@@ -196,7 +196,7 @@ class _Join:
         """Have the full sets of the ``wanted`` digests as well."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
-        wanted = self.classes.join(wanted, "digest", "left_semi").select("digest", "place.*")
+        wanted = self.classes.join(wanted, "digest", "left_semi").select("digest", f"place.{ID}", f"place.{TIE}")
         # written, so that the planner knows its size and spares the shuffle of all texts where it may
         wanted = materialise(wanted, "wanted").withColumnsRenamed({ID: "__fid", TIE: "__ftie"})
         on = F.col(ID).eqNullSafe(F.col("__fid")) & (F.col(TIE) == F.col("__ftie"))
@@ -293,11 +293,16 @@ class _Join:
         return links.unionByName(self._confirmed(pairs.where("ra <> rb").select("a", "b")))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """``__id, __tie, n_shingles, component_id, digest`` per row of ``docs``."""
+def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[_Join, DataFrame]:
+    """The run, and ``digest, root, place, least`` of its classes; a root stands for a component."""
     run = _Join(keyed(docs, key, text), text, k, percent)
     rooted = run._rooted(run.links())
-    rooted = materialise(rooted.join(run.classes.select("digest", "least"), "digest"), "roots")
+    return run, materialise(rooted.join(run.classes.select("digest", "place", "least"), "digest"), "roots")
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
+    """``__id, __tie, n_shingles, component_id, digest`` per row of ``docs``."""
+    run, rooted = _linked(docs, key, text, k, percent)
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = rooted.select("digest", "root").join(component, "root").select("digest", "component_id")
     out = run.signed.drop("sketch").join(rooted, "digest", "left")
@@ -305,11 +310,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, and every empty one. Of
-    rows equal in id and text one stays."""
-    linked = link(docs, key, text, k, percent)
-    stays = F.col("digest").isNull() | F.col("component_id").eqNullSafe(F.col(ID))
-    groups = linked.where(stays).groupBy("component_id", ID, F.coalesce("digest", F.lit(b""))).agg(F.min(TIE).alias(TIE))
-    # one text of several with the smallest id
-    one = groups.groupBy(ID, "component_id").agg(F.min(TIE).alias(TIE)).select(ID, TIE, F.lit(True).alias("__stays"))
+    """The rows of ``docs`` that stay: of each component the document with the smallest id (null last, then the text's
+    hash), and every empty one. Of rows equal in id and text one stays. Components are told apart by their root, not by
+    their smallest id, which several may have."""
+    run, rooted = _linked(docs, key, text, k, percent)
+    first = rooted.groupBy("root").agg(F.min("place").alias("p")).select(f"p.{ID}", f"p.{TIE}")
+    empty = run.signed.where("n = 0").select(ID, TIE).distinct()
+    one = first.unionByName(empty).withColumn("__stays", F.lit(True))
     return give(keyed(docs, key, text), one).where("__stays").drop("__stays").dropDuplicates([ID, TIE]).drop(ID, TIE)

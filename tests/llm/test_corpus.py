@@ -258,6 +258,19 @@ def test_near_dedup_of_odd_rows(docs, odd, no_rows):
     assert neardup.dedup(no_rows).count() == 0
 
 
+def test_near_dedup_keeps_unlinked_texts_of_null_and_repeated_ids(docs):
+    rng, words = random.Random(41), vocabulary(900, 42)
+    own = [prose(rng, words, 40) for _ in range(8)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, own[2]), (4, own[3]), (4, own[4]), (4, own[5]), (4, ""), (4, None), (None, "")]
+    rows += [(4, own[6] + " a b"), (9, own[6]), (None, own[7] + " c"), (None, own[7])]
+    out = neardup.dedup(docs(rows)).collect()
+    assert len(out) == len({tuple(r) for r in out})
+    kept = [(r["doc_id"], r["text"] or "") for r in out]
+    copies = {(None, own[7] + " c"), (None, own[7])}
+    assert len(copies & set(kept)) == 1
+    assert sorted(set(kept) - copies, key=str) == sorted({(i, t or "") for i, t in rows} - copies - {(9, own[6])}, key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)]
