@@ -1,6 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-Blocks are the lines of a text, and the text as a whole. A template of n distinct words is contained in a block that
+Blocks are the lines of a text, windows around its line feeds, and the text as a whole. A window belongs to a template: it
+has as many words before a line feed, and as many after it, as the template has, whatever lines they are on, so the sentence
+may be wrapped at any width. It ends at a line without words and at a line that ends in a full stop, exclamation or question
+mark. Windows are made of texts that hold enough words of a template. A template of n distinct words is contained in a block that
 holds at least ceil(threshold * n) of them. Blocks are reduced to the words that any template has, and words are ordered
 by their frequency over all blocks, rare first. A match must share a word among the first of both (prefix filter), the
 block must be long enough (length filter), and what follows that word in both must suffice (positional filter); the
@@ -49,6 +52,8 @@ TEMPLATES = {
     "all rights reserved no part of this publication may be reproduced": "all-rights-reserved",
 }
 THRESHOLD = 0.8
+#: more than a text has lines
+WINDOW = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -90,7 +95,8 @@ def held_words(known: list[Template]) -> str:
 
 
 def blocks(docs: DataFrame, text: str, known: list[Template]) -> DataFrame:
-    """``__id, __tie, n_words``, ``blocks`` (number, and the distinct template words held; -1 is the whole text) and
+    """``__id, __tie, n_words``, ``blocks`` (number, and the distinct template words held; -1 is the whole text, windows
+    of template n are numbered from ``(n + 1) * WINDOW``) and
     ``words`` (null where the text holds too few phrase words). Blocks with too few words for any template are left out."""
     phrase_words = sorted({w for t in known if t.whole for w in t.words})
     sentence_words = sorted({w for t in known if not t.whole for w in t.words})
@@ -102,7 +108,14 @@ def blocks(docs: DataFrame, text: str, known: list[Template]) -> DataFrame:
     lines = F.filter(lines, lambda b: F.size(b["held"]) >= least)
     lines = F.transform(lines, lambda b: F.struct(b["block"].alias("block"), F.array_intersect(b["held"], strings(sentence_words)).alias("held")))
     whole = F.array_intersect(F.split(F.translate("s", "\n", " "), " "), strings(phrase_words))
-    rows = rows.select(ID, TIE, "body", "n_words", lines.alias("lines"), whole.alias("whole"))
+    held = F.array_intersect(F.split(F.translate("s", "\n", " "), " "), strings(sentence_words))
+    rows = rows.select(ID, TIE, "body", "n_words", lines.alias("lines"), whole.alias("whole"), held.alias("sentences"))
+    if sentence_words:
+        one = lambda n, t: F.struct(F.lit(n).alias("n"), F.lit(len(t.words)).alias("reach"), strings(t.distinct).alias("own"), F.lit(t.need).alias("need"))
+        some = F.array(*[one(n, t) for n, t in enumerate(known) if not t.whole])
+        some = F.filter(some, lambda t: F.size(F.array_intersect("sentences", t["own"])) >= t["need"])
+        wrapped = F.flatten(F.transform(some, lambda t: windows(F.col("body"), t["n"], t["reach"], t["own"], t["need"])))
+        rows = rows.withColumn("lines", F.concat("lines", wrapped))
     enough = F.size("whole") >= least_whole
     whole = F.when(enough, F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.col("whole").alias("held"))))
     words = F.when(enough, F.regexp_extract_all(lower_case(F.col("body")), F.lit(WORD + "+"), F.lit(0)))
@@ -110,6 +123,28 @@ def blocks(docs: DataFrame, text: str, known: list[Template]) -> DataFrame:
     return rows.select(ID, TIE, "n_words", found.alias("blocks"), words.alias("words"))
 
 
+def windows(body: Column, number: Column, reach: Column, own: Column, need: Column) -> Column:
+    """Windows of ``reach`` words on either side of the line feeds within sentences, that hold a template's ``own`` words
+    ``need`` times at least."""
+    open_ended = F.regexp_replace(body, r"""[.!?][ \t\r)\]"'*]*\n""", "\n\n")
+    tokens = F.array_join(F.regexp_extract_all(lower_case(open_ended), F.lit(rf"\n|{WORD}+"), F.lit(0)), " ")
+    lines = lambda p: F.transform(F.split(F.trim(p), " ?\n ?"), lambda line: F.split(line, " "))
+    # each step is an argument of the next, so it is computed once
+    made = F.transform(F.split(tokens, r"\n(?: \n)+"), lines)
+    ends = lambda line: F.struct(F.slice(line, 1, reach).alias("head"), F.slice(F.reverse(line), 1, reach).alias("tail"))
+    made = F.transform(made, lambda p: F.transform(p, ends))
+
+    def around(p: Column, i: Column) -> Column:
+        """At most ``reach`` words before the end of line ``i`` (from 0), and after it."""
+        before = F.reverse(F.slice(p, F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, reach)))
+        sides = F.transform(before, lambda x: x["tail"]), F.transform(F.slice(p, i + 2, reach), lambda x: x["head"])
+        return F.array_intersect(F.concat(*[F.slice(F.flatten(x), 1, reach) for x in sides]), own)
+
+    each = F.flatten(F.transform(made, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda _, i: around(p, i))))
+    first = (number + 1).cast("long") * F.lit(WINDOW)
+    return F.transform(F.filter(each, lambda held: F.size(held) >= need), lambda held, i: F.struct((first + i).alias("block"), held.alias("held")))
+
+
 def frequencies(found: DataFrame, known: list[Template]) -> list[str]:
     """Template words by the number of blocks that hold them, rare first. As many rows as templates have words."""
     held = found.select(F.explode("blocks").alias("b")).select(F.explode("b.held").alias("w"))
@@ -136,6 +171,7 @@ def join(found: DataFrame, known: list[Template]) -> DataFrame:
     prefix = F.slice("held", F.lit(1), F.greatest(F.size("held") - least + 1, F.lit(0)))
     probes = each.select(ID, TIE, "block", "held", F.posexplode(prefix).alias("j", "w"))
     candidates = probes.join(F.broadcast(index), "w").where((F.col("block") < 0) == F.col("whole"))
+    candidates = candidates.where((F.col("block") < WINDOW) | (F.floor(F.col("block") / WINDOW) == F.col("template") + 1))
     follow = 1 + F.least(F.col("size") - F.col("i") - 1, F.size("held") - F.col("j") - 1)
     candidates = candidates.where((F.size("held") >= F.col("need")) & (follow >= F.col("need")))
     shared = F.array_intersect("held", "all")

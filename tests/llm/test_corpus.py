@@ -59,6 +59,16 @@ def test_template_containment_is_exact(spark, docs):
     assert got == want and want
 
 
+def test_wrapped_license_notices(docs):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"
+    narrow = "\r\n".join(f" * {w}" for w in "This is free and unencumbered software released into the public domain".split())
+    rows = [(1, bsd), (2, f"Some words.\n\n{gpl}"), (3, narrow + "\n"), (4, bsd.replace("\n", "\n\n")), (5, "\n# " + bsd.replace("\n", "\n# \t"))]
+    rows += [(7, "Viele Worte mit.\nLicensed under the Apache License, Version 2.0.\nmit Worten"), (6, "Redistribution and use in source and\n" + "other words here\n" * 40 + "binary forms with or without modification are permitted")]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(rows)).collect()}
+    assert out == {1: ("bsd", 1.0), 2: ("gpl,gpl-notice", 1.0), 3: ("unlicense", 1.0), 4: ("", 0.0), 5: ("bsd", 1.0), 6: ("", 0.0), 7: ("apache,apache-2.0", 1.0)}
+
+
 def check_shards(rows, tolerance):
     by = {}
     for r in rows:
