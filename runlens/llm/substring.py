@@ -1,10 +1,15 @@
 """Substring dedup by hashing the units of paragraphs.
 
-Units are the sentences of a line: a line is cut after a full stop, exclamation or question mark and a space. A unit is
+Units are sentences and pieces of long ones. A line is cut after a full stop, exclamation or question mark and a space,
+and after the full-width marks of scripts that have no spaces. Within a sentence it is cut where a hash of two neighbouring
+words is the smallest of ``REACH`` on either side, ``UNIT_WORDS`` from both ends at least: such a place depends on the words
+around it alone, so a passage in the middle of different sentences is cut alike in each of them. A unit is
 normalised to its words, A-Z in lower case, and gets a 128-bit digest. Digests are grouped globally; the earliest
 occurrence by (document, unit) is kept. In a document, neighbouring units that all occur earlier form a passage, and
 passages of at least ``LEAST_WORDS`` words are removed. Units of fewer than ``UNIT_WORDS`` words are no evidence: they
-go with a passage that encloses them, and aren't grouped. Offsets are those of the original text, in UTF-8 bytes.
+go with a passage that encloses them, and aren't grouped. A unit of more than ``SPACED`` characters a word is in a script
+without spaces, or data: each ``CHARS`` characters of it count as a word. What isn't found: the ends of a passage that
+starts or stops within a sentence, up to its first and from its last cut. Offsets are those of the original text, in UTF-8 bytes.
 
 Groups are reduced to their earliest occurrence per task before the shuffle, so a passage that is everywhere costs a
 row per task. Null and empty texts have no units. Rows equal in id and text are one document: both stay or lose alike.
@@ -22,26 +27,62 @@ from .rows import ID, TIE, give, keyed
 from .textbytes import LOWER, SPACE, Hasher, as_bytes, mix, words
 from .wordids import slices
 
-LEAST_WORDS, UNIT_WORDS = 25, 4
+LEAST_WORDS, UNIT_WORDS, REACH = 25, 4, 4
+SPACED, CHARS = 16, 4
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
+#: full-width full stop, exclamation and question mark
+_MARKS = np.array([[0xE3, 0x80, 0x82], [0xEF, 0xBC, 0x81], [0xEF, 0xBC, 0x9F]], dtype=np.uint8)
+_PAIR = np.uint64(0x8CB92BA72F3D8DD7)
 _BASES = (0x9FB21C651E98DF25, 0xD1342543DE82EF95)
 UNIT = "array<struct<unit:int,h:long,g:long>>"
 
 
+def marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut after full-width marks as well, and which of them follow such a cut."""
+    lead = np.flatnonzero((data[:-2] == 0xE3) | (data[:-2] == 0xEF)) if len(data) > 2 else np.zeros(0, dtype=np.int64)
+    after = lead[(data[lead[:, None] + np.arange(3)][:, None] == _MARKS).all(2).any(1)] + 3 if len(lead) else lead
+    after = after[~np.isin(after, ends)]
+    starts, ends = np.sort(np.concatenate((starts, after))), np.sort(np.concatenate((ends, after)))
+    return starts, ends, np.isin(starts, after)
+
+
+def cuts(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words (hashes ``own``) at which sentences are cut by their content; ``first``: the first words of sentences."""
+    at, number, i = np.flatnonzero(first), np.cumsum(first) - 1, np.arange(len(own))
+    stop = np.concatenate((at[1:], [len(own)]))
+    value = mix(own * _PAIR + np.concatenate((own[:1], own[:-1])))
+    value[first] = np.iinfo(np.uint64).max
+    cut = (i - at[number] >= UNIT_WORDS) & (stop[number] - i >= UNIT_WORDS)
+    for d in range(1, REACH + 1):
+        apart = number[d:] != number[:-d]
+        cut[:-d] &= apart | (value[:-d] < value[d:])
+        cut[d:] &= apart | (value[d:] < value[:-d])
+    return cut
+
+
 def units(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the units (from their first word to their last), their words, and their two hashes (2, n)."""
+    """Starts and ends of the units (from their first word to their last), the words they count as, and their two hashes
+    (2, n)."""
+    starts, ends, _, size, hashes = _units(text)
+    return starts, ends, size, hashes
+
+
+def _units(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``units``, with their words before what they count as."""
     data = LOWER[as_bytes(text)]
-    starts, ends = words(data)
+    starts, ends, cut = marked(data, *words(data))
     if not len(starts):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros((2, 0), dtype=np.uint64)
+        return none, none, none, none, np.zeros((2, 0), dtype=np.uint64)
     feeds = np.concatenate(([0], np.cumsum(data == 10)))
     first = np.ones(len(starts), dtype=bool)
     first[1:] = (feeds[starts[1:]] > feeds[ends[:-1]]) | (_END[data[ends[:-1] - 1]] & SPACE[data[np.minimum(ends[:-1], len(data) - 1)]])
+    first |= cut
+    own = Hasher(data)(starts, ends)
+    first |= cuts(own, first)
     at = np.flatnonzero(first)
     stop = np.concatenate((at[1:], [len(starts)]))
-    own = Hasher(data)(starts, ends)
     both = []
     for base in _BASES:
         powers = np.full(len(own), base, dtype=np.uint64)
@@ -52,7 +93,9 @@ def units(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         np.multiply.accumulate(inverse, out=inverse)
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(own ^ np.uint64(base)) * powers)))
         both.append(mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)))
-    return starts[at], ends[stop - 1], stop - at, np.stack(both)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    chars, n = chars[ends[stop - 1]] - chars[starts[at]], stop - at
+    return starts[at], ends[stop - 1], n, np.where(chars > SPACED * n, np.maximum(n, chars // CHARS), n), np.stack(both)
 
 
 def digests(text: Column, unit_words: int = UNIT_WORDS) -> Column:
@@ -81,16 +124,15 @@ def digests(text: Column, unit_words: int = UNIT_WORDS) -> Column:
 
 def passages(text: str | bytes | None, earlier: set[int], least_words: int = LEAST_WORDS, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, int]]:
     """(start, end, words, first unit) of the passages to remove; ``earlier``: units that occur earlier."""
-    starts, ends, size, _ = units(text)
+    starts, ends, n_words, size, _ = _units(text)
     out, run = [], []
     for i in range(len(starts) + 1):
         if i < len(starts) and i in earlier:
             run.append(i)
         elif i == len(starts) or size[i] >= unit_words:
             if run:
-                n = int(size[run[0] : run[-1] + 1].sum())
-                if n >= least_words:
-                    out.append((int(starts[run[0]]), int(ends[run[-1]]), n, run[0]))
+                if size[run[0] : run[-1] + 1].sum() >= least_words:
+                    out.append((int(starts[run[0]]), int(ends[run[-1]]), int(n_words[run[0] : run[-1] + 1].sum()), run[0]))
             run = []
     return out
 

@@ -176,6 +176,28 @@ def test_planted_passage_goes_from_all_but_the_first(docs, odd, no_rows):
     assert substring.dedup(odd).count() == odd.count() and substring.dedup(no_rows).count() == 0
 
 
+def test_passages_within_sentences_and_in_any_script(docs):
+    rng, words = random.Random(18), vocabulary(900, 19)
+    plain = prose(rng, words, 80)
+    cut = prose(rng, words, 15) + ". " + prose(rng, words, 60).capitalize()
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    block, sentences = signs(150), "".join(signs(30) + "。" for _ in range(5))
+    rows = []
+    for i in range(12):
+        around = [prose(rng, words, 12) for _ in range(5)]
+        rows += [(i, f"{around[0]} {plain} {around[1]}"), (100 + i, f"{around[2].capitalize()} {cut} {around[3]}.")]
+        rows += [(200 + i, f"{around[4]}\n{block}\n{signs(40)}"), (300 + i, f"{signs(30)}。{sentences}{signs(30)}")]
+    out = {r["doc_id"]: r for r in substring.dedup(docs(rows)).collect()}
+    for i, text in rows:
+        spans = [text.encode()[x["start"] : x["end"]].decode() for x in out[i]["removed"]]
+        if i % 100 == 0:
+            assert not spans and out[i]["text"] == text
+        elif i < 200:
+            assert len(spans) == 1 and spans[0] in (plain if i < 100 else cut) and len(spans[0].split()) >= 50
+        else:
+            assert spans == [block if i < 300 else sentences]
+
+
 def test_runs_level_up_and_keep_counts(spark):
     runs = lineruns.LineRuns(spark, settled=3, fanout=2)
     want = {}
