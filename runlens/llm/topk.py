@@ -2,8 +2,9 @@
 
 Data vectors belong to the cell of their nearest pivot; a cell's summary is its pivot, its radius and its size. For a
 query q and a cell (p, r), every score lies within q.p - |q| r and q.p + |q| r. The lower bounds of the cells, best first,
-until k vectors are sure, give a score that the query's k-th best can't fall below; only cells whose upper bound
-reaches it are needed. Queries are grouped by pivots too, and a group needs what any of its queries needs. A needed
+until k vectors of other ids are sure, give a score that the query's k-th best can't fall below; only cells whose upper bound
+reaches it are needed. Vectors are sure to be of other ids beyond the rows of the most frequent query id, or beyond those
+of the most frequent id of each cell, whichever is reached first. Queries are grouped by pivots too, and a group needs what any of its queries needs. A needed
 cell travels to a group in blocks of at most ``BLOCK`` vectors, is multiplied there, and leaves its best k; a last
 aggregate merges those. No block and no group grows with the data, nor does anything that the driver holds, but for
 the summaries (``pivots`` numbers per cell).
@@ -109,6 +110,10 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int, fac
     cells = np.array([s["cell"] for s in summary])
     radius, size = np.array([s["r"] for s in summary]), np.array([s["n"] for s in summary])
     far_centres = centres[cells].astype(np.float64)
+    per_id = materialise(rows.groupBy("cell", "id").agg(F.count("*").alias("n"), F.max("q").alias("q")), "ids")
+    own = per_id.groupBy("id").agg(F.sum("n").alias("n"), F.max("q").alias("q")).where("q").agg(F.max("n")).first()[0] or 0
+    most = {r["cell"]: r["n"] for r in per_id.groupBy("cell").agg(F.max("n").alias("n")).collect()}  # a row per pivot
+    others = size - np.array([most[c] for c in cells.tolist()])
 
     def needed(q: np.ndarray) -> np.ndarray:
         """Which cells each query needs; the bounds have room for rounding."""
@@ -119,7 +124,7 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int, fac
         room = 1e-9 * (np.abs(mid) + reach) + 1e-6
         low, high = mid - reach - room, mid + reach + room
         order = np.argsort(-low, axis=1)
-        sure = np.cumsum(size[order], axis=1) >= k + 1  # one may be the query's own
+        sure = (np.cumsum(size[order], axis=1) >= k + own) | (np.cumsum(others[order], axis=1) >= k)
         at = np.where(sure.any(1), sure.argmax(1), len(cells) - 1)
         floor = np.take_along_axis(low, order, 1)[np.arange(len(x)), at]
         floor = np.where(sure.any(1), floor, -np.inf)

@@ -135,6 +135,26 @@ def test_topk_with_odd_vectors(spark):
     assert topk.search(few, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).count() == 4
 
 
+def test_topk_with_repeated_query_ids(spark):
+    """Rows of one id fill a tight cell; a query id's result is taken over all of its rows, as in the SQL."""
+    rng = np.random.default_rng(6)
+    rows = [(20, [8.0, 0.0, 0.0])] * 30 + [(None, [0.0, 0.0, 9.0])] * 25 + [(None, rng.normal(0, 1, 3).tolist())]
+    rows += [(i, rng.normal(0, 1 + i % 3, 3).tolist()) for i in range(21, 300)] + [(40, rng.normal(0, 2, 3).tolist()) for _ in range(7)]
+    whole = [(key, [int(np.floor(64 * x)) for x in v]) for key, v in rows]
+    want = []
+    for key in {key for key, _ in whole if key is not None and key % 20 == 0}:
+        pairs = [(sum(a * b for a, b in zip(q, v)), other) for own, q in whole if own == key for other, v in whole if other != key]
+        pairs.sort(key=lambda p: (-p[0], p[1] is None, p[1] or 0))
+        want += [(key, n, other, score) for n, (score, other) in enumerate(pairs[:20], 1)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for pivots in (3, 48, 400):
+        got = topk.search(data, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, pivots=pivots).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+        # alone in its group, where no other query asks for more cells
+        got = topk.search(data, "vec_id", "embedding", F.col("vec_id") == 20, 20, pivots=pivots).collect()
+        assert sorted(map(tuple, got)) == sorted(w for w in want if w[0] == 20)
+
+
 def plain_earlier(rows):
     """Units of each row that occur earlier, by their words."""
     seen, out = {}, {}
