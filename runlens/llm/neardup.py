@@ -3,8 +3,10 @@
 A document's set are its distinct word shingles. Texts with equal sets are one class, however many, and a class is
 compared once. Each class has a sketch of ``SKETCH`` minwise tokens. A tree sends a class to the node of one of its
 tokens; a node with more than ``LEAF`` classes branches again by a token that the node chooses, up to ``DEPTH`` times.
-Trees are independent: a pair of similarity s whose nodes branch d times meets in one of ``TREES`` leaves with
-probability 1 - (1 - s ** (d + 1)) ** TREES, 0.999 for s = 0.85 and d = ``DEPTH``.
+Trees are independent: a pair of similarity s whose nodes branch d times meets in one of the leaves of t trees with
+probability 1 - (1 - s ** (d + 1)) ** t. There are as many trees as give ``RECALL`` for s at the threshold and d = ``DEPTH``:
+12 at 0.85, 18 at 0.8. The first tree tokens are those of the sketch, so there are at most ``SKETCH`` trees: enough for
+thresholds of 0.64 and more.
 
 First each node compares its classes with one of them, its pivot. Links are confirmed on full sets, and the components
 that they make are known before nodes are compared exhaustively: only classes of different components still matter, so
@@ -26,7 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from functools import reduce
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ from .rows import ID, TIE, give, keyed
 from .textbytes import mix, shingles
 from .wordids import slices
 
-SKETCH, TREES, LEAF, DEPTH, SMALL = 64, 12, 96, 4, 16
+SKETCH, LEAF, DEPTH, SMALL = 64, 96, 4, 16
+#: of pairs at the threshold in nodes that branch as often as they may
+RECALL = 0.999
 #: classes of a block on the side that is probed and on the other, and shingles of either
 PROBES, BLOCK, BLOCK_SHINGLES = 128, 512, 1 << 20
 _SALTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -56,6 +60,12 @@ def agree(percent: int, size: int = SKETCH, miss: float = 1e-4) -> int:
     return size
 
 
+def trees(percent: int) -> int:
+    """How many trees find a pair at the threshold with probability ``RECALL``, however often its nodes branch."""
+    apart = 1 - (percent / 100) ** (DEPTH + 1)
+    return min(SKETCH, ceil(log(1 - RECALL) / log(apart))) if apart else 1
+
+
 def signature(text: Column, k: int) -> Column:
     """n_shingles, digest and sketch of each whole text; no digest and sketch for an empty set."""
 
@@ -211,7 +221,7 @@ class _Join:
 
     def _first_nodes(self) -> DataFrame:
         """Nodes of the first level that hold several classes: ``node, digest``."""
-        tokens = F.transform(F.slice("sketch", 1, TREES), lambda x, i: F.xxhash64(i, x))
+        tokens = F.transform(F.slice("sketch", 1, trees(self.percent)), lambda x, i: F.xxhash64(i, x))
         each = self.classes.select("digest", F.explode(tokens).alias("node"))
         held = materialise(each, "nodes")
         full = held.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "digest"), "digest")).alias("p"))

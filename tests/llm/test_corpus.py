@@ -310,6 +310,13 @@ def test_near_dedup_of_odd_rows(docs, odd, no_rows):
     assert neardup.dedup(no_rows).count() == 0
 
 
+def test_trees_follow_the_threshold():
+    for percent, n in ((85, 12), (80, 18)):
+        assert neardup.trees(percent) == n
+        assert 1 - (1 - (percent / 100) ** (neardup.DEPTH + 1)) ** n >= neardup.RECALL
+    assert neardup.trees(100) == 1 and neardup.trees(1) == neardup.SKETCH
+
+
 def test_near_dedup_keeps_unlinked_texts_of_null_and_repeated_ids(docs):
     rng, words = random.Random(41), vocabulary(900, 42)
     own = [prose(rng, words, 40) for _ in range(8)]
