@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import text_of
 from .textstats import Counts
 from .wordids import slices
 
@@ -59,7 +60,8 @@ def sample(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE) -> Model:
-    """Learn P(label = 1). At most ``most`` label rows are broadcast and as many hashed rows are collected."""
+    """Learn P(label = 1). At most ``most`` label rows are broadcast and as many hashed rows are collected:
+    of several texts under one id, the one with the smallest hash is learned from."""
 
     @F.arrow_udf("binary")
     def features(texts: pa.Array) -> pa.Array:
@@ -74,7 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pa.array(out, pa.binary())
 
     chosen = F.broadcast(sample(labels, key, label, most))
-    rows = docs.join(chosen, F.col(key) == F.col("__id")).select("__id", "__y", features(F.col(text)).alias("__x")).collect()
+    texts = docs.join(chosen, F.col(key) == F.col("__id")).select("__id", "__y", text_of(text).alias("__t"))
+    one = texts.groupBy("__id").agg(F.min("__y").alias("__y"), F.min(F.struct(F.xxhash64("__t").alias("h"), "__t")).alias("__m"))
+    rows = one.select("__id", "__y", features(F.col("__m.__t")).alias("__x")).collect()
     rows = sorted({(r["__id"], bytes(r["__x"])): r["__y"] for r in rows}.items())
     return train([x for (_, x), _ in rows], np.array([y for _, y in rows], dtype=np.float64))
 

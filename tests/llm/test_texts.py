@@ -229,3 +229,12 @@ def test_shingles_are_equal_for_equal_words_only():
     assert len(np.intersect1d(a, textbytes.shingles("x the CAT  sat\non", 3))) == 2
     assert len(textbytes.shingles("a b", 3)) == 1 and len(textbytes.shingles("", 3)) == 0
     assert textbytes.shingles("a b", 3)[0] != textbytes.shingles("ab", 3)[0]
+
+
+def test_rules_learn_from_one_text_of_an_id(spark, docs, monkeypatch):
+    rows = [(7, f"text {i} of the id that many have") for i in range(40)] + [(i, f"the only text {i}") for i in range(3)] + [(None, "a b")]
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2, 7)], "doc_id long, quality int")
+    learned = []
+    monkeypatch.setattr(quality_rules, "train", lambda packed, y: learned.append((len(packed), sorted(y))))
+    quality_rules.fit(docs(rows), labels)
+    assert learned == [(4, [0.0, 0.0, 1.0, 1.0])]
