@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import byte_bpe, licenses, lineruns, neardup, packing, qda, quality_rules, sharding, substring, topk
+from . import byte_bpe, centroids, hashing, licenses, lineruns, neardup, packing, qda, quality_rules, sharding, substring, topk, whitening
 from .rows import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,54 @@ def near_all(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and floored means, one after another."""
+    parts = [
+        f"""kept as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by h) - 1 as c, v from (select sha256('1:' || vec_id) as h, v from kept order by h limit {k})
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as (
+  select vec_id, v, near.d as d, near.c as c from (
+    select vec_id, any_value(k.v) as v, min({{'d': list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) as near
+    from kept k, c{i} c group by vec_id)
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as (
+  select c, coalesce(m.v, c{i}.v) as v from c{i} left join (
+    select c, list(floor(s / n) order by i) as v from (
+      select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from a{i}) group by c, i)
+    group by c) m using (c)
+)""")
+    return f"""with {", ".join(parts)}
+select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(list_transform(c{rounds}.v, lambda x: x::bigint::varchar), ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (c)"""
+
+
+@query("op11_centroids", centroid_sql())
+def centroids_all(spark: SparkSession, path: str) -> DataFrame:
+    found = centroids.cluster(table(spark, path, "embeddings"), "vec_id", "embedding", k=16, rounds=3, width=64, factor=64.0, salt="1:")
+    per = centroids.inertia(found).withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+    rows = found.assigned.withColumnRenamed("id", "vec_id").join(F.broadcast(per), "cluster")  # a row per centroid
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op12_hashing")
+def hashing_all(spark: SparkSession, path: str) -> DataFrame:
+    return hashing.search(table(spark, path, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op13_whitening")
+def whitening_all(spark: SparkSession, path: str) -> DataFrame:
+    done = whitening.whiten(table(spark, path, "embeddings"), "vec_id", "embedding", components=16, factor=64.0, plus=1_000_000)
+    return done.withColumnRenamed("id", "vec_id")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, path: str) -> DataFrame:
     import corpus_pipeline
