@@ -14,9 +14,10 @@ is found, once.
 
 *Radius.* The ``k`` nearest vectors are sought among all codes within h + ``DEVIATIONS`` sqrt(h (1 - h / BITS)), h being the
 distance of the k-th nearest code: differing bits are binomial, so this is a bound in standard deviations that adapts to
-each query and to every size of the table. A first round probes the radius that the sample makes likely; queries whose own
-radius is larger go to the next round, the last of which covers all codes. All codes within a query's radius are ranked again by
-their inner product in double precision. Nothing caps their number.
+each query and to every size of the table. A first round probes the radius that the sample makes likely. It tells the own
+radius of each query that found ``k`` codes; those whose radius is larger are probed once more, up to the largest of
+these. Queries that found fewer try wider radii, in the end all codes. All codes within a query's radius are ranked again
+by their inner product in double precision. Nothing caps their number.
 
 Vectors that are null, zero or hold null or not finite components take no part; shorter ones count as padded with zeros. A row is a
 query's own if it has its id; null ids are candidates, never queries. Rows that agree on id and vector are one candidate. The lists of
@@ -41,7 +42,7 @@ from .vectors import finite, stacked
 BITS, PARTS, SAMPLE, BLOCK, GROUP, DEVIATIONS = 512, 8, 4096, 8192, 8192, 2.0
 WORD = BITS // PARTS  # bits of a substring, one machine word
 PREFIX = 12  # leading bits of a cell, at most
-SLICE = 128  # queries compared at once
+SLICE = 32  # queries compared at once with a block
 
 
 def rotations(x: np.ndarray, bits: int = BITS, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -197,8 +198,8 @@ def likely_radius(queries: np.ndarray, codes: np.ndarray, n: int, k: int) -> int
     apart = np.zeros((len(queries), len(codes)), dtype=np.int64)
     for part in range(PARTS):
         apart += np.bitwise_count(queries[:, part, None] ^ codes[None, :, part])
-    share = min(1.0, 2 * (k + 1) / max(n, 1))
-    return int(min(BITS, reach(float(np.quantile(apart, share)))))
+    kth = np.quantile(apart, min(1.0, (k + 1) / max(n, 1)), axis=1)
+    return int(min(BITS, reach(float(np.quantile(kth, 0.95)))))
 
 
 def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) -> DataFrame:
@@ -213,9 +214,16 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
     rows = rows.where(F.col("q") | (F.col("copy") <= k + 1)).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "rows")
     useful = F.col("copy") <= k + 1
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
-    n, width, most = rows.agg(F.count_if(useful), F.max(F.size("v")), F.max(norm)).first()
+
+    @F.pandas_udf("double")
+    def norm(v: pd.Series) -> pd.Series:
+        x = stacked(v, max(map(len, v)), np.float64)
+        scale = np.abs(x).max(1)
+        return pd.Series(scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1)))
+
+    n, width, most = rows.select(useful.alias("useful"), F.size("v").alias("size"), norm("v").alias("norm")).agg(
+        F.count_if("useful"), F.max("size"), F.max("norm")
+    ).first()
     if not n:
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     sample = stacked((r["v"] for r in rows.where(useful).orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("v").collect()), width, np.float64)
@@ -231,20 +239,27 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
         return encode("row", "v").alias("e")
 
     blocks, sizes, bits = index(materialise(rows.where(useful).select("row", entries(False)), "codes"), n)
-    todo = materialise(rows.where("q").select("row", entries(True)), "asked")
-    first = likely_radius(coder.words(sample[:256], True), coder.words(sample, False), n, k)
-    pairs = None
-    for radius in sorted({first, (first + BITS) // 2, BITS}):
-        found = materialise(probe(todo, blocks, sizes, bits, radius, k + 1), "pairs")
-        kth = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("h"))).where(F.col("at") <= k + 1)
-        kth = kth.groupBy("query").agg(F.max("h").alias("kth"), F.count("*").alias("n"))
-        limit = F.when(F.col("n") <= k, F.lit(BITS)).otherwise(reach(F.col("kth")))
-        done = materialise(kth.withColumn("limit", limit).where((F.col("limit") <= radius) | F.lit(radius >= BITS)), "done")
-        kept_pairs = found.join(done, "query").where(F.col("h") <= F.col("limit")).select("query", "row")
-        pairs = kept_pairs if pairs is None else pairs.unionByName(kept_pairs)
-        todo = materialise(todo.join(done, F.col("row") == F.col("query"), "left_anti"), "asked")
+    asked = materialise(rows.where("q").select("row", entries(True)), "asked")
+    waiting = [(asked, likely_radius(coder.words(sample[:256], True), coder.words(sample, False), n, k))]
+    pairs = asked.select(F.col("row").alias("query"), "row").limit(0)
+    while waiting:
+        todo, radius = waiting.pop()
         if todo.isEmpty():
-            break
+            continue
+        found = materialise(probe(todo, blocks, sizes, bits, radius, k + 1), "pairs")
+        first = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("h"))).where(F.col("at") <= k + 1)
+        first = first.groupBy("query").agg(F.max("h").alias("kth"), F.count("*").alias("n"))
+        own = F.when(F.col("n") > k, reach(F.col("kth"))).when(F.lit(radius >= BITS), F.lit(BITS))
+        limits = materialise(first.select("query", own.cast("int").alias("own")).where("own is not null"), "limits")
+        pairs = pairs.unionByName(found.join(limits, "query").where(f"own <= {radius} and h <= own").select("query", "row"))
+        if radius >= BITS:
+            continue
+        again = todo.join(limits.where(f"own > {radius}").select(F.col("query").alias("row")), "row", "left_semi")
+        wider = limits.agg(F.max("own")).first()[0]
+        if wider is not None and wider > radius:
+            waiting.append((materialise(again, "asked"), min(wider, BITS)))
+        fewer = todo.join(limits.select(F.col("query").alias("row")), "row", "left_anti")
+        waiting.append((materialise(fewer, "asked"), (radius + BITS) // 2 if 4 * radius < 3 * BITS else BITS))
 
     @F.pandas_udf("double")
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
