@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,37 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "name string, dtype string, pos int")
 
 
+@contextmanager
+def footers_only(spark: SparkSession) -> Iterator[None]:
+    """Counts are pushed into Parquet scans, which answer them from the footers of the files and read no page. That needs the
+    reader's second interface. The settings are put back."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row: number of rows, and of values that are not null in each plain column."""
+    table = spark.read.parquet(path)
+    plain = [f.name for f in table.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return table.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in plain])
+
+
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``name, rows, filled`` of the plain columns of a Parquet table, from the footers of its files. The result has a row per
+    column, so it is made here."""
+    with footers_only(spark):
+        found = counts(spark, path).first().asDict()
+    rows = found.pop("__rows")
+    return spark.createDataFrame([(c, rows, n) for c, n in found.items()], "name string, rows long, filled long")
+
+
 def table_profile(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows, columns, first names and types, and the first three rows in ``order`` as short redacted cells."""
     shown = df.columns[:SHOWN_COLUMNS]
@@ -122,29 +155,6 @@ def mask(df: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*out)
 
 
-def ledger(df: DataFrame, steps: list) -> DataFrame:
-    """Rows and columns into and out of each step of a chain.
-
-    Counted by the plan itself, one narrow aggregate per stage: metrics collected on the side would count a task
-    twice when an executor is lost."""
-    counts, before, stage = [], len(df.columns), df
-    first = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("seq"), F.lit("input").alias("step"), "n", F.lit(before).alias("cols"))
-    counts.append(first)
-    for i, step in enumerate(steps, 1):
-        stage = stage.transform(step)
-        name = getattr(step, "__qualname__", str(step)).split(".")[0]
-        counts.append(
-            stage.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("seq"), F.lit(name).alias("step"), "n", F.lit(len(stage.columns)).alias("cols"))
-        )
-    rows = reduce(DataFrame.unionByName, counts)
-    was = rows.select((F.col("seq") + 1).alias("seq"), F.col("n").alias("rows_in"), F.col("cols").alias("cols_in"))
-    out = rows.join(was, "seq").select(
-        F.col("seq").cast("long").alias("seq"), "step", "rows_in", F.col("n").alias("rows_out"), (F.col("n") - F.col("rows_in")).alias("delta"),
-        (F.col("cols") - F.col("cols_in")).cast("long").alias("cols_delta"),
-    )
-    return out
-
-
 def filled(df: DataFrame) -> DataFrame:
     """Name, type and number of values that are not null, per column, in one pass."""
     one = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_mean, half_even, to_celsius
-from .ordered import first_k
+from .chain import Step, apply_steps
 
 
 @dataclass(frozen=True)
@@ -19,34 +18,20 @@ class ReadingSettings:
     z: float = 1.4
 
 
-def celsius(df: DataFrame) -> DataFrame:
-    return df.withColumns({"temp": to_celsius(F.col("temp"), F.col("unit")), "unit": F.lit("C")})
+celsius = Step("celsius", columns=lambda: {"temp": to_celsius(F.col("temp"), F.col("unit")), "unit": F.lit("C")})
+drop_missing = Step("drop_missing", keep=lambda: F.col("temp").isNotNull() & ~F.isnan("temp") & F.col("station_id").isNotNull())
+# a reading that was sent again is dropped; the first in input order stays
+first_per_time = Step("first_per_time", first=(["station_id", "timestamp"], ["pos"]))
 
 
-def drop_missing(df: DataFrame) -> DataFrame:
-    return df.na.drop(subset=["temp", "station_id"])
+def in_range(low: float, high: float) -> Step:
+    return Step("in_range", keep=lambda: F.col("temp").between(low, high))
 
 
-def in_range(low: float, high: float):
-    def step(df: DataFrame) -> DataFrame:
-        return df.filter(F.col("temp").between(low, high))
-
-    return step
-
-
-def first_per_time(df: DataFrame) -> DataFrame:
-    """A reading that was sent again is dropped; the first in input order stays."""
-    return first_k(df, ["station_id", "timestamp"], ["pos"], 1)
-
-
-def cleaning_steps(s: ReadingSettings):
+def cleaning_steps(s: ReadingSettings) -> list[Step]:
     return [celsius, drop_missing, in_range(s.low, s.high), first_per_time]
 
 
-def apply_steps(df: DataFrame, steps) -> DataFrame:
-    return reduce(lambda acc, step: acc.transform(step), steps, df)
-
-
 def enrich(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Every reading kept. No broadcast hint: the engine measures the stations and splits hot ones."""
     return df.join(stations, "station_id", "left")

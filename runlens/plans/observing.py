@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile, readings
+from ..operators import chain, profile, readings
 
 from . import feeds
 from .feeds import oracle_feed, spark_feed
@@ -90,9 +90,16 @@ c AS (SELECT 0 AS seq, 'input' AS step, (SELECT count(*) FROM r0) AS n UNION ALL
 lg AS (SELECT a.seq::bigint AS seq, a.step, b.n AS rows_in, a.n AS rows_out, a.n - b.n AS delta, 0::bigint AS cols_delta FROM c a JOIN c b ON b.seq = a.seq - 1)"""
 
 
-@query("obs9_ledger", f"WITH {_CTE}, {_LEDGER} SELECT * FROM lg")
+@query("obs9_ledger", f"WITH {_CTE}, {_LEDGER} SELECT *, true AS timed FROM lg")
 def _(t):
-    return profile.ledger(spark_feed(t, feeds.READINGS), readings.cleaning_steps(S))
+    out = chain.ledger(spark_feed(t, feeds.READINGS), readings.cleaning_steps(S))
+    return out.withColumn("timed", F.col("pass_ms") >= 0).drop("pass_ms")
+
+
+@query("obs9_staged_ledger", f"WITH {_CTE}, {_LEDGER} SELECT *, true AS timed FROM lg")
+def _(t):
+    _, out = chain.staged_ledger(spark_feed(t, feeds.READINGS), readings.cleaning_steps(S))
+    return out.withColumn("timed", F.col("ms") >= 0).drop("ms")
 
 
 @query(
@@ -141,7 +148,7 @@ def _(t):
          AND op NOT IN ('read', 'connect', 'read-after-write')) AS real FROM lg""",
 )
 def _(t):
-    stages = profile.ledger(spark_feed(t, feeds.READINGS), readings.cleaning_steps(S))
+    stages = chain.ledger(spark_feed(t, feeds.READINGS), readings.cleaning_steps(S))
     return profile.job_summary(stages, spark_feed(t, feeds.IO))
 
 
@@ -161,6 +168,6 @@ def _(t):
        UNION ALL SELECT 'o_totalprice', 'double', 3, count(o_totalprice) FROM orders UNION ALL SELECT 'o_orderpriority', 'string', 4, count(o_orderpriority) FROM orders) x""",
 )
 def _(t):
-    # names and types come from the plan alone; the filled values beside them need the rows
+    # names and types come from the plan, counts from the footers of the files: no row is read
     lazy = t.orders.drop("o_orderdate")
-    return profile.schema_profile(lazy).join(profile.filled(lazy).select("name", "filled"), "name")
+    return profile.schema_profile(lazy).join(profile.footer_counts(t.spark, t.file("orders")).select("name", "filled"), "name")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import names, numbers, sql_text, text
-from runlens.operators import access, documents, lookups, profile, readings, stock
+from runlens.operators import access, chain, documents, lookups, profile, readings, stock
 from runlens.session import scratch_path
 from runlens.sinks import writers
 from runlens.sinks.staging import Staging
@@ -38,7 +38,7 @@ def test_cleaning_counts(spark):
     ]
     df = spark.createDataFrame(rows, "pos long, station_id string, timestamp timestamp, temp double, unit string")
     steps = readings.cleaning_steps(readings.ReadingSettings())
-    got = [(r.step, r.rows_in, r.rows_out) for r in profile.ledger(df, steps).orderBy("seq").collect()]
+    got = [(r.step, r.rows_in, r.rows_out) for r in chain.ledger(df, steps).orderBy("seq").collect()]
     assert got == [("celsius", 9, 9), ("drop_missing", 9, 6), ("in_range", 6, 5), ("first_per_time", 5, 4)]
     clean = readings.apply_steps(df, steps)
     assert sorted((r.pos, r.temp) for r in clean.collect()) == [(0, 10.0), (2, 10.0), (7, 1.0), (8, -40.0)]
