@@ -11,13 +11,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phases of a scene, limits of texts and lists.
-PHASES = ["setup", "imports", "constants", "definitions", "input", "transform", "branch", "output", "finish", "error"]
-WALK_FIELDS = ["schema", "title", "subtitle", "entry", "explanations", "notes"]
-TITLE, SUBTITLE, ENTRY = 80, 200, 200
-EXPLANATION = {"title": 60, "text": 700}
-NOTE = 300
-SCENES, ITEMS, STATS, CHILDREN = 60, 24, 4, 12
+from ..functions.published import PARTS, PHASES, STORYBOARD, WALKTHROUGH
+
+# limits of texts and lists, as the published formats have them
+_WALK, _SCENE = WALKTHROUGH["properties"], PARTS["scene"]["properties"]
+_EXPLANATION = _WALK["explanations"]["others"]["properties"]
+WALK_FIELDS = list(_WALK)
+TITLE, SUBTITLE, ENTRY = (_WALK[f]["maxLength"] for f in ("title", "subtitle", "entry"))
+EXPLANATION = {f: _EXPLANATION[f]["maxLength"] for f in ("title", "text")}
+NOTE = _WALK["notes"]["others"]["maxLength"]
+SCENES = STORYBOARD["properties"]["scenes"]["maxItems"]
+ITEMS, STATS, CHILDREN = (_SCENE[f]["maxItems"] for f in ("items", "stats", "children"))
 FINDING = ["doc_id", "severity", "rule", "path", "detail"]
 MAP, LIST = "map<string,string>", "array<string>"
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.published import FORMATS, PARTS
 from ..operators import documents as D
+from ..operators import schemas
 from ..operators.ordered import first_k
+from ..operators.schemas import compiled
 from . import feeds
 from .feeds import oracle_feed, spark_feed
 from .registry import query
@@ -79,6 +82,59 @@ def _(t):
     return D.check_scene_limits(docs, D.scenes(docs))
 
 
+# a storyboard per document that breaks the format in many ways, at every depth; the narration is the whole text
+RICH = """
+SELECT doc_id, concat('{"schema":"', CASE WHEN doc_id % 13 = 0 THEN 'storyboard' ELSE 'x.storyboard/1' END, '"', CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat(',"title":"', repeat('t', cast(doc_id % 90 AS integer)), '"') END,
+  CASE WHEN doc_id % 5 = 0 THEN ',"author":{"name":"me"}' ELSE '' END, ',"mode":"', CASE doc_id % 3 WHEN 0 THEN 'run' WHEN 1 THEN 'scan' ELSE 'walk' END,
+  '","run":{"status":', CASE doc_id % 4 WHEN 0 THEN '1' WHEN 1 THEN '"late"' ELSE '"ok"' END, ',"duration_ms":', CASE WHEN doc_id % 6 = 0 THEN '"1"' ELSE '1.5' END, ',"args":["a",', CASE WHEN doc_id % 6 = 1 THEN 'null' ELSE '"b"' END, '],"safe_mode":', CASE WHEN doc_id % 9 = 0 THEN '"yes"' ELSE 'true' END,
+  '},"scenes":[', CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('{"id":"', CASE WHEN doc_id % 8 = 0 THEN 'Bad id' ELSE 's1' END, '","phase":"', CASE WHEN doc_id % 5 = 1 THEN 'dream' ELSE 'setup' END, '","title":"one","narration":"', regexp_replace(text, '[^A-Za-z ]', '.'),
+  '","branch":{"condition":"c","paths":[{"label":"l","status":"taken"}', CASE WHEN doc_id % 2 = 0 THEN ',{"label":"m","goto":7}' ELSE '' END, ']},"inputs":[{"kind":"file","label":"x","code":{"line":', CASE WHEN doc_id % 4 = 3 THEN '1.5' ELSE '2.0' END, ',"highlight":[1,"2"]},"data":{"rows":', doc_id, ',"sample":{"rows":[["1",', CASE WHEN doc_id % 3 = 0 THEN '2' ELSE '"2"' END, '],["3"]]}}}],
+  "children":[{"id":"c1","phase":"input","title":"', repeat('x', cast(doc_id % 70 AS integer)), '","children":[{"id":"-d","phase":"output","stats":[{"label":"a","value":1,"unit":"', repeat('u', cast(doc_id % 15 AS integer)), '"},{"value":true}', repeat(',{"label":"b","value":"2"}', cast(doc_id % 5 AS integer)), '],"extra":', CASE WHEN doc_id % 2 = 1 THEN '1' ELSE '{"deep":[1]}' END, '}]}]}') END,
+  ']', CASE WHEN doc_id % 17 = 0 THEN '' ELSE ',"summary":{"notes":["", "a", "b", "c", "d", "e"],"stats":7}}' END) AS json
+FROM {documents}"""
+
+
+def _sql_schema(docs: str, form: str) -> str:
+    """The tables of the schema, and a walk over the nodes of each document by recursion."""
+    edges, rules = compiled(FORMATS, PARTS)
+
+    def rows(table):
+        return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in table)
+
+    return f"""WITH RECURSIVE edges(t, step, below) AS (VALUES {rows(edges)}), rules(t, keyword, value) AS (VALUES {rows(rules)}),
+      docs AS {docs},
+      tree AS (SELECT d.doc_id, j.id, j.parent, j.key, j.type AS jt, j.value AS v, j.atom FROM docs d, json_tree(d.json) j WHERE json_valid(d.json)),
+      n(doc_id, id, path, t, jt, v, atom) AS (
+        SELECT doc_id, id, '', '{form}', jt, v, atom FROM tree WHERE parent IS NULL
+        UNION ALL SELECT c.doc_id, c.id, CASE WHEN n.jt = 'ARRAY' THEN concat(n.path, '[', c.key, ']') WHEN n.path = '' THEN c.key ELSE concat(n.path, '.', c.key) END,
+          coalesce(e.below, o.below, ''), c.jt, c.v, c.atom
+        FROM n JOIN tree c ON c.doc_id = n.doc_id AND c.parent = n.id
+        LEFT JOIN edges e ON e.t = n.t AND e.step = CASE WHEN n.jt = 'ARRAY' THEN '[]' ELSE c.key END LEFT JOIN edges o ON o.t = n.t AND o.step = '*'),
+      k AS (SELECT *, CASE jt WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null'
+          WHEN 'DOUBLE' THEN CASE WHEN atom::double = floor(atom::double) THEN 'integer' ELSE 'number' END ELSE 'integer' END AS kind,
+          json_extract_string(v, '$') AS s, CASE jt WHEN 'ARRAY' THEN json_array_length(v)::bigint WHEN 'VARCHAR' THEN length(json_extract_string(v, '$')) END AS size FROM n),
+      x AS (SELECT k.*, keyword, value, CASE WHEN keyword IN ('type', 'enum', 'required', 'closed') THEN from_json(value, '["VARCHAR"]') END AS words FROM k JOIN rules USING (t)),
+      f AS (
+        SELECT doc_id, keyword, path, kind AS detail FROM x WHERE keyword = 'type' AND NOT list_contains(words, kind) AND NOT (kind = 'integer' AND list_contains(words, 'number'))
+        UNION ALL SELECT doc_id, keyword, path, coalesce(s, '') FROM x WHERE keyword = 'enum' AND NOT (kind = 'string' AND list_contains(words, s))
+        UNION ALL SELECT doc_id, keyword, path, s FROM x WHERE keyword = 'pattern' AND kind = 'string' AND NOT regexp_matches(s, value)
+        UNION ALL SELECT doc_id, keyword, path, size::varchar FROM x WHERE (keyword = 'minLength' AND kind = 'string' OR keyword = 'minItems' AND kind = 'array') AND size < value::bigint
+        UNION ALL SELECT doc_id, keyword, path, size::varchar FROM x WHERE (keyword = 'maxLength' AND kind = 'string' OR keyword = 'maxItems' AND kind = 'array') AND size > value::bigint
+        UNION ALL SELECT doc_id, keyword, concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, w), 'missing' FROM (SELECT *, unnest(words) AS w FROM x WHERE keyword = 'required' AND kind = 'object')
+          WHERE NOT list_contains(json_keys(v), w)
+        UNION ALL SELECT doc_id, keyword, concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, w), 'unknown field' FROM (SELECT *, unnest(json_keys(v)) AS w FROM x WHERE keyword = 'closed' AND kind = 'object')
+          WHERE NOT list_contains(words, w)
+        UNION ALL SELECT doc_id, keyword, concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, w), 'name' FROM (SELECT *, unnest(json_keys(v)) AS w FROM x WHERE keyword = 'names' AND kind = 'object')
+          WHERE NOT regexp_matches(w, value)
+        UNION ALL SELECT doc_id, 'type', '', 'not JSON' FROM docs WHERE NOT json_valid(json))
+      SELECT doc_id, 'problem' AS severity, keyword AS rule, path, detail FROM f"""
+
+
+@query("chk8_schema", _sql_schema("(" + RICH.replace("'.')", "'.', 'g')").replace("{documents}", "documents") + ")", "storyboard/1"))
+def _(t):
+    return schemas.check(spark_feed(t, RICH).withColumn("format", F.lit("storyboard/1")), FORMATS, PARTS)
+
+
 # one walkthrough per document: its title begins like the text, its first explanation is the whole text
 WALK = """
 SELECT doc_id, n_chars, concat('{"schema":"x.walkthrough/1","title":"', regexp_replace(substring(text, 1, 20 + cast(n_chars % 90 AS integer)), '[^A-Za-z ]', '.'), '"',
@@ -121,6 +177,11 @@ def _(t):
     return D.check_walkthrough_head(walkthroughs(t))
 
 
+@query("chk8_walkthrough_schema", _sql_schema(f"(SELECT doc_id, json FROM {_W} w)", "walkthrough/1"))
+def _(t):
+    return schemas.check(spark_feed(t, WALK).withColumn("format", F.lit("walkthrough/1")), FORMATS, PARTS)
+
+
 _EXP = f"""(SELECT doc_id, concat('a.py:', doc_id % 40) AS stmt, 'x' AS title, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE regexp_replace(text, '[^A-Za-z ]', '.', 'g') END AS text FROM documents
   UNION ALL SELECT doc_id, concat('b.py:', doc_id % 30), repeat('t', cast(doc_id % 80 AS integer)), 'y' FROM documents
   UNION ALL SELECT doc_id, concat('bad', doc_id % 3), 'x', 'y' FROM documents)"""
