@@ -1,7 +1,7 @@
 """Documents against schemas that are data.
 
 A schema becomes two small tables: ``edges`` (type, step, type below) and ``rules`` (type, keyword, value). A document becomes one row
-per node at any depth. The type of a node is a fold of its steps over the edges, so schemas may recurse; the node then
+per node at any depth. A node gets its type from that of the node above by the edges, so schemas may recurse; it then
 meets the rules of its type in one broadcast join. No limit is in code, and there is one finding per breach.
 
 Keywords: ``type``, ``enum``, ``pattern``, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``required``, ``closed`` (no other fields), ``names``
@@ -57,62 +57,55 @@ def compiled(formats: dict[str, dict], parts: dict[str, dict]) -> tuple[list[tup
 
 
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}
-NODE = "doc_id {id}, format string, path string, steps array<string>, kind string, size long, text string, names array<string>"
+NODE = "doc_id {id}, path string, type string, kind string, size long, text string, names array<string>"
 
 
-def _nodes(value, path: str = "", steps: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """Rows of a value and of everything below it."""
-    waiting = [(value, path, steps)]
+def _nodes(value, root: str, edges: dict[tuple[str, str], str]) -> Iterator[tuple]:
+    """Rows of a value and of everything below it that has a type."""
+    waiting = [(value, "", root)]
     while waiting:
-        value, path, steps = waiting.pop()
+        value, path, at = waiting.pop()
         kind = KINDS[type(value)]
         if kind == "number" and value.is_integer():
             kind = "integer"
         size = len(value) if kind in ("object", "array", "string") else None
         text = value if kind == "string" else None if size is not None else json.dumps(value)
-        yield path, list(steps), kind, size, text, list(value) if kind == "object" else None
+        yield path, at, kind, size, text, list(value) if kind == "object" else None
+        below = []
         if kind == "object":
-            waiting += [(v, f"{path}.{k}" if path else k, (*steps, k)) for k, v in value.items()]
+            below = [(v, f"{path}.{k}" if path else k, edges.get((at, k)) or edges.get((at, OTHER))) for k, v in value.items()]
         elif kind == "array":
-            waiting += [(v, f"{path}[{i}]", (*steps, ITEM)) for i, v in enumerate(value)]
+            below = [(v, f"{path}[{i}]", edges.get((at, ITEM))) for i, v in enumerate(value)]
+        waiting += [x for x in below if x[2]]
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """``doc_id, format, json`` -> a row per node of each document: ``path``, ``steps`` from the root (a field name, or ``[]``), ``kind``,
+def nodes(docs: DataFrame, edges: list[tuple[str, str, str]]) -> DataFrame:
+    """``doc_id, format, json`` -> a row per typed node of each document: ``path``, ``type`` (the format for the root), ``kind``,
     ``size`` of texts and lists, ``text`` of plain values, ``names`` of fields."""
+    table = {(a, step): b for a, step, b in edges}
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "steps", "kind", "size", "text", "names"]
+        columns = ["doc_id", "path", "type", "kind", "size", "text", "names"]
         for batch in batches:
+            rows = []
             for doc_id, form, text in zip(batch["doc_id"], batch["format"], batch["json"]):
                 try:
-                    rows = list(_nodes(json.loads(text)))
+                    rows += [(doc_id, *node) for node in _nodes(json.loads(text), form, table)]
                 except (ValueError, RecursionError):
-                    rows = [("", [], NOT_JSON, None, None, None)]
-                out = pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
-                out.insert(0, "doc_id", doc_id)
-                out.insert(1, "format", form)
-                yield out
+                    rows.append((doc_id, "", form, NOT_JSON, None, None, None))
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "format", "json").filter("json is not null").mapInPandas(flat, NODE.format(id=kind))
 
 
-def typed(found: DataFrame, edges: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds ``type``; that of the root is the format. A field that is not listed has the type of ``others``, or none."""
-    pairs = [F.lit(x) for a, step, b in edges for x in (f"{a} {step}", b)]
-    table = F.create_map(*pairs)
-
-    def down(at: Column, step: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, F.concat_ws(" ", at, step)), F.try_element_at(table, F.concat_ws(" ", at, F.lit(OTHER))))
-
-    start = F.coalesce("format", F.lit(""))
-    return found.withColumn("type", F.aggregate("steps", start, lambda at, step: F.coalesce(down(at, step), F.lit(""))))
-
-
 def breaches() -> Column:
     """What a node breaks of one rule: an array of (name below it or null, detail)."""
-    words, limit = F.from_json("value", "array<string>"), F.col("value").cast("long")
+    words, limit = F.col("words"), F.col("value").cast("long")
     own = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.coalesce("text", F.col("size").cast("string"), F.lit("")).alias("detail")))
     sized = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("size").cast("string").alias("detail")))
     other = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("kind").alias("detail")))
@@ -122,8 +115,7 @@ def breaches() -> Column:
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(detail).alias("detail")))
 
     keyword, is_object = F.col("keyword"), F.col("kind") == "object"
-    # an end of text is the very end
-    pattern = F.regexp_replace("value", r"\$$", r"\\z")
+    pattern = F.col("value")
     kind_fits = F.array_contains(words, F.col("kind")) | ((F.col("kind") == "integer") & F.array_contains(words, F.lit("number")))
     list_limits, text_limits = F.col("kind") == "array", F.col("kind") == "string"
     return (
@@ -148,9 +140,15 @@ def own_type() -> str:
 def check(docs: DataFrame, formats: dict[str, dict], parts: dict[str, dict]) -> DataFrame:
     """``doc_id, severity, rule, path, detail`` of every breach; ``docs(doc_id, format, json)``, the format naming the schema."""
     edges, rules = compiled(formats, parts)
-    table = docs.sparkSession.createDataFrame(rules, "type string, keyword string, value string")
+    rows = []
+    for name, keyword, value in rules:
+        words = json.loads(value) if keyword in ("type", "enum", "required", "closed") else None
+        if keyword in ("pattern", "names") and value.endswith("$"):
+            value = value[:-1] + r"\z"  # the very end of the text
+        rows.append((name, keyword, value, words))
+    table = docs.sparkSession.createDataFrame(rows, "type string, keyword string, value string, words array<string>")
     # the rules are as long as the schemas; a text that isn't JSON has the one kind that no type allows
-    ruled = typed(nodes(docs), edges).join(F.broadcast(table), "type")
+    ruled = nodes(docs, edges).join(F.broadcast(table), "type")
     broken = ruled.select("doc_id", "path", F.col("keyword").alias("rule"), F.explode(breaches()).alias("b"))
     at = F.when(F.col("b.name").isNull(), F.col("path")).otherwise(
         F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "b.name")
