@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_sum, half_even
-from ..session import cut
 from .ordered import first_k
+from .trees import fold_up
 
 DETAIL = 3
 
@@ -22,15 +22,9 @@ def function_stats(calls: DataFrame, keys: list[str]) -> DataFrame:
 def detailed_calls(calls: DataFrame, k: int = DETAIL) -> DataFrame:
     """Calls kept in detail: the first ``k`` of a function under one call that is itself kept in detail."""
     first = first_k(calls, ["run_id", "parent", "fn"], ["node"], k)
-    level = cut(first.filter(F.col("parent").isNull()))
-    kept = level
-    below = cut(first.filter(F.col("parent").isNotNull()))
-    while True:
-        up = level.select("run_id", F.col("node").alias("parent"))
-        level = cut(below.join(up, ["run_id", "parent"], "left_semi"))
-        if level.isEmpty():
-            return kept
-        kept = cut(kept.unionByName(level))
+    # kept if the chain of first calls ends at a root, and not at a call that is missing
+    rooted = fold_up(first, ["run_id"], "node", "parent", {"rooted": F.col("parent").isNull()}, lambda below, above: above)
+    return first.join(rooted.filter("rooted").select("run_id", "node"), ["run_id", "node"], "left_semi")
 
 
 def repeats(calls: DataFrame, kept: DataFrame, k: int = DETAIL) -> DataFrame:

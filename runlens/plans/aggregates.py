@@ -115,8 +115,8 @@ def _(t):
 )
 def _(t):
     n = spark_feed(t, feeds.NODES)
-    p = trees.tree_paths(n, ["run_id"], "node", "parent")
-    return p.join(n.select("run_id", "node", "fn"), ["run_id", "node"]).groupBy("run_id", "fn").agg(F.min("depth").alias("depth"))
+    deep = trees.tree_depths(n, ["run_id"], "node", "parent")
+    return deep.join(n.select("run_id", "node", "fn"), ["run_id", "node"]).groupBy("run_id", "fn").agg(F.min("depth").alias("depth"))
 
 
 IMPORTS = f"""

@@ -215,7 +215,7 @@ def _(t):
 )
 def _(t):
     n = spark_feed(t, feeds.NODES)
-    seen = trees.tree_paths(n, ["run_id"], "node", "parent").filter("node % 2 = 0").join(n.select("run_id", "node", "fn"), ["run_id", "node"])
+    seen = trees.tree_depths(n, ["run_id"], "node", "parent").filter("node % 2 = 0").join(n.select("run_id", "node", "fn"), ["run_id", "node"])
     depths = seen.groupBy("run_id", "fn").agg(F.min("depth").alias("depth"))
     return lookups.source_priority(spark_feed(t, FUNCTIONS), depths, n).select("run_id", "fn", "priority")
 
