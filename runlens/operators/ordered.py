@@ -5,6 +5,9 @@ cut into spans of ``seq`` first. Each (key, span) is scanned on its own, one sma
 across the spans of the key, and the two are joined. There is one plan for every size. Where ``seq`` is a whole number
 that is unique within the key, a span never holds more than ``span`` rows, however many rows the key has; where it is a
 time, a span holds what happened in ``span`` units. The carry of a key sorts its spans, one small row each.
+
+Where no column says how dense a key is (ranks over everything, orders by text), spans are the ranges of a range partition
+instead (``ranges``): as even as the sample of the partitioner, and as many as there are partitions, not rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import materialise, written
 
 SPAN = 1 << 12
 _CHUNK = "__span"
@@ -36,6 +39,7 @@ def scan(
     last: dict[str, str] | None = None,
     span: float = SPAN,
     settled: bool = False,
+    ranges: bool = False,
 ) -> DataFrame:
     """Add ordered columns to ``df``.
 
@@ -44,16 +48,24 @@ def scan(
     ``lag`` / ``lead``: new name -> column, value in the previous / next row. ``total``: new name -> column,
     running sum up to this row. ``last``: new name -> column, latest value that is not null, this row included.
 
+    ``ranges``: spans are ranges of all of ``keys`` and ``order``, which may then be of any type; without ``keys`` the whole
+    table is one sequence.
+
     The input is read twice. It is written to the shared folder first unless ``settled`` says that it is cheap to
     read again (a table scan with projections and filters), so chained scans do not multiply their inputs.
     """
     lag, lead, total, last = lag or {}, lead or {}, total or {}, last or {}
     order = [order] if isinstance(order, str) else order
-    df = df if settled else written(df)
-    first = F.col(order[0])
-    if dict(df.dtypes)[order[0]].startswith("timestamp"):
-        first = F.unix_micros(first.cast("timestamp")) / 1000000
-    base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
+    if ranges:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(parts, *keys, *order).withColumn(_CHUNK, F.spark_partition_id().cast("long"))
+        base = materialise(dealt, "ranges")
+    else:
+        df = df if settled else written(df)
+        first = F.col(order[0])
+        if dict(df.dtypes)[order[0]].startswith("timestamp"):
+            first = F.unix_micros(first.cast("timestamp")) / 1000000
+        base = df.withColumn(_CHUNK, F.floor(first / F.lit(span)).cast("long"))
     at = F.struct(*order)
 
     # one row per (key, span)

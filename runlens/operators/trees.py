@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .ordered import first_k, scan
+from ..session import cut, materialise
+from .ordered import scan
 
 
 class CycleError(ValueError):
@@ -220,41 +220,54 @@ def reading_steps(sites: DataFrame, order: DataFrame, key: str) -> DataFrame:
 
 
 def fit_budget(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int, window: int = 1000) -> DataFrame:
-    """Greedy budget in order: an item is kept if it still fits; later, smaller ones may still fit.
-
-    Each round takes the next ``window`` items of a key that could fit at all and folds them in one bounded
-    array; the rest wait for the next round. ``kept`` is exact: an item that is larger than what is left can
-    never be kept later, because the budget only shrinks. The first item of a round always fits, so rounds end."""
-    items = items.withColumn("__at", F.struct(*order))
-    left = cut(items.select(*keys).distinct().withColumns({"__left": F.lit(budget).cast("long"), "__after": F.lit(None).cast(items.schema["__at"].dataType)}))
-    kept: DataFrame | None = None
+    """Greedy budget in order: an item is kept if it still fits; later, smaller ones may still fit. Sizes are 0 or more.
+
+    A round looks at the items that could still fit into what is ``left``, with T the largest power of two up to that. While
+    T or more is left, every item below T fits, so what is left behind each item is a running total, and of the larger items
+    only the first that fits into it can be kept. There, or where the small ones bring it below T, the round of a key ends
+    with less than T left: at most log2(budget) + 1 rounds, whatever the sizes. A key with at most ``window`` such items
+    is folded in one array and done. Both ways are exact. Running totals are cut into spans, so a hot key is spread."""
+    items = materialise(scan(items, keys, order, row_number="__pos", ranges=True), "items")
+    wide = items.select(*keys, "__pos", F.col(size).cast("long").alias("__size"))
+    kept = wide.filter("__size <= 0").select(*keys, "__pos")
+    left = items.select(*keys).distinct().withColumns({"__left": F.lit(budget).cast("long"), "__after": F.lit(0).cast("long")})
     while True:
-        open_items = (
-            items.join(left, keys)
-            .filter((F.col(size) <= F.col("__left")) & (F.col("__after").isNull() | (F.col("__at") > F.col("__after"))))
-            .select(*keys, "__at", F.col(size).cast("long").alias("__size"), "__left")
-        )
-        batch = first_k(open_items, keys, ["__at"], window)
-        folded = batch.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("__at", "__size"))).alias("xs"), F.first("__left").alias("__left")
+        still = (F.col("__size") > 0) & (F.col("__size") <= F.col("__left")) & (F.col("__pos") > F.col("__after"))
+        open_items = materialise(wide.join(left, keys).filter(still).drop("__after"), "open")
+        n = cut(open_items.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+        if n.isEmpty():
+            break
+        few, many = n.filter(F.col("__n") <= window), n.filter(F.col("__n") > window)
+        kept = kept.unionByName(_folded(open_items.join(few, keys, "left_semi"), keys))
+        if many.isEmpty():
+            break
+        power = F.pow(F.lit(2.0), F.floor(F.log2("__left"))).cast("long")
+        state = open_items.join(many, keys, "left_semi").withColumn("__t", power)
+        state = state.withColumn("__small", F.when(F.col("__size") < F.col("__t"), F.col("__size")).otherwise(F.lit(0)))
+        state = materialise(scan(state, keys, "__pos", total={"__s": "__small"}), "totals")
+        rest = F.col("__left") - F.col("__s")
+        ends = F.when(F.col("__size") < F.col("__t"), rest < F.col("__t")).otherwise(F.col("__size") <= rest)
+        over = F.when(F.col("__small") > 0, rest).otherwise(rest - F.col("__size"))
+        stop = state.filter(ends).groupBy(*keys).agg(F.min("__pos").alias("__stop"), F.min_by(over, "__pos").alias("__over"))
+        stop = cut(stop)
+        mine = state.join(stop, keys, "left")
+        small = (F.col("__small") > 0) & (F.col("__stop").isNull() | (F.col("__pos") <= F.col("__stop")))
+        kept = kept.unionByName(mine.filter(small | (F.col("__pos") == F.col("__stop"))).select(*keys, "__pos"))
+        left = stop.select(*keys, F.col("__over").alias("__left"), F.col("__stop").alias("__after"))
+    flag = kept.withColumn("kept", F.lit(True))
+    return items.join(flag, [*keys, "__pos"], "left").withColumn("kept", F.coalesce("kept", F.lit(False))).drop("__pos")
+
+
+def _folded(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Positions kept of keys with few items: one array a key."""
+    xs = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__size"))).alias("xs"), F.first("__left").alias("__left"))
+    start = F.struct(F.col("__left").alias("left"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc, x):
+        fits = x["__size"] <= acc["left"]
+        return F.struct(
+            F.when(fits, acc["left"] - x["__size"]).otherwise(acc["left"]).alias("left"),
+            F.when(fits, F.concat(acc["kept"], F.array(x["__pos"]))).otherwise(acc["kept"]).alias("kept"),
         )
-        start = F.struct(F.col("__left").alias("left"), F.array().cast(folded.schema["xs"].dataType).alias("kept"))
 
-        def step(acc, x):
-            fits = x["__size"] <= acc["left"]
-            return F.struct(
-                F.when(fits, acc["left"] - x["__size"]).otherwise(acc["left"]).alias("left"),
-                F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
-            )
-
-        done = cut(
-            folded.select(*keys, F.aggregate("xs", start, step).alias("r"), F.element_at("xs", -1)["__at"].alias("__after"))
-            .select(*keys, F.col("r.left").alias("__left"), F.col("r.kept").alias("__kept"), "__after")
-        )
-        if done.isEmpty():
-            break
-        now = done.select(*keys, F.explode("__kept").alias("x")).select(*keys, F.col("x.__at").alias("__at"))
-        kept = now if kept is None else cut(kept.unionByName(now))
-        left = done.select(*keys, "__left", "__after")
-    flag = kept.withColumn("kept", F.lit(True)) if kept is not None else items.select(*keys, "__at").limit(0).withColumn("kept", F.lit(True))
-    return items.join(flag, [*keys, "__at"], "left").withColumn("kept", F.coalesce("kept", F.lit(False))).drop("__at")
+    return xs.select(*keys, F.explode(F.aggregate("xs", start, step)["kept"]).alias("__pos"))

@@ -224,9 +224,9 @@ def _(t):
 def _(t):
     from ..operators.ordered import scan
 
-    # ranked by spans of 16 counts, so no task sorts all endpoints
-    ranked = _rates(t).withColumns({"all": F.lit(0), "fewer": -F.col("requests")})
-    return scan(ranked, ["all"], ["fewer", "first_line"], row_number="place", span=16).select("place", "endpoint", "requests")
+    # ranked by ranges of all endpoints, so no task sorts all of them
+    ranked = _rates(t).withColumn("fewer", -F.col("requests"))
+    return scan(ranked, [], ["fewer", "first_line"], row_number="place", ranges=True).select("place", "endpoint", "requests")
 
 
 @query("top2_worst", f"WITH {_ACC} SELECT endpoint, errors FROM er ORDER BY errors DESC, requests DESC, first_line LIMIT 5")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import scan
@@ -39,24 +39,28 @@ def write_report(df: DataFrame, out: str, run_date: str) -> str:
 
 
 def save_table(df: DataFrame, target: str, full_refresh: bool = False) -> int:
-    """Append to a table, or replace it; returns the number of rows saved.
-
-    A replacement is written beside the table first and moved into place when it is whole, so a job that fails
-    half-way leaves the old table."""
-    spark = df.sparkSession
-    fresh = f"{target.rstrip('/')}__new"
-    if exists(spark, fresh):
-        delete(spark, fresh)
-    df.write.parquet(fresh)
-    rows = spark.read.parquet(fresh).count()
-    if full_refresh or not exists(spark, target):
-        if exists(spark, target):
-            delete(spark, target)
-        move(spark, fresh, target)
-    else:
-        spark.read.schema(df.schema).parquet(fresh).write.mode("append").parquet(target)
-        delete(spark, fresh)
-    return rows
+    """Append to a table, or replace it, in one pass; returns the number of rows saved, counted by the tasks that wrote them.
+
+    A replacement is written beside the table first. When it is whole, the old table is moved aside, the new one into
+    place, and only then the old one goes. A job that fails in between leaves one of them; the next call puts an old
+    table back that has no successor."""
+    spark, target = df.sparkSession, target.rstrip("/")
+    fresh, aside = f"{target}__new", f"{target}__old"
+    if exists(spark, aside) and not exists(spark, target):
+        move(spark, aside, target)
+    # counted in the writing stage itself, where a task that runs again counts once
+    saved = Observation()
+    counted = df.observe(saved, F.count(F.lit(1)).alias("rows"))
+    if not full_refresh:
+        counted.write.mode("append").parquet(target)
+        return saved.get["rows"]
+    counted.write.mode("overwrite").parquet(fresh)
+    if exists(spark, target):
+        delete(spark, aside)
+        move(spark, target, aside)
+    move(spark, fresh, target)
+    delete(spark, aside)
+    return saved.get["rows"]
 
 
 def write_json(df: DataFrame, path: str) -> str:
@@ -68,7 +72,7 @@ def write_json(df: DataFrame, path: str) -> str:
 def alert_pages(rows: DataFrame, pos: str, columns: list[str], page: int = 1000) -> DataFrame:
     """Alert payload ``{count, stations}``. The list is cut into pages, each with the total count, so an alert of any size
     never has to fit into one row."""
-    numbered = scan(rows.withColumn("__all", F.lit(0)), ["__all"], pos, row_number="__n")
+    numbered = scan(rows, [], pos, row_number="__n", ranges=True)
     paged = numbered.withColumn("page", F.floor((F.col("__n") - 1) / page).cast("long"))
     pages = paged.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("__n", *columns))).alias("x"))
     items = F.transform("x", lambda r: F.struct(*[r[c].alias(c) for c in columns]))
