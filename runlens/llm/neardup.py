@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, written
 from .links import components
-from .rows import ID, TIE, give, keyed
+from .rows import ID, TIE, give, keyed, sifted
 from .textbytes import mix, shingles
 from .wordids import slices
 
@@ -207,10 +207,12 @@ class _Join:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
         wanted = self.classes.join(wanted, "digest", "left_semi").select("digest", f"place.{ID}", f"place.{TIE}")
-        # written, so that the planner knows its size and spares the shuffle of all texts where it may
-        wanted = materialise(wanted, "wanted").withColumnsRenamed({ID: "__fid", TIE: "__ftie"})
+        # most texts aren't wanted: they leave the scan before the join shuffles
+        wanted = materialise(wanted, "wanted")
+        rows = sifted(self.docs.select(ID, TIE, self.text), wanted)
+        wanted = wanted.withColumnsRenamed({ID: "__fid", TIE: "__ftie"})
         on = F.col(ID).eqNullSafe(F.col("__fid")) & (F.col(TIE) == F.col("__ftie"))
-        rows = self.docs.select(ID, TIE, self.text).join(wanted, on)
+        rows = rows.join(wanted, on)
         new = materialise(rows.select("digest", sets(F.col(self.text), self.k).alias("set")), "sets").dropDuplicates(["digest"])
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
@@ -225,7 +227,8 @@ class _Join:
         each = self.classes.select("digest", F.explode(tokens).alias("node"))
         held = materialise(each, "nodes")
         full = held.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "digest"), "digest")).alias("p"))
-        full = full.where("size > 1").select("node", "size", F.col("p.digest").alias("pivot"))
+        # written, so that the join has plain tables on both sides and a large node can be split
+        full = materialise(full.where("size > 1").select("node", "size", F.col("p.digest").alias("pivot")), "pivots")
         return materialise(held.join(full, "node"), "full")
 
     def _star(self, nodes: DataFrame) -> DataFrame:
@@ -240,9 +243,11 @@ class _Join:
 
     def _mixed(self, nodes: DataFrame) -> DataFrame:
         """Nodes whose classes are of several components, with their size and largest component."""
+        nodes = written(nodes, "rooted")
         each = nodes.groupBy("node", "root").agg(F.count("*").alias("n"))
         size = each.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("m"))
-        size = size.where("size > m.n").select("node", "size", F.col("m.root").alias("main"))
+        # written, so that the join has plain tables on both sides and a large node can be split
+        size = materialise(size.where("size > m.n").select("node", "size", F.col("m.root").alias("main")), "sizes")
         return nodes.join(size, "node")
 
     def _pairs(self, nodes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        if size <= 1 << 22:  # the table of a very long text isn't kept
+        if size <= 1 << 19:  # the table of a long text isn't kept
             _tables[base] = table
     return table[:n]
 
