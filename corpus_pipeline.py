@@ -2,11 +2,13 @@
 
 quality rules -> line dedup -> MinHash near-dedup -> substring dedup -> packing. All stages but the last return the
 columns of ``documents``; texts that a stage changes keep their id, ``n_chars`` stays that of the source. Each stage
-handles null ids and texts, empty tables and extra columns as its operator says.
+handles null ids and texts and empty tables as its operator says. Extra columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,30 +18,37 @@ from runlens.llm.rows import prepared
 from runlens.session import materialise
 
 
+def beside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on documents whose other columns have names that no operator uses; the result has the columns of ``docs``."""
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = work(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the classifier go."""
     prepared(spark)
-    model = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.rules(docs, model).where("kept").select(*docs.columns)
+    model = quality_rules.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return beside(docs, lambda d: quality_rules.rules(d, model).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least ten documents go from all but the earliest; a document left without a word goes too."""
     prepared(spark)
-    out = lineruns.dedup(docs, keep_first=True).select(*docs.columns)
+    out = beside(docs, lambda d: lineruns.dedup(d, keep_first=True))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, similarity 0.8."""
     prepared(spark)
-    return neardup.dedup(docs, k=5, percent=80).select(*docs.columns)
+    return beside(docs, lambda d: neardup.dedup(d, k=5, percent=80))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a document left without a word goes too."""
     prepared(spark)
-    out = substring.dedup(docs).select(*docs.columns)
+    out = beside(docs, substring.dedup)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
