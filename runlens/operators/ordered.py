@@ -141,6 +141,22 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str | Non
     return out.withColumnRenamed("__rk", rank) if rank else out.drop("__rk")
 
 
+def capped(tables: dict[str, tuple[DataFrame, list, int]], keys: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The first rows of each key in several tables, and which keys had more.
+
+    ``tables``: name -> (table, order, most rows of a key). Returns the cut tables by name, and a row per key that any
+    table has: ``truncated`` and ``over``, the names of the tables that were cut, in their order here. Caps apply on the map
+    side, and what was there is counted by a partial aggregate, so no key is ever gathered."""
+    cut_tables = {name: first_k(df, keys, order, most) for name, (df, order, most) in tables.items()}
+    counts = [
+        df.groupBy(*keys).agg((F.count(F.lit(1)) > most).alias("cut")).select(*keys, F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), "cut").alias("t"))
+        for i, (name, (df, _, most)) in enumerate(tables.items())
+    ]
+    per = reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))  # a row per table
+    over = F.transform(F.filter("ts", lambda x: x["cut"]), lambda x: x["name"])
+    return cut_tables, per.select(*keys, (F.size(over) > 0).alias("truncated"), over.alias("over"))
+
+
 def islands(
     df: DataFrame,
     keys: list[str],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_k, islands, scan
+from ..operators.ordered import capped, first_k, islands, scan
 from . import feeds
 from .feeds import oracle_feed, spark_feed
 from .registry import query
@@ -70,6 +73,32 @@ def _(t):
     return first_k(e, ["user_id"], ["event_id"], 50).join(n, "user_id")
 
 
+_CAPS = {"nodes": 150, "line_events": 120, "io_events": 200}
+_CAPPED = f"""(SELECT 'nodes' AS tbl, run_id, node AS id FROM {oracle_feed(feeds.NODES)} n QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY node) <= 150
+    UNION ALL SELECT 'line_events', run_id, seq FROM {_LN} l QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq) <= 120
+    UNION ALL SELECT 'io_events', run_id, seq FROM {oracle_feed(feeds.IO)} i QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq) <= 200)"""
+
+
+@query(
+    "win18_run_caps",
+    f"""WITH n AS (SELECT run_id, (SELECT count(*) FROM {oracle_feed(feeds.NODES)} x WHERE x.run_id = r.run_id) AS a, (SELECT count(*) FROM {_LN} x WHERE x.run_id = r.run_id) AS b
+          FROM (SELECT DISTINCT run_id FROM {oracle_feed(feeds.NODES)} x) r)
+        SELECT c.run_id, c.tbl, count(*) AS kept, max(c.id) AS last, any_value(n.a > 150 OR n.b > 120) AS truncated,
+          any_value(list_filter([CASE WHEN n.a > 150 THEN 'nodes' END, CASE WHEN n.b > 120 THEN 'line_events' END], lambda x: x IS NOT NULL)) AS over
+        FROM {_CAPPED} c JOIN n ON n.run_id = c.run_id GROUP BY c.run_id, c.tbl""",
+)
+def _(t):
+    tables = {
+        "nodes": (spark_feed(t, feeds.NODES).select("run_id", F.col("node").alias("id")), ["id"], _CAPS["nodes"]),
+        "line_events": (spark_feed(t, feeds.LINES).select("run_id", F.col("seq").alias("id")), ["id"], _CAPS["line_events"]),
+        "io_events": (spark_feed(t, feeds.IO).select("run_id", F.col("seq").alias("id")), ["id"], _CAPS["io_events"]),
+    }
+    kept, flags = capped(tables, ["run_id"])
+    rows = reduce(DataFrame.unionByName, [df.withColumn("tbl", F.lit(name)) for name, df in kept.items()])
+    per = rows.groupBy("run_id", "tbl").agg(F.count(F.lit(1)).alias("kept"), F.max("id").alias("last"))
+    return per.join(flags, "run_id")
+
+
 @query("top6_events_by_seq", f"SELECT event_id, run_id, seq, op FROM {oracle_feed(feeds.IO)} i ORDER BY run_id, seq")
 def _(t):
     return spark_feed(t, feeds.IO).select("event_id", "run_id", "seq", "op").orderBy("run_id", "seq")
