@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from importlib.metadata import packages_distributions
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Libraries whose writes are not seen, with what they are.
@@ -107,6 +110,24 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     return imports.withColumn("candidate", F.explode(F.array_union(F.array_union(F.array("target"), own), parents)))
 
 
+def library_names(spark: SparkSession) -> DataFrame:
+    """``top, kind``: names of the standard library and of the installed packages of this Python, ``stdlib`` or ``third_party``. As long
+    as the installation."""
+    installed = set(packages_distributions()) - set(sys.stdlib_module_names)
+    rows = [(n, "stdlib") for n in sorted(sys.stdlib_module_names)] + [(n, "third_party") for n in sorted(installed)]
+    return spark.createDataFrame(rows, "top string, kind string")
+
+
+def import_classes(imports: DataFrame, project: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Adds ``kind`` to ``imports(run_id, target)``: ``project`` where the run has a module of the top name, else what ``libraries(top,
+    kind)`` says, else ``missing``. ``project(run_id, module)``."""
+    top = F.split_part("target", F.lit("."), F.lit(1))
+    own = project.select("run_id", F.split_part("module", F.lit("."), F.lit(1)).alias("top"), F.lit("project").alias("__own")).distinct()
+    named = imports.withColumn("top", top).join(own, ["run_id", "top"], "left")
+    known = libraries.select("top", F.col("kind").alias("__kind")).dropDuplicates(["top"])
+    return named.join(known, "top", "left").withColumn("kind", F.coalesce("__own", "__kind", F.lit("missing"))).drop("__own", "__kind")
+
+
 def unknown_statements(explanations: DataFrame, stmts: DataFrame, hints: int = 12) -> DataFrame:
     """Explanations of statements that do not exist, with the start lines of the first ``hints`` statements of the file."""
     from .ordered import first_k

@@ -252,6 +252,28 @@ def loop_effect(hidden: DataFrame, changes: DataFrame) -> DataFrame:
     return last.filter(~F.col("s.deleted")).select("run_id", "hidden_by", "var", F.col("s.value").alias("value"))
 
 
+def loop_summaries(spans: DataFrame, hidden: DataFrame, events: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per collapsed loop, to stand behind its first iteration: ``iterations`` that ran, ``detailed`` ones among the steps,
+    ``hidden`` steps, and ``changes``, the latest value of each variable that the hidden steps of the loop's own call changed
+    and did not delete.
+
+    ``spans`` from ``loop_spans``, ``hidden`` from ``hidden_by_loops``, ``events(run_id, seq, node, stmt)``, ``changes(run_id, seq, var, value,
+    deleted)``. A loop has as many changes as its call has variables, so the map is bounded by the source code."""
+    heads = spans.select("run_id", F.col("start").alias("hidden_by"), F.col("node").alias("__node"), F.col("loop").alias("__loop"), "second", "stop", "iterations")
+    mine = written(hidden.join(events.select("run_id", "seq", "node", "stmt"), ["run_id", "seq"]).join(heads, ["run_id", "hidden_by"]))
+    own = F.col("node") == F.col("__node")
+    per = mine.groupBy("run_id", "hidden_by").agg(
+        F.first("__node").alias("node"), F.first("__loop").alias("stmt"), F.first("iterations").alias("iterations"),
+        (F.count_if(own & (F.col("stmt") == F.col("__loop"))) + 1).alias("detailed"), F.count(F.lit(1)).alias("hidden"),
+    )
+    latest = mine.filter(own).select("run_id", "hidden_by", "seq").join(changes, ["run_id", "seq"])
+    latest = latest.groupBy("run_id", "hidden_by", "var").agg(F.max_by(F.struct("value", "deleted"), F.col("seq")).alias("s"))
+    latest = latest.filter(~F.col("s.deleted")).groupBy("run_id", "hidden_by").agg(
+        F.map_from_entries(F.collect_list(F.struct("var", "s.value"))).alias("changes")
+    )
+    return per.join(latest, ["run_id", "hidden_by"], "left").withColumnRenamed("hidden_by", "start")
+
+
 def group_steps(steps: DataFrame, span: float = SPAN) -> DataFrame:
     """Neighbouring simple statements of one group, call and block as one step. A raising step begins a new one.
 

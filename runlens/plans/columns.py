@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import effects
+from ..sources import settings
 from . import feeds
 from .feeds import oracle_feed, spark_feed
 from .registry import query
@@ -160,6 +161,18 @@ def _(t):
     )
 
 
+_LAYERS = {"args": ["--event-type", "click"], "environ": {"JOB_LEAST": "30.5", "JOB_EVENT_TYPE": "view"}}
+
+
+@query("src7_layers", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value >= 30.5")
+def _(t):
+    # the argument wins over the environment, the environment over the default
+    made = settings.settings(ScanSettings, _LAYERS["args"], _LAYERS["environ"], "job_")
+    return t.spark.sql(
+        "SELECT event_id, value FROM {events} WHERE event_type = :event_type AND value >= :least", args=settings.bound(made), events=t.events
+    )
+
+
 @query(
     "set5_unknown_fields",
     "SELECT event_id, list_filter(['k', event_type], lambda x: x NOT IN ('k', 'view')) AS unknown FROM events",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from ..operators import calls, lookups, trees
@@ -243,6 +245,26 @@ def _(t):
     return lookups.unresolved_items(items, spark_feed(t, FUNCTIONS))
 
 
+_TARGETS_OF = f"""SELECT event_id, run_id, CASE k % 6 WHEN 0 THEN 'json.decoder' WHEN 1 THEN 'pandas' WHEN 2 THEN concat('etl.', event_type) WHEN 3 THEN 'csv' WHEN 4 THEN concat('x', k) ELSE 'pyspark.sql' END AS target FROM ({feeds.EV}) e"""
+# one run has a module of its own that is called like a library
+_OWN = f"""SELECT DISTINCT run_id, CASE WHEN k % 3 = 0 AND run_id % 2 = 0 THEN 'csv' ELSE 'etl.clean' END AS module FROM ({feeds.EV}) e"""
+
+
+def _library_rows() -> str:
+    return ", ".join(f"('{n}', 'stdlib')" for n in sorted(sys.stdlib_module_names)) + ", ('pandas', 'third_party'), ('pyspark', 'third_party')"
+
+
+@query(
+    "fn19_import_tables",
+    f"""WITH lib(top, kind) AS (VALUES {_library_rows()})
+        SELECT i.event_id, i.target, CASE WHEN EXISTS (SELECT 1 FROM {oracle_feed(_OWN)} o WHERE o.run_id = i.run_id AND split_part(o.module, '.', 1) = split_part(i.target, '.', 1)) THEN 'project'
+          ELSE coalesce(l.kind, 'missing') END AS kind FROM {oracle_feed(_TARGETS_OF)} i LEFT JOIN lib l ON l.top = split_part(i.target, '.', 1)""",
+)
+def _(t):
+    found = lookups.import_classes(spark_feed(t, _TARGETS_OF), spark_feed(t, _OWN), lookups.library_names(t.spark))
+    return found.select("event_id", "target", "kind")
+
+
 # ---- set operations
 
 

@@ -298,3 +298,24 @@ def _(t):
     spark_feed(t, STORY).select("doc_id", "json").write.json(path)
     docs = read_document_files(t.spark, path)
     return docs.filter("kind = 'storyboard/1'").select("doc_id", "kind", F.col("doc")["mode"].alias("mode"))
+
+
+@query(
+    "src6_document_folder",
+    """SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'walkthrough/1' WHEN n_nationkey % 3 = 1 THEN 'storyboard/1' ELSE '' END AS kind,
+       CASE WHEN n_nationkey % 3 < 2 THEN count(c_custkey)::varchar END AS title
+       FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
+)
+def _(t):
+    """A folder of whole documents, one file a nation; a third of them are no JSON."""
+    from ..session import scratch_path
+    from ..sources.recordings import read_document_folder
+
+    per = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("n"))
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "x.walkthrough/1").otherwise("x.storyboard/1")
+    text = F.concat(F.lit('{\n "schema": "'), kind, F.lit('",\n "title": "'), "n", F.lit('"\n}'))
+    docs = per.select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 2, "no document\n").otherwise(text).alias("value"))
+    path = scratch_path(t.spark, "folder")
+    docs.write.partitionBy("n_nationkey").text(path)
+    nation = F.regexp_extract("doc_id", "n_nationkey=([0-9]+)", 1).cast("int").alias("nation")
+    return read_document_folder(t.spark, path).select(nation, "kind", F.col("doc")["title"].alias("title"))

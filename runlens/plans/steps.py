@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import steps, trees
+from ..operators import calls, steps, trees
 from ..operators.ordered import scan
 from . import feeds
 from .feeds import spark_feed
@@ -122,6 +122,31 @@ def _(t):
     )
 
 
+# the first call of a function under a call is kept in detail, the others are counted
+_ONCE = """
+wr AS (SELECT *, row_number() OVER (PARTITION BY run_id, parent, fn ORDER BY node) AS rn, count(*) OVER (PARTITION BY run_id, parent, fn) AS total FROM nd),
+dt(run_id, node) AS (SELECT run_id, node FROM wr WHERE parent IS NULL AND rn = 1 UNION ALL SELECT w.run_id, w.node FROM wr w JOIN dt ON dt.run_id = w.run_id AND dt.node = w.parent WHERE w.rn = 1)"""
+
+
+@query(
+    "jn4_repeats",
+    with_steps(
+        f"""SELECT tm.run_id, tm.node, tm.seq, c.node AS fact, c.fn, CASE WHEN c.total > 1 THEN c.total - 1 END AS repeats
+           FROM tm JOIN wr c ON c.run_id = tm.run_id AND c.parent = tm.node AND NOT {_FOCUS}
+           AND c.t_ms BETWEEN tm.t_ms AND tm.t_end JOIN dt ON dt.run_id = c.run_id AND dt.node = c.node""",
+        _ONCE,
+    ),
+)
+def _(t):
+    """Calls out of the focus made while a statement ran, with how often the calling call made more of them."""
+    all_calls = nodes(t).select("run_id", "node", "parent", "fn", "t_ms")
+    detailed = t.once("detailed", lambda: calls.detailed_calls(all_calls, 1))
+    more = calls.repeats(all_calls, detailed, 1).withColumnRenamed("parent", "node")
+    away = detailed.filter(f"NOT {_FOCUS}").select("run_id", F.col("node").alias("fact"), F.col("parent").alias("node"), "t_ms", "fn")
+    hit = steps.during(steps.with_next_time(kept(t), nodes(t)), away.drop("fn"))
+    return hit.join(away.select("run_id", "fact", "fn"), ["run_id", "fact"]).join(more, ["run_id", "node", "fn"], "left")
+
+
 _ROWS = """
 mv AS (SELECT run_id, seq, node, lag(node) OVER w AS prev, lead(seq) OVER w AS nxt FROM kp WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
 df AS (SELECT mv.*, a.path AS a, b.path AS b,
@@ -264,6 +289,34 @@ def _(t):
     return steps.loop_effect(hidden, changes.withColumn("deleted", F.col("value") < 5))
 
 
+@query(
+    "win11_loop_summaries",
+    with_steps(
+        """SELECT p.*, v.vars, v.latest FROM (
+             SELECT h.run_id, h.hidden_by AS start, any_value(cs.node) AS node, any_value(cs.loop) AS stmt, any_value(cs.iterations) AS iterations,
+               (count(*) FILTER (WHERE kp.node = cs.node AND kp.stmt = cs.loop) + 1)::bigint AS detailed, count(*) AS hidden
+             FROM hid h JOIN kp ON kp.run_id = h.run_id AND kp.seq = h.seq JOIN cs ON cs.run_id = h.run_id AND cs.start = h.hidden_by GROUP BY h.run_id, h.hidden_by) p
+           LEFT JOIN (SELECT run_id, hidden_by, list(var ORDER BY var) AS vars, round(sum(value), 6) AS latest FROM (
+             SELECT h.run_id, hidden_by, var, arg_max(value, c.seq) AS value, arg_max(value < 5, c.seq) AS del
+             FROM hid h JOIN cs ON cs.run_id = h.run_id AND cs.start = h.hidden_by JOIN kp ON kp.run_id = h.run_id AND kp.seq = h.seq AND kp.node = cs.node
+             JOIN (SELECT m.run_id, m.seq, i.var, arg_max(i.value, i.seq) AS value FROM mg m JOIN isl i USING (run_id, island) GROUP BY ALL) c
+             ON c.run_id = h.run_id AND c.seq = h.seq GROUP BY ALL) WHERE NOT del GROUP BY ALL) v ON v.run_id = p.run_id AND v.hidden_by = p.start""",
+        _LOOPS,
+    ),
+)
+def _(t):
+    c = closure(t)
+    k = kept(t, c)
+    spans = t.once("spans", lambda: loops(t, k, c))
+    x = tagged(t)
+    changes = steps.merge_events(x).select("run_id", "island", "seq").join(steps.latest_changes(x), ["run_id", "island"])
+    found = steps.loop_summaries(spans, steps.hidden_by_loops(k, spans), k, changes.withColumn("deleted", F.col("value") < 5))
+    total = F.aggregate(F.map_values("changes"), F.lit(0.0), lambda a, v: a + v)
+    return found.select(
+        "run_id", "start", "node", "stmt", "iterations", "detailed", "hidden", F.array_sort(F.map_keys("changes")).alias("vars"), F.round(total, 6).alias("latest")
+    )
+
+
 _GROUPS = """
 g1 AS (SELECT *, CASE WHEN grp IS NOT NULL AND raised IS NULL AND lag(node) OVER w = node AND lag(grp) OVER w = grp
                       AND lag(parent) OVER w IS NOT DISTINCT FROM parent THEN 0 ELSE 1 END AS brk

@@ -10,7 +10,7 @@ from runlens.plans.registry import ORACLES
 
 QUERIES = dict(all_queries())
 # these need more rows than the smallest tables hold to give any row
-SPARSE = {"chk11_budget", "win11_loop_collapse", "agg14_loop_effect", "jn9_links"}
+SPARSE = {"chk11_budget", "win11_loop_collapse", "win11_loop_summaries", "agg14_loop_effect", "jn9_links"}
 
 
 @pytest.fixture(scope="module")
