@@ -32,6 +32,19 @@ def places(t, label: str) -> tuple[str, str]:
     return scratch_path(t.spark, label), scratch_path(t.spark, label + "-state")
 
 
+def in_thirds(t: Tables, feed: str):
+    """A feed of runs as a stream of three micro-batches, each with a third of every run; ``ts`` is its event time."""
+    folder = scratch_path(t.spark, "arrivals")
+    for third in range(3):
+        part = t.events.filter(F.floor(F.col("event_id") % 200 / 67) == third)
+        part.write.mode("append").parquet(folder)
+    arriving = file_stream(t.spark, t.events.schema, folder, files_per_batch=max(1, len(t.spark.read.parquet(folder).inputFiles()) // 3))
+    place = t.spark.sql("SELECT * FROM {e}", e=arriving)
+    rows = t.spark.sql(feed.replace("{events}", "{e}"), e=place)
+    number = F.col("seq") if "seq" in rows.columns else F.col("node")
+    return rows.withColumn("ts", F.timestamp_seconds(number + 1_000_000))
+
+
 @query("str1_line_parse", f"WITH {_ACC} SELECT * FROM rq")
 def _(t):
     return append_run(access.parse(spark_feed(live(t), feeds.LOG)), *places(t, "parse"))
@@ -86,13 +99,9 @@ def _(t):
         WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, parent, fn ORDER BY node) <= 3) x GROUP BY run_id, parent, fn""",
 )
 def _(t):
-    (out, state), seen = places(t, "first"), scratch_path(t.spark, "seen")
-    each_batch(spark_feed(live(t), WIDE).filter("parent is not null"), state, S.first_calls_batch(t.spark, seen, out))
-    keys = ["run_id", "parent", "fn"]
-    # at most three nodes per key
-    kept = t.spark.read.parquet(out).groupBy(*keys).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    more = t.spark.read.parquet(seen).groupBy(*keys).agg((F.sum("n") - 3).alias("more"))
-    return kept.join(more, keys)
+    calls = in_thirds(t, WIDE).filter("parent is not null")
+    rows = update_run(S.first_calls(calls), *places(t, "first"), keys=["run_id", "parent", "fn"])
+    return rows.select("run_id", "parent", "fn", (F.col("seen") - 3).alias("more"), "nodes")
 
 
 # starts and ends of calls of three threads per run
@@ -111,7 +120,7 @@ CALLS = f"""SELECT run_id, k % 3 AS thread, pos AS seq, concat('t', k % 3) AS fn
         SELECT run_id, thread, seq, end_seq, fn, depth, t_ms - seq * 2.0 AS dur_ms FROM m""",
 )
 def _(t):
-    return append_run(S.paired_calls(spark_feed(live(t), CALLS)), *places(t, "stack"))
+    return append_run(S.paired_calls(in_thirds(t, CALLS)), *places(t, "stack"))
 
 
 @query(
@@ -124,6 +133,29 @@ def _(t):
     return t.spark.read.parquet(out).select("subject")
 
 
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(
+    "str9_window_alerts",
+    f"""WITH l AS (SELECT l.*, e.ts FROM {oracle_feed(feeds.LOG)} l JOIN events e ON e.event_id = l.line_no), {_ACC},
+        r AS (SELECT time_bucket(INTERVAL 7 DAY, l.ts, TIMESTAMP '1970-01-01') AS start, regexp_replace(split_part(rq.path, '?', 1), '/[0-9]+', '/:id', 'g') AS endpoint,
+                count(*) AS requests, count(*) FILTER (WHERE status >= 500) AS errors, min(rq.line_no) AS first_line
+              FROM rq JOIN l ON l.line_no = rq.line_no GROUP BY 1, 2),
+        tot9 AS (SELECT start, sum(requests) AS r, sum(errors) AS e FROM r GROUP BY start HAVING sum(errors) / sum(requests) > 0.05 AND start + INTERVAL 7 DAY <= {_CLOSED}),
+        b AS (SELECT start, string_agg(concat(endpoint, ': ', errors, ' errors'), chr(10) ORDER BY errors DESC, requests DESC, first_line) AS body FROM
+              (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY start ORDER BY errors DESC, requests DESC, first_line) <= 5) GROUP BY start)
+        SELECT start, format('Error rate {{:.1f}}% in the traffic', round_even(e / r * 1000, 0) / 10) AS subject, body FROM tot9 JOIN b USING (start)""",
+)
+def _(t):
+    """Alerts judged by weeks of event time: lines, rates and bodies are the same however they arrive."""
+    out, state = places(t, "weeks")
+    lines = spark_feed(live(t), feeds.LOG.replace("SELECT event_id AS line_no,", "SELECT event_id AS line_no, ts,", 1))
+    lines = lines.withColumn("ts", F.col("ts").cast("timestamp"))
+    each_batch(S.window_rates(lines, "7 days", "1 hour"), state, S.window_alert_batch(out))
+    return t.spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "subject", "body")
+
+
 @query(
     "str10_late_rows",
     """WITH m AS (SELECT max(ts) - INTERVAL 10 DAY AS mark FROM events WHERE event_id % 2 = 0)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.numbers import exact_mean, half_even
+from ..functions.text import endpoint, is_log_line, log_fields, percent
 from ..operators.access import ALERT_RATE, alert, endpoint_rates, parse
 from ..operators.ordered import first_k
 from ..sinks.writers import exists
@@ -36,28 +37,6 @@ def drop_repeats(readings: DataFrame, delay: str) -> DataFrame:
     return readings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["station_id", "timestamp"])
 
 
-def first_calls_batch(spark: SparkSession, state: str, out: str):
-    """Batch function: the first three calls per (run, parent, function) are kept, all are counted.
-
-    The counts of the batches before are the state, kept as a table in the shared folder. Both writes belong to one
-    batch number, so a batch that runs again changes nothing. The limit and the counts are taken before the shuffle,
-    so a hot key sends at most three rows and one number per task."""
-    keys = ["run_id", "parent", "fn"]
-
-    def run(df: DataFrame, batch: int) -> None:
-        df = df.select(*keys, "node").persist()
-        first = first_k(df, keys, ["node"], DETAIL, "rank")
-        if exists(spark, state):
-            before = spark.read.option("basePath", state).parquet(state).filter(F.col("batch") < batch)
-            before = before.groupBy(*keys).agg(F.sum("n").alias("seen"))
-            first = first.join(before, keys, "left").filter(F.col("rank") + F.coalesce("seen", F.lit(0)) <= DETAIL).drop("seen")
-        first.select(*keys, "node").write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{state}/batch={batch}")
-        df.unpersist()
-
-    return run
-
-
 def match_calls(stack: list[tuple[int, str, float]], events) -> tuple[list[tuple], list[tuple]]:
     """Feed ordered ``(seq, fn, is_start, t_ms)`` to a stack of open calls: an end closes the latest open call of its
     function; calls above it are thrown away, and an end without a call is ignored."""
@@ -73,26 +52,131 @@ def match_calls(stack: list[tuple[int, str, float]], events) -> tuple[list[tuple
     return stack, done
 
 
-def _pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a thread: its open calls. A micro-batch is bounded by the trigger, and so is what is sorted here."""
-    stack = list(zip(*state.get)) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("seq")
-    stack, done = match_calls(stack, zip(rows["seq"].tolist(), rows["fn"].tolist(), rows["is_start"].tolist(), rows["t_ms"].tolist()))
-    state.update(([s for s, _, _ in stack], [f for _, f, _ in stack], [t for _, _, t in stack]))
-    run, thread = key
-    out = pd.DataFrame([(run, thread, *d) for d in done], columns=["run_id", "thread", "seq", "end_seq", "fn", "depth", "dur_ms"])
-    yield out.astype({"run_id": "int64", "thread": "int64", "seq": "int64", "end_seq": "int64", "depth": "int64", "dur_ms": "float64"})
-
-
-def paired_calls(events: DataFrame) -> DataFrame:
-    """Starts and ends of calls per (run, thread) as finished calls with depth and inclusive time."""
-    return events.select("run_id", "thread", "seq", "fn", "is_start", "t_ms").groupBy("run_id", "thread").applyInPandasWithState(
-        _pair,
-        "run_id long, thread long, seq long, end_seq long, fn string, depth long, dur_ms double",
-        "seqs array<long>, fns array<string>, times array<double>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+class _Idle(StatefulProcessor):
+    """State of a key that goes when nothing has come for ``idle_ms`` of event time: each input moves a timer, and the timer that
+    the watermark passes clears the key."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def stay(self, latest: pd.Timestamp) -> None:
+        """Moves the timer; an older event doesn't move it back."""
+        at = int(latest.value // 1_000_000) + self.idle_ms
+        for old in list(self.handle.listTimers()):
+            if old >= at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield self.nothing
+
+    def close(self) -> None:
+        pass
+
+
+CALLS = "run_id long, thread long, seq long, end_seq long, fn string, depth long, dur_ms double"
+
+
+class _Stack(_Idle):
+    """Open calls of a thread. A micro-batch is bounded by the trigger, and so is what is sorted here."""
+
+    nothing = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (x.split() for x in CALLS.replace("long", "int64").replace("double", "float64").replace("string", "object").split(", "))})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("open", "seq long, fn string, t_ms double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stack = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        batch = pd.concat(list(rows)).sort_values("seq")
+        stack, done = match_calls(stack, zip(batch["seq"].tolist(), batch["fn"].tolist(), batch["is_start"].tolist(), batch["t_ms"].tolist()))
+        if stack:
+            self.held.put(stack)
+        else:
+            self.held.clear()
+        self.stay(batch["ts"].max())
+        yield pd.concat([self.nothing, pd.DataFrame([(*key, *d) for d in done], columns=self.nothing.columns).astype(self.nothing.dtypes)])
+
+
+def paired_calls(events: DataFrame, delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Starts and ends of calls per (run, thread) as finished calls with depth and inclusive time.
+
+    ``events(run_id, thread, seq, fn, is_start, t_ms, ts)``. The open calls of a thread are dropped when the watermark (``delay`` behind
+    the latest ``ts``) is ``idle_ms`` past its last event, so a thread that never ends its calls doesn't stay for ever."""
+    keyed_state(events.sparkSession)
+    wanted = events.select("run_id", "thread", "seq", "fn", "is_start", "t_ms", "ts").withWatermark("ts", delay)
+    return wanted.groupBy("run_id", "thread").transformWithStateInPandas(_Stack(idle_ms), CALLS, "Append", "EventTime")
+
+
+FIRST = "run_id long, parent long, fn string, nodes array<long>, seen long"
+
+
+class _First(_Idle):
+    """The first nodes of a key and how many came: a few numbers, however hot the key is."""
+
+    nothing = pd.DataFrame({"run_id": pd.Series(dtype="int64"), "parent": pd.Series(dtype="int64"), "fn": pd.Series(dtype=object), "nodes": pd.Series(dtype=object), "seen": pd.Series(dtype="int64")})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("first", "nodes array<long>, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, seen = self.held.get() if self.held.exists() else ([], 0)
+        now: list[int] = []
+        latest = None
+        for batch in rows:
+            now = sorted([*now, *batch["node"].tolist()])[:DETAIL]
+            seen += len(batch)
+            latest = batch["ts"].max() if latest is None else max(latest, batch["ts"].max())
+        nodes = [*before, *now][:DETAIL]
+        self.held.update((nodes, seen))
+        self.stay(latest)
+        yield pd.DataFrame([(*key, nodes, seen)], columns=self.nothing.columns)
+
+
+def first_calls(calls: DataFrame, delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """The first three calls per (run, parent, function), by arrival and then by node, and the number seen: the current
+    row of each key that a micro-batch brings something for (update mode). ``calls(run_id, parent, fn, node, ts)``; a key is
+    forgotten when the watermark is ``idle_ms`` past its last call."""
+    keyed_state(calls.sparkSession)
+    wanted = calls.select("run_id", "parent", "fn", "node", "ts").withWatermark("ts", delay)
+    return wanted.groupBy("run_id", "parent", "fn").transformWithStateInPandas(_First(idle_ms), FIRST, "Update", "EventTime")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """State with timers needs the store on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def window_rates(lines: DataFrame, every: str, delay: str) -> DataFrame:
+    """Counters of each endpoint and event-time window, given out once, when the watermark has passed the end of the window.
+    ``lines(ts, line_no, value)``."""
+    asked = lines.withWatermark("ts", delay).filter(is_log_line(F.col("value")))
+    fields = {n: c for n, c in log_fields(F.col("value")).items() if n in ("path", "status")}
+    named = asked.select("ts", "line_no", *[c.alias(n) for n, c in fields.items()])
+    out = named.groupBy(F.window("ts", every).alias("w"), endpoint(F.col("path")).alias("endpoint")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.min("line_no").alias("first_line")
     )
+    return out.select(F.col("w.start").alias("start"), "endpoint", "requests", "errors", "first_line")
+
+
+def window_alerts(rates: DataFrame, threshold: float = ALERT_RATE, k: int = 5) -> DataFrame:
+    """One outbox row per window whose error rate is above the threshold: ``start, subject, body`` with its ``k`` worst endpoints."""
+    total = rates.groupBy("start").agg(F.sum("requests").alias("r"), F.sum("errors").alias("e")).filter(F.col("e") / F.col("r") > threshold)
+    bad = first_k(rates, ["start"], [F.desc("errors"), F.desc("requests"), "first_line"], k, "place")
+    lines = bad.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "endpoint", "errors"))).alias("w"))
+    body = F.array_join(F.transform("w", lambda x: F.concat(x["endpoint"], F.lit(": "), x["errors"], F.lit(" errors"))), "\n")
+    subject = F.concat(F.lit("Error rate "), percent(half_even(F.col("e") / F.col("r"), 3)), F.lit(" in the traffic"))
+    return total.join(lines, "start").select("start", subject.alias("subject"), body.alias("body"))
+
+
+def window_alert_batch(out: str, threshold: float = ALERT_RATE):
+    """Batch function over closed windows: a window comes whole, in one batch, so it is judged once, however the lines arrived."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        window_alerts(df, threshold).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return run
 
 
 def alert_batch(out: str, threshold: float = ALERT_RATE):

@@ -1,5 +1,6 @@
 """Streaming operators over several micro-batches equal the batch result."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from runlens.operators import access, effects
 from runlens.session import scratch_path
 from runlens.streaming import operators as S
-from runlens.streaming.runner import append_run, each_batch, file_stream, update_run
+from runlens.streaming.runner import Upserts, append_run, each_batch, file_stream, update_run
 
 
 def arrivals(spark, batches, schema):
@@ -20,6 +21,10 @@ def arrivals(spark, batches, schema):
     return df, file_stream(spark, df.schema, path, files_per_batch=1)
 
 
+def at(seconds):
+    return dt.datetime(2026, 3, 1) + dt.timedelta(seconds=seconds)
+
+
 def place(spark):
     return scratch_path(spark, "out"), scratch_path(spark, "state")
 
@@ -51,18 +56,62 @@ def test_coalesced_effects(spark):
 
 def test_first_calls_across_batches(spark):
     r = random.Random(2)
-    rows = [(1, 1 if i % 3 else 2, r.choice("fg"), i) for i in range(90)]
-    df, live = arrivals(spark, [rows[:10], rows[10:11], rows[11:]], "run_id long, parent long, fn string, node long")
-    (out, state), seen = place(spark), scratch_path(spark, "seen")
-    each_batch(live, state, S.first_calls_batch(spark, seen, out))
-    nodes = {(x.parent, x.fn): sorted(x.nodes) for x in spark.read.parquet(out).groupBy("parent", "fn").agg(F.collect_list("node").alias("nodes")).collect()}
-    counts = {(x.parent, x.fn): x.n for x in spark.read.parquet(seen).groupBy("parent", "fn").agg(F.sum("n").alias("n")).collect()}
-    got = {k: (nodes[k], counts[k]) for k in nodes}
+    rows = [(1, 1 if i % 3 else 2, r.choice("fg"), i, at(i)) for i in range(90)]
+    df, live = arrivals(spark, [rows[:10], rows[10:11], rows[11:]], "run_id long, parent long, fn string, node long, ts timestamp")
+    got = update_run(S.first_calls(live), *place(spark), keys=["run_id", "parent", "fn"]).collect()
     want = {}
-    for _, p, f, n in rows:
+    for _, p, f, n, _ in rows:
         nodes, seen = want.get((p, f), ([], 0))
         want[(p, f)] = ((nodes + [n])[:3], seen + 1)
-    assert got == want
+    assert {(x.parent, x.fn): (x.nodes, x.seen) for x in got} == want
+
+
+def test_idle_keys_are_forgotten(spark):
+    """Open calls and counts go when the watermark is an hour past their last event; what is still alive stays."""
+    hour = 3600
+    schema = "run_id long, thread long, seq long, fn string, is_start boolean, t_ms double, ts timestamp"
+    batches = [
+        [(1, i, 1, "f", True, 0.0, at(0)) for i in range(40)],  # forty threads that never end their call
+        [(1, 99, 2, "f", True, 0.0, at(5 * hour))], [(1, 99, 3, "f", True, 1.0, at(5 * hour + 1))],
+        [(1, 0, 4, "f", False, 9.0, at(5 * hour + 2)), (1, 99, 5, "f", False, 9.0, at(5 * hour + 2))],
+    ]
+    _, live = arrivals(spark, batches, schema)
+    out, state = place(spark)
+    q = S.paired_calls(live).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    # the call of thread 0 was dropped before its end came
+    assert [(r.thread, r.seq, r.end_seq) for r in spark.read.parquet(out).collect()] == [(99, 3, 5)]
+    counts = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(counts) >= 40 and counts[-1] < 10
+
+
+def test_upserts_read_few_runs(spark):
+    path = scratch_path(spark, "upserts")
+    table, want = Upserts(spark, path, ["k"]), {}
+    for batch in range(21):
+        rows = [(k, batch * 10 + k, None if k % 2 else "x") for k in range(batch % 5, 40, 1 + batch % 3)]
+        want.update({k: (v, s) for k, v, s in rows})
+        df = spark.createDataFrame(rows, "k long, v long, s string")
+        table.save(df, batch)
+        if batch in (3, 9):
+            table.save(df, batch)  # a batch that runs again
+    assert {r.k: (r.v, r.s) for r in table.table().collect()} == want
+    assert len(table.paths()) <= 3 * 3
+
+
+@pytest.mark.parametrize("cuts", [[40], [7, 9, 25]])
+def test_window_alerts_whatever_the_batches(spark, cuts):
+    status = lambda i: 500 if i % (2 if i < 20 else 30) == 0 else 200
+    lines = [(i, f'ip - - "GET /p{i % 7}/{i} HTTP" {status(i)} 1' if i != 5 else "bad", at(i * 600)) for i in range(40)]
+    parts = [lines[a:b] for a, b in zip([0, *cuts], [*cuts, 40]) if a < b] + [[(99, "bad", at(86_400))]]
+    _, live = arrivals(spark, parts, "line_no long, value string, ts timestamp")
+    out, state = place(spark)
+    each_batch(S.window_rates(live, "1 hour", "10 minutes"), state, S.window_alert_batch(out))
+    got = {r.start.hour: (r.subject, r.body) for r in spark.read.parquet(out).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 5]
+    assert got[0] == ("Error rate 60.0% in the traffic", "/p0/:id: 1 errors\n/p2/:id: 1 errors\n/p4/:id: 1 errors\n/p1/:id: 0 errors\n/p3/:id: 0 errors")
+    assert got[5][0] == "Error rate 16.7% in the traffic"
 
 
 def test_call_stack(spark):
@@ -73,12 +122,12 @@ def test_call_stack(spark):
 
 def test_call_stack_across_batches(spark):
     r = random.Random(3)
-    rows = [(1, i % 2, i, r.choice("fgh"), r.random() < 0.55, float(i)) for i in range(120)]
-    df, live = arrivals(spark, [rows[:30], rows[30:70], rows[70:]], "run_id long, thread long, seq long, fn string, is_start boolean, t_ms double")
+    rows = [(1, i % 2, i, r.choice("fgh"), r.random() < 0.55, float(i), at(i)) for i in range(120)]
+    df, live = arrivals(spark, [rows[:30], rows[30:70], rows[70:]], "run_id long, thread long, seq long, fn string, is_start boolean, t_ms double, ts timestamp")
     out = append_run(S.paired_calls(live), *place(spark))
     want = []
     for thread in (0, 1):
-        _, done = S.match_calls([], [x[2:] for x in rows if x[1] == thread])
+        _, done = S.match_calls([], [x[2:6] for x in rows if x[1] == thread])
         want += [(1, thread, *d) for d in done]
     assert sorted(tuple(x) for x in out.collect()) == sorted(want)
 
