@@ -12,6 +12,9 @@ from ..session import cut, materialise
 from .ordered import scan
 
 
+RUNS = 4  # levels kept apart
+
+
 class CycleError(ValueError):
     """Parents that lead back to a node."""
 
@@ -122,15 +125,15 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     """Fewest hops from the start vertices, 0 for themselves; ``max_depth``: that many levels at most.
 
     ``edges(src, dst)``, ``start(v)``. Edges are made distinct once. The vertices reached so far are kept as runs: a new
-    level is a run of its own, and runs of like size are merged, so a round meets log2(levels) of them and a vertex is
-    written as often. Cycles end, as no vertex is reached twice."""
+    level is a run of its own, and beyond ``RUNS`` runs those of like size are merged, so a round meets ``RUNS`` + log2(vertices)
+    of them at most and a vertex is seldom written again. Cycles end, as no vertex is reached twice."""
     edges = cut(edges.select("src", "dst").distinct())
     frontier = cut(start.select("v").distinct().withColumn("depth", F.lit(0).cast("long")))
     runs: list[tuple[DataFrame, int]] = []
     depth, size = 0, frontier.count()
     while size:
         runs.append((frontier, size))
-        while len(runs) > 1 and runs[-2][1] <= 2 * runs[-1][1]:
+        while len(runs) > RUNS and runs[-2][1] <= 2 * runs[-1][1]:
             (old, n), (new, m) = runs[-2:]
             runs[-2:] = [(cut(old.unionByName(new)), n + m)]
         depth += 1

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.numbers import exact_mean, half_even
@@ -112,35 +113,50 @@ def paired_calls(events: DataFrame, delay: str = "10 minutes", idle_ms: int = 3_
 FIRST = "run_id long, parent long, fn string, nodes array<long>, seen long"
 
 
-class _First(_Idle):
-    """The first nodes of a key and how many came: a few numbers, however hot the key is."""
-
-    nothing = pd.DataFrame({"run_id": pd.Series(dtype="int64"), "parent": pd.Series(dtype="int64"), "fn": pd.Series(dtype=object), "nodes": pd.Series(dtype=object), "seen": pd.Series(dtype="int64")})
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("first", "nodes array<long>, seen long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before, seen = self.held.get() if self.held.exists() else ([], 0)
-        now: list[int] = []
-        latest = None
-        for batch in rows:
-            now = sorted([*now, *batch["node"].tolist()])[:DETAIL]
-            seen += len(batch)
-            latest = batch["ts"].max() if latest is None else max(latest, batch["ts"].max())
-        nodes = [*before, *now][:DETAIL]
-        self.held.update((nodes, seen))
-        self.stay(latest)
-        yield pd.DataFrame([(*key, nodes, seen)], columns=self.nothing.columns)
+#: neighbouring parents whose calls share a row of state
+PARENTS = 16
 
 
 def first_calls(calls: DataFrame, delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """The first three calls per (run, parent, function), by arrival and then by node, and the number seen: the current
-    row of each key that a micro-batch brings something for (update mode). ``calls(run_id, parent, fn, node, ts)``; a key is
-    forgotten when the watermark is ``idle_ms`` past its last call."""
-    keyed_state(calls.sparkSession)
+    row of each key that a micro-batch brings something for (update mode). ``calls(run_id, parent, fn, node, ts)``.
+
+    A row of state holds a few numbers for each function called by ``PARENTS`` neighbouring calls, however often: it is as long
+    as the program has functions. It is forgotten when the watermark is ``idle_ms`` past its last call."""
+    keys, columns = ["parent", "fn"], ["parent", "fn", "nodes", "seen"]
+
+    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *held, latest = state.get if state.exists else ([], [], [], [], 0)
+        known = {(p, f): (n, s) for p, f, n, s in zip(*held)}
+        parts = []
+        for batch in batches:
+            latest = max(latest, int(batch["ts"].max().value // 1_000_000))
+            batch = batch.sort_values("node")
+            per = batch.groupby(keys, sort=False)["node"]
+            few = batch[per.cumcount() < DETAIL].groupby(keys, sort=False)["node"].agg(list)
+            parts.append(pd.DataFrame({"nodes": few, "n": per.size()}).reset_index())
+        changed = {}
+        for parent, fn, nodes, n in pd.concat(parts).itertuples(index=False, name=None):
+            now, more = changed.get((parent, fn), ([], 0))
+            changed[(parent, fn)] = (sorted([*now, *nodes])[:DETAIL], more + n)
+        for k, (nodes, n) in changed.items():
+            before, seen = known.get(k, ([], 0))
+            known[k] = changed[k] = ([*before, *nodes][:DETAIL], seen + n)
+        rows = [(*k, *v) for k, v in known.items()]
+        state.update((*map(list, zip(*rows)), latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        out = pd.DataFrame([(*k, *v) for k, v in changed.items()], columns=columns)
+        out.insert(0, "run_id", key[0])
+        yield out
+
     wanted = calls.select("run_id", "parent", "fn", "node", "ts").withWatermark("ts", delay)
-    return wanted.groupBy("run_id", "parent", "fn").transformWithStateInPandas(_First(idle_ms), FIRST, "Update", "EventTime")
+    return wanted.withColumn("block", F.floor(F.col("parent") / PARENTS)).groupBy("run_id", "block").applyInPandasWithState(
+        keep, FIRST, "parents array<long>, fns array<string>, nodes array<array<long>>, seen array<long>, latest long", "update",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def keyed_state(spark: SparkSession) -> None:
