@@ -150,19 +150,26 @@ def _lst(xs):
     return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
+def _plain_calls() -> str:
+    """A case for each name whose direction depends on nothing but, for some names, their owner."""
+    owners = {n: own for found, own in names.OWNERS.items() for n in found}
+    cases = []
+    for (direction, kind), found in names.CALLS.items():
+        if direction in ("read", "write"):
+            for n in found:
+                needs = f" AND o IN {_lst(owners[n])}" if n in owners else ""
+                cases.append(f"WHEN l = '{n}'{needs} THEN '{direction}/{kind}'")
+    return "\n       ".join(cases)
+
+
 _LAST = "split_part(call, '.', -1)"
 _OWNER = "CASE WHEN contains(call, '.') THEN lower(split_part(call, '.', 1)) ELSE '' END"
 _CALL_SQL = f"""SELECT event_id, call,
   CASE WHEN call IN ('open', 'io.open') OR (l = 'open' AND o IN ('path', 'p', 'file', 'io'))
          THEN CASE WHEN regexp_matches(coalesce(mode, 'r'), '[wax+]') THEN 'write/file' ELSE 'read/file' END
-       WHEN l IN {_lst(names.READ_CALLS)} THEN CASE WHEN contains(l, 'sql') OR starts_with(l, 'fetch') THEN 'read/database' ELSE 'read/file' END
-       WHEN l IN {_lst(names.WRITE_CALLS)} THEN CASE WHEN l IN ('to_sql', 'commit') THEN 'write/database'
-            WHEN l IN ('send_message', 'sendmail') THEN 'write/email' ELSE 'write/file' END
-       WHEN l IN {_lst(names.HTTP_VERBS)} AND o IN {_lst(names.HTTP_OWNERS)}
-         THEN CASE WHEN l IN ('get', 'head') THEN 'read/api' ELSE 'write/api' END
+       {_plain_calls()}
        WHEN l IN ('execute', 'executemany', 'executescript')
          THEN CASE WHEN regexp_matches(coalesce(target, ''), '{names.WRITE_SQL}') THEN 'write/database' ELSE 'read/database' END
-       WHEN l IN ('load', 'loads') AND o IN {_lst(names.LOADERS)} THEN 'read/file'
        WHEN l = 'getenv' OR call IN {_lst(names.ENV_CALLS)} THEN 'read/config'
        WHEN l IN ('connect', 'create_engine') THEN 'connect/database' END AS io
 FROM (SELECT *, {_LAST} AS l, {_OWNER} AS o FROM {oracle_feed(_CALLS)} c)"""
