@@ -9,6 +9,7 @@ from ..functions.numbers import half_even, rate
 from ..functions.text import endpoint, is_log_line, log_fields, percent
 from .profile import one_row
 
+# Fixed value: the rate above which there is an alert
 ALERT_RATE = 0.05
 
 
@@ -66,6 +67,7 @@ def alert(rates: DataFrame, threshold: float = ALERT_RATE, k: int = 5) -> DataFr
     )
     body = F.array_join(F.transform("w", lambda x: F.concat(x["endpoint"], F.lit(": "), x["errors"], F.lit(" errors"))), "\n")
     both = one_row([decision(rates, threshold), lines])
+    # The words of the subject and of the body
     return both.filter("taken").select(
         F.concat(F.lit("Error rate "), percent(F.col("rate")), F.lit(" in last night's traffic")).alias("subject"),
         body.alias("body"),

@@ -14,12 +14,16 @@ def _handled() -> Column:
     return F.coalesce(F.col("handled"), F.lit(""))
 
 
+# Operations that never hold back, and that never change, anything
+NO_EFFECT_HELD, NO_REAL_EFFECT = ["read", "connect", "mkdir"], ["read", "connect", "read-after-write"]
+
+
 def is_intercepted() -> Column:
-    return _handled().isin(HELD) & ~F.col("op").isin("read", "connect", "mkdir")
+    return _handled().isin(HELD) & ~F.col("op").isin(NO_EFFECT_HELD)
 
 
 def is_real_effect() -> Column:
-    return ~_handled().isin(HELD + ["read-redirected"]) & ~F.col("op").isin("read", "connect", "read-after-write")
+    return ~_handled().isin(HELD + ["read-redirected"]) & ~F.col("op").isin(NO_REAL_EFFECT)
 
 
 def failed_in(frames: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -294,6 +294,7 @@ def group_steps(steps: DataFrame, span: float = SPAN) -> DataFrame:
 
 def step_score() -> Column:
     """Weight of a step: what kind of statement it is, whether it calls project code or does I/O, what it changed."""
+    # The weights, and which kinds have them
     kind = F.col("kind")
     base = F.greatest(
         F.lit(1),
