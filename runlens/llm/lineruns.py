@@ -29,7 +29,8 @@ LEAST_DOCS, BATCHES, FANOUT = 10, 4, 3
 
 
 class LineRuns:
-    """The runs, in the shared folder. They can be kept between calls to add later batches."""
+    """The runs, in the shared folder and, until ``close``, in the catalog. They can be kept between calls to add later
+    batches."""
 
     def __init__(self, spark: SparkSession, settled: int, fanout: int = FANOUT):
         self.spark, self.settled, self.fanout = spark, settled, fanout
@@ -45,6 +46,15 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append((name, path))
 
+    def _forget(self, runs: list[tuple[str, str]]) -> None:
+        """Take runs out of the catalog; their files stay in the shared folder, as external tables do."""
+        for name, _ in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Leave nothing in the catalog. ``counts`` still reads the files; no batch can be added any more."""
+        self._forget([r for level in self.levels for r in level])
+
     def add(self, digests: DataFrame) -> None:
         """``digests``: one row per document and distinct line of it."""
         new = digests.groupBy("digest").agg(F.count("*").alias("n"))
@@ -53,8 +63,9 @@ class LineRuns:
         self._write(new, 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                merged, self.levels[level] = self._merged(self.levels[level]), []
-                self._write(merged, level + 1)
+                old, self.levels[level] = self.levels[level], []
+                self._write(self._merged(old), level + 1)
+                self._forget(old)
 
     def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         """Sums over runs. They are read as plain files: the union of bucketed columnar scans keeps the buckets' claim
@@ -99,6 +110,7 @@ def dedup(docs: DataFrame, key_col: str = "doc_id", text: str = "text", least_do
         runs.add(held.where(F.col("batch") == i))
     # written, so that the join below reads both sides by a shuffle of their own and a hot digest can be split
     common = materialise(runs.counts().where(F.col("n") >= least_docs).select("digest"), "common")
+    runs.close()
     hit = held.select(ID, TIE, "digest").join(common, "digest", "left_semi")
     if keep_first:
         hit, place = materialise(hit, "hit"), F.struct(F.col(ID).isNull().alias("late"), ID, TIE)
