@@ -155,6 +155,23 @@ def test_topk_with_repeated_query_ids(spark):
         assert sorted(map(tuple, got)) == sorted(w for w in want if w[0] == 20)
 
 
+def test_topk_replicates_what_is_near(spark):
+    """Of 40 clusters, a group of queries gets the vectors of few; hot equal vectors count as one cluster's few ids."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (40, 32))
+    rows = [(i, (3 * centres[i % 40] + rng.normal(0, 0.05, 32)).tolist()) for i in range(4000)]
+    rows += [(4000 + i, (3 * centres[7]).tolist()) for i in range(2000)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    is_query = F.pmod("vec_id", F.lit(20)) == 0
+    got = topk.search(data, "vec_id", "embedding", is_query, 20, group=16)
+    assert {tuple(r) for r in got.collect()} == brute_topk(rows, 20)
+    join = topk.divided(data, "vec_id", "embedding", is_query, 20, 64.0, topk.PIVOTS, 16)
+    groups, kept = join.queries.count(), join.data.count()
+    assert kept == 4000 + 21 and groups >= 300 / 16
+    assert join.bounds.count() < 0.5 * groups * join.data.select("cell").distinct().count()
+    assert join.replicated().count() < 0.25 * groups * kept
+
+
 def plain_earlier(rows):
     """Units of each row that occur earlier, by their words."""
     seen, out = {}, {}
