@@ -162,10 +162,9 @@ def _(t):
        SELECT event_id % 2 = 1 AND ts < mark AS late, count(*) AS n FROM events, m GROUP BY 1""",
 )
 def _(t):
-    # half of the events arrive first, the other half later: of these, some are older than the watermark
-    folder, (out, state), marks = scratch_path(t.spark, "arrivals"), places(t, "late"), scratch_path(t.spark, "marks")
-    run = S.late_batch(t.spark, marks, out, 10 * 86400)
+    # half of the events arrive first, the other half after a restart: of these, some are older than the watermark
+    folder, (out, state) = scratch_path(t.spark, "arrivals"), places(t, "late")
     for half in (0, 1):
         t.events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(folder)
-        each_batch(file_stream(t.spark, t.events.schema, folder), state, run)
-    return t.spark.read.parquet(out).groupBy("late").agg(F.count(F.lit(1)).alias("n"))
+        found = append_run(S.late_rows(file_stream(t.spark, t.events.schema, folder), "ts", "10 days"), out, state)
+    return found.groupBy("late").agg(F.count(F.lit(1)).alias("n"))

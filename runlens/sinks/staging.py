@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,13 @@ LEDGER = "seq long, kind string, op string, target string, handled string, n_row
 
 
 class Staging:
-    """One job's staging area below ``root``. ``staged`` maps a target to its staged copy."""
+    """One job's staging area below ``root``. ``staged`` maps a target that the job has touched to its layers."""
 
     def __init__(self, spark: SparkSession, root: str, live: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
         self.live = live
-        self.staged: dict[str, str] = {}
+        self.staged: dict[str, list[str]] = {}
         self.seq = 0
 
     def path_for(self, target: str) -> str:
@@ -38,30 +39,30 @@ class Staging:
         return self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger")
 
     def write(self, df: DataFrame, target: str, mode: str = "overwrite") -> str:
-        """Write to the staged copy, or to the target itself in live mode. An append starts from a copy of the target."""
+        """Write to the staging area, or to the target itself in live mode. An append is staged as what it adds; the target is
+        neither changed nor copied."""
         if self.live:
             df.write.mode(mode).parquet(target)
             self.record("file", "write", target)
             return target
-        known = self.staged.get(target)
-        if mode == "append" and known is None and exists(self.spark, target):
-            known = self.path_for(target)
-            self.spark.read.parquet(target).write.parquet(known)
-        if mode == "append" and known is not None:
-            df.write.mode("append").parquet(known)
-            path = known
-        else:
-            path = self.path_for(target)
-            df.write.parquet(path)
-        self.staged[target] = path
+        before = self.layers(target) if mode == "append" else []
+        path = self.path_for(target)
+        df.write.parquet(path)
+        self.staged[target] = [*before, path]
         self.record("file", "write", target, "redirected", sandbox=path)
         return path
 
+    def layers(self, target: str) -> list[str]:
+        """The tables that make up what this job sees as ``target``: the real one, unless overwritten, and what was appended."""
+        return self.staged.get(target) or ([target] if exists(self.spark, target) else [])
+
+    def seen(self, target: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.layers(target) or [target]])
+
     def read(self, target: str) -> DataFrame:
-        """A target already written in this job resolves to its staged copy."""
-        path = self.staged.get(target)
-        self.record("file", "read", target, "read-redirected" if path else None)
-        return self.spark.read.parquet(path or target)
+        """A target already written in this job resolves to the union of its layers."""
+        self.record("file", "read", target, "read-redirected" if target in self.staged else None)
+        return self.seen(target)
 
     def has(self, target: str) -> bool:
         return target in self.staged or exists(self.spark, target)
@@ -72,35 +73,34 @@ class Staging:
             delete(self.spark, target)
             self.record("file", "remove", target)
             return True
-        path = self.staged.pop(target, None)
-        if path:
-            delete(self.spark, path)
-        self.record("file", "remove", target, "redirected" if path else "blocked")
-        return path is not None
+        layers = self.staged.pop(target, [])
+        for path in layers:
+            if path.startswith(f"{self.root}/files/"):
+                delete(self.spark, path)
+        self.record("file", "remove", target, "redirected" if layers else "blocked")
+        return bool(layers)
 
     def rename(self, source: str, target: str) -> str:
-        """The staged map is re-pointed; a real source is copied and stays."""
+        """The target has the source's layers from now on; a real source stays where it is and isn't copied."""
         label = f"{source} -> {target}"
         if self.live:
             move(self.spark, source, target)
             self.record("file", "rename", label)
             return target
-        path = self.staged.pop(source, None)
-        if path is None:
-            path = self.path_for(target)
-            self.spark.read.parquet(source).write.parquet(path)
-        self.staged[target] = path
+        layers = self.layers(source)
+        if not layers:
+            raise FileNotFoundError(source)
+        self.staged.pop(source, None)
+        self.staged[target] = layers
         self.record("file", "rename", label, "redirected")
-        return path
+        return layers[-1]
 
     def working_copy(self, target: str) -> DataFrame:
-        """A private copy of a table for this job."""
+        """A private view of a table for this job: the real table below what the job writes, nothing is copied."""
         if target not in self.staged:
-            path = self.path_for(target)
-            self.spark.read.parquet(target).write.parquet(path)
-            self.staged[target] = path
+            self.staged[target] = [target]
             self.record("database", "connect", target, "working-copy")
-        return self.spark.read.parquet(self.staged[target])
+        return self.seen(target)
 
     def shadow(self, statements: DataFrame, database: str) -> str:
         """Writing statements (``sql``, ``params``) are kept as JSON lines per table instead of being run."""

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, IntegralType, StructField, StructType
 
 from ..functions.numbers import exact_mean, half_even
 from ..functions.text import endpoint, is_log_line, log_fields, percent
 from ..operators.access import ALERT_RATE, alert, endpoint_rates, parse
 from ..operators.ordered import first_k
-from ..sinks.writers import exists
 
 DETAIL = 3
 
@@ -205,17 +205,28 @@ def alert_batch(out: str, threshold: float = ALERT_RATE):
     return run
 
 
-def late_batch(spark, marks: str, out: str, delay_seconds: int):
-    """Batch function: rows older than the watermark of the batches before go to a side table, the others on."""
+#: rows are only spread by it, no state is kept
+SPREAD = 64
 
-    def run(df: DataFrame, batch: int) -> None:
-        top = None
-        if exists(spark, marks):
-            top = spark.read.parquet(marks).filter(F.col("batch") < batch).agg(F.max("top")).first()[0]
-        micros = F.unix_micros(F.col("ts").cast("timestamp"))
-        late = F.lit(False) if top is None else micros < F.lit(top - delay_seconds * 1000000)
-        df.withColumn("late", late).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        mark = df.agg(F.max(micros).alias("top"))
-        mark.write.mode("overwrite").parquet(f"{marks}/batch={batch}")
 
-    return run
+def late_rows(rows: DataFrame, time: str, delay: str) -> DataFrame:
+    """Each row of a stream with ``late``: whether ``time`` is behind the stream's watermark, which is ``delay`` behind the latest
+    time of the micro-batches before. Nothing is dropped, and a row without a time isn't late.
+
+    The watermark is Spark's own, so it survives a restart with the checkpoint; the operator keeps no state. Whole numbers
+    travel as texts, since beside nulls they would become doubles."""
+    whole = [f.name for f in rows.schema if isinstance(f.dataType, IntegralType)]
+    sent = rows.withColumns({c: F.col(c).cast("string") for c in whole}).withColumns(
+        {"__time": F.col(time).cast("timestamp"), "__spread": F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))}
+    )
+    sent = sent.withColumn("__micros", F.unix_micros("__time")).withWatermark("__time", delay)
+    out = StructType([*(sent.schema[c] for c in rows.columns), StructField("late", BooleanType())])
+
+    def flag(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
+        for batch in batches:
+            yield batch[rows_columns].assign(late=(batch["__micros"] < mark).to_numpy())
+
+    rows_columns = list(rows.columns)
+    flagged = sent.groupBy("__spread").applyInPandasWithState(flag, out, "seen long", "append", GroupStateTimeout.NoTimeout)
+    return flagged.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in rows.schema if f.name in whole})

@@ -235,6 +235,25 @@ def test_safe_mode_leaves_the_target_alone(spark):
     assert handled == [("write", "redirected"), ("read", "read-redirected"), ("write", "redirected"), ("read", "read-redirected"), ("rename", "redirected"), ("remove", "blocked")]
 
 
+def test_staged_layers_are_no_copies(spark):
+    """What is appended, renamed or kept privately is stored once; a removed table loses the job's own files only."""
+    target = scratch_path(spark, "t")
+    spark.range(10).write.parquet(target)
+    before = content(spark, target)
+    area = Staging(spark, scratch_path(spark, "area"))
+    assert area.working_copy(target).count() == 10
+    added = [area.write(spark.range(n, n + 2), target, "append") for n in (10, 12)]
+    assert [spark.read.parquet(p).count() for p in added] == [2, 2]
+    assert sorted(r.id for r in area.working_copy(target).collect()) == list(range(14))
+    area.rename(target, target + "_2")
+    assert area.read(target + "_2").count() == 14 and area.read(target).count() == 10
+    assert set(area.seen(target + "_2").inputFiles()) >= set(spark.read.parquet(target).inputFiles())
+    assert area.remove(target + "_2") and not any(writers.exists(spark, p) for p in added)
+    assert content(spark, target) == before
+    with pytest.raises(FileNotFoundError):
+        area.rename(target + "_none", target + "_3")
+
+
 def test_full_refresh_replaces(spark):
     target = scratch_path(spark, "t")
     assert writers.save_table(spark.range(4).toDF("a"), target) == 4

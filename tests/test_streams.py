@@ -143,3 +143,22 @@ def test_outbox_is_idempotent(spark, again):
         for _ in range(2 if again else 1):
             run(df, batch)
     assert [r.subject for r in spark.read.parquet(out).collect()] == ["Error rate 100.0% in last night's traffic"]
+
+
+def test_late_rows_by_the_watermark(spark):
+    """A row is late behind the latest time of the batches before, less the delay; nulls and repeated rows stay."""
+    big = 2**60 + 1
+    batches = [
+        [(1, at(0)), (2, at(5000)), (None, at(100)), (big, None)],
+        [(3, at(1399)), (4, at(1400)), (4, at(1400)), (None, at(9000)), (5, at(0))],
+        [(6, at(5399)), (big, at(5400)), (7, None)],
+    ]
+    _, live = arrivals(spark, batches, "id long, ts timestamp")
+    got = append_run(S.late_rows(live, "ts", "1 hour"), *place(spark))
+    want, top = [], None
+    for rows in batches:
+        mark = None if top is None else top - dt.timedelta(hours=1)
+        want += [(i, t, mark is not None and t is not None and t < mark) for i, t in rows]
+        top = max(t for t in [top, *(t for _, t in rows)] if t is not None)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert got.filter("late").count() == 3
