@@ -28,6 +28,8 @@ from .rows import ID, TIE, give, keyed, text_of
 #: between words, and a character of a word, before A-Z are in lower case
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: the end of a line that ends a sentence
+STOP = r"""[.!?][ \t\r)\]"'*]*"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: fixed values: phrase words and their label
@@ -126,7 +128,7 @@ def blocks(docs: DataFrame, text: str, known: list[Template]) -> DataFrame:
 def windows(body: Column, number: Column, reach: Column, own: Column, need: Column) -> Column:
     """Windows of ``reach`` words on either side of the line feeds within sentences, that hold a template's ``own`` words
     ``need`` times at least."""
-    open_ended = F.regexp_replace(body, r"""[.!?][ \t\r)\]"'*]*\n""", "\n\n")
+    open_ended = F.regexp_replace(body, STOP + r"\n", "\n\n")
     tokens = F.array_join(F.regexp_extract_all(lower_case(open_ended), F.lit(rf"\n|{WORD}+"), F.lit(0)), " ")
     lines = lambda p: F.transform(F.split(F.trim(p), " ?\n ?"), lambda line: F.split(line, " "))
     # each step is an argument of the next, so it is computed once

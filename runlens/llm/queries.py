@@ -76,7 +76,8 @@ def qda_all(spark: SparkSession, path: str) -> DataFrame:
 
 LICENSE_SQL = """
 with words as (
-  select doc_id, i as block, regexp_extract_all(translate(line, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  select doc_id, i as block, regexp_extract_all(translate(line, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w,
+    regexp_matches(line, '{stop}') as stops
   from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)
 ), whole as (select doc_id, flatten(list(w order by block)) as w from words group by doc_id),
@@ -86,10 +87,22 @@ places as (
     (select doc_id, label, string_split(p, ' ') as p, w, unnest(range(1, len(w) + 1)) as i from whole, phrases
      where list_has_all(w, string_split(p, ' ')))
   where w[i:i + len(p) - 1] = p
-), templates(t, label, need, size) as (values {templates}),
-matched as (
+), templates(t, label, need, size, reach) as (values {templates}),
+joined as (
+  select doc_id, block, w, len(w) as n, count(*) filter (where len(w) = 0) over before_it + count(*) filter (where stops) over (before_it rows between unbounded preceding and 1 preceding) as part
+  from words window before_it as (partition by doc_id order by block)
+), line_ends as (
+  select doc_id, part, sum(n) over (partition by doc_id, part order by block) as place, sum(n) over (partition by doc_id, part) as total from joined where n > 0
+), parts as (select doc_id, part, flatten(list(w order by block)) as w from joined where n > 0 group by 1, 2),
+near as (
+  select doc_id, part, w, t, label, need, size, reach from parts, templates where len(list_intersect(list_distinct(w), string_split(t, ' '))) >= need
+), pieces as (
+  select doc_id, w, t, label, need, size from words, templates
+  union all
+  select doc_id, w[greatest(place - reach + 1, 1):place + reach], t, label, need, size from near join line_ends using (doc_id, part) where place < total
+), matched as (
   select doc_id, label, max(len(list_intersect(list_distinct(w), string_split(t, ' '))) / size) as share
-  from words, templates where len(list_intersect(list_distinct(w), string_split(t, ' '))) >= need group by 1, 2
+  from pieces where len(list_intersect(list_distinct(w), string_split(t, ' '))) >= need group by 1, 2
 ), base as (
   select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_distinct(list(label)) as labels from places group by 1
 ), own as (select doc_id, list(label) as labels, max(share) as share from matched group by 1)
@@ -107,7 +120,8 @@ def license_sql() -> str:
         upper=licenses.UPPER,
         lower=licenses.LOWER,
         phrases=", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items()),
-        templates=", ".join(f"('{' '.join(t.distinct)}', '{t.label}', {t.need}, {len(t.distinct)})" for t in own),
+        templates=", ".join(f"('{' '.join(t.distinct)}', '{t.label}', {t.need}, {len(t.distinct)}, {len(t.words)})" for t in own),
+        stop=licenses.STOP.replace("'", "''") + "$",
     )
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -59,6 +60,61 @@ def test_template_containment_is_exact(spark, docs):
     assert got == want and want
 
 
+def plain_labels(text):
+    """Labels and best share by lines and by windows around the line feeds of a paragraph, one after another."""
+    found, paragraphs = {}, [[]]
+
+    def meet(words, t):
+        share = len(set(words) & set(t.words)) / len(set(t.words))
+        if share >= licenses.THRESHOLD - 1e-9:
+            found[t.label] = max(share, found.get(t.label, 0))
+
+    known = [t for t in licenses.templates() if not t.whole]
+    for line in text.split("\n"):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", line.translate({c: c + 32 for c in range(65, 91)}))
+        for t in known:
+            meet(words, t)
+        if words:
+            paragraphs[-1].append(words)
+        if not words or line.rstrip(" \t\r)]\"'*").endswith((".", "!", "?")):
+            paragraphs.append([])
+    for lines in paragraphs:
+        for i in range(1, len(lines)):
+            before, after = sum(lines[:i], []), sum(lines[i:], [])
+            for t in known:
+                meet(before[-len(t.words) :] + after[: len(t.words)], t)
+    return found
+
+
+def test_license_windows_against_brute_force(spark, docs):
+    """Notices with words left out, wrapped at any width behind comment marks, broken by stops and empty lines."""
+    rng, fill = random.Random(12), vocabulary(30, 9)
+    notices = [t.words for t in licenses.templates() if not t.whole]
+    rows = []
+    for n in range(400):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += [rng.choice(fill) for _ in range(rng.randint(0, 6))]
+            words += [w.upper() if rng.random() < 0.1 else w for w in rng.choice(notices) if rng.random() > 0.12]
+        wrap, text = rng.choice([2, 3, 5, 9, 40]), ""
+        for w in words:
+            text += w + rng.choices([" ", "\n", ".\n", "\n\n", '." \n', ". ", "\r\n", "\n # "], [30, 30 / wrap, 0.3, 0.3, 0.3, 1, 1, 1])[0]
+        rows.append((n, rng.choice(["", "\n", "* "]) + text))
+    want = {n: plain_labels(text) for n, text in rows}
+    assert sum(map(bool, want.values())) > 150
+    data = docs(rows)
+    got = {}
+    for r in licenses.scan(data).collect():
+        own = {x for x in r["labels"].split(",") if x} - set(licenses.PHRASES.values())
+        got[r["doc_id"]] = own, r["score"] if not r["n_base"] else None
+    assert {n: g[0] for n, g in got.items()} == {n: set(w) for n, w in want.items()}
+    for n, (_, score) in got.items():
+        assert score is None or score == pytest.approx(max(want[n].values(), default=0))
+    fresh = oracle.duckdb.connect()
+    fresh.register("documents", pa.table({"doc_id": [n for n, _ in rows], "text": [x for _, x in rows]}))
+    assert not oracle.differences(fresh, licenses.scan(data), queries.ORACLES["op3_license_scan"])
+
+
 def test_wrapped_license_notices(docs):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
     gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"
