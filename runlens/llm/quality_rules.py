@@ -1,7 +1,7 @@
 """Quality rules: plain counts, and a logistic regression on hashed word and character n-grams.
 
-A document's features are the shares of its words and of its 4-byte grams that fall on each hash, so its logit is a
-constant plus two mean weights. The regression is fitted on at most ``SAMPLE`` labelled rows, those of the smallest
+A document's features are the shares of its words, of its pairs of neighbouring words and of its windows of 4 characters
+that fall on each hash, so its logit is a constant plus three mean weights. The regression is fitted on at most ``SAMPLE`` labelled rows, those of the smallest
 hash of their id; the other ones of the sample's folds calibrate the logits to probabilities. Scoring runs in Arrow
 batches, row by row on whole texts: no row depends on another.
 
@@ -19,26 +19,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import text_of
+from .textbytes import windows
 from .textstats import Counts
 from .wordids import slices
 
 #: labelled rows to learn from, at most; hash buckets of each feature group; documents need this probability
 SAMPLE, BUCKETS, THRESHOLD = 3000, 1 << 16, 0.5
 _SHIFT = np.uint64(64 - 16)
-_WORD, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_WORD, _GRAM, _POINT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: characters (code points) of a character n-gram; feature groups: words, word pairs, characters
+CHARACTERS, GROUPS = 4, 3
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def hashed(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words, and of the 4-byte grams (in a group of their own)."""
-    d = counts.data.astype(np.uint64)
-    grams = d[:-3] | d[1:-2] << np.uint64(8) | d[2:-1] << np.uint64(16) | d[3:] << np.uint64(24) if len(d) > 3 else d[:0]
-    return ((counts.hashes * _WORD) >> _SHIFT).astype(np.int64), ((grams * _GRAM) >> _SHIFT).astype(np.int64) + BUCKETS
+def hashed(counts: Counts) -> tuple[np.ndarray, ...]:
+    """Buckets of the words, of the pairs of neighbouring words, and of the windows of ``CHARACTERS`` characters, each group
+    in buckets of its own."""
+    points = np.frombuffer(counts.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = max(0, len(points) - CHARACTERS + 1)
+    grams = points[:n]
+    for i in range(1, CHARACTERS):
+        grams = grams * _POINT + points[i : i + n]
+    parts = (counts.hashes, _WORD), (windows(counts.hashes, 2), _WORD), (grams, _GRAM)
+    return tuple(((h * m) >> _SHIFT).astype(np.int64) + g * BUCKETS for g, (h, m) in enumerate(parts))
 
 
 @dataclass
 class Model:
-    """``weights`` of both groups; a probability is sigmoid(slope * logit + intercept)."""
+    """``weights`` of all groups; a probability is sigmoid(slope * logit + intercept)."""
 
     weights: np.ndarray
     bias: float = 0.0
@@ -93,7 +101,7 @@ CHUNK = 1 << 20
 def train(packed: list[bytes], y: np.ndarray, rounds: int = 150) -> Model:
     """Full-batch adaptive gradient steps with a small ridge; every fourth row calibrates. ``packed`` is emptied: features are
     held once, 12 bytes each."""
-    model = Model(np.zeros(2 * BUCKETS))
+    model = Model(np.zeros(GROUPS * BUCKETS))
     if len(set(y)) < 2:
         return model
     sizes = np.array([len(x) // 8 for x in packed])
@@ -109,13 +117,13 @@ def train(packed: list[bytes], y: np.ndarray, rounds: int = 150) -> Model:
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
         learn[:] = True
     importance = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum())) * learn
-    w, bias, seen, seen_bias = model.weights, 0.0, np.full(2 * BUCKETS, 1e-12), 1e-12
+    w, bias, seen, seen_bias = model.weights, 0.0, np.full(GROUPS * BUCKETS, 1e-12), 1e-12
     logits = np.zeros(len(y))
     for _ in range(rounds):
         error = importance * (1 / (1 + np.exp(-np.clip(logits, -35, 35))) - y)
         g = 1e-8 * w
         for p in parts:
-            g += np.bincount(at[p], weights=share[p] * error[row[p]], minlength=2 * BUCKETS)
+            g += np.bincount(at[p], weights=share[p] * error[row[p]], minlength=GROUPS * BUCKETS)
         seen += g * g
         w -= 2.0 * g / np.sqrt(seen)
         seen_bias += error.sum() ** 2

@@ -180,6 +180,40 @@ def test_op4(spark):
     assert len(rows) == len(texts) and right > 0.8 * total
 
 
+def plain_grams(text):
+    """Word, word-pair and 4-character counts of a text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    characters = [text[i : i + 4] for i in range(len(text or "") - 3)]
+    return Counter(words), Counter(zip(words, words[1:])), Counter(characters)
+
+
+def test_features_are_word_and_character_n_grams(spark):
+    """Equal n-grams share a bucket, in any text; buckets differ about as often as n-grams do."""
+    seen = [{}, {}, {}]
+    for text in sample(spark, 100) + TRICKY + [None, "", "ab", "abcd", "é🎉é🎉é🎉", "一二三四五 一二三四五", "a b", "ab c a bc"]:
+        groups = quality_rules.hashed(textstats.Counts(text))
+        for g, (got, want) in enumerate(zip(groups, plain_grams(text))):
+            assert len(got) == want.total() and all(b // quality_rules.BUCKETS == g for b in got)
+            words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+            listed = (words, list(zip(words, words[1:])), [text[i : i + 4] for i in range(len(text or "") - 3)])[g]
+            for gram, bucket in zip(listed, got.tolist()):
+                assert seen[g].setdefault(gram, bucket) == bucket
+    for of in seen:
+        expected = quality_rules.BUCKETS * (1 - (1 - 1 / quality_rules.BUCKETS) ** len(of))
+        assert len(set(of.values())) > 0.97 * expected
+
+
+def test_rules_on_rows_not_learned_from(spark):
+    """A fifth of the labels is held out."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = quality_rules.fit(docs, labels.where(~held))
+    rows = quality_rules.rules(docs.where(held), model).join(labels.where("quality is not null"), "doc_id")
+    rows = rows.select("probability", "quality").collect()
+    assert len(rows) > 50 and sum((r["probability"] >= 0.5) == (r["quality"] == 1) for r in rows) > 0.85 * len(rows)
+
+
 def test_rules_of_odd_rows(spark, odd, no_rows):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality_rules.fit(spark.read.parquet(f"{DATA}/documents.parquet"), labels)
