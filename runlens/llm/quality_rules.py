@@ -11,6 +11,7 @@ aren't learned from. With no labelled row of either class every probability is 0
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,18 @@ def hashed(counts: Counts) -> tuple[np.ndarray, ...]:
     return tuple(((h * m) >> _SHIFT).astype(np.int64) + g * BUCKETS for g, (h, m) in enumerate(parts))
 
 
+def deflated(features: np.ndarray) -> bytes:
+    """Rising buckets and their shares, compressed behind their number."""
+    at, share = features
+    steps = np.diff(at, prepend=0).astype(np.int32)
+    return len(at).to_bytes(4, "little") + zlib.compress(steps.tobytes() + share.astype(np.float32).tobytes(), 1)
+
+
+def inflated(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data, n = zlib.decompress(packed[4:]), int.from_bytes(packed[:4], "little")
+    return np.cumsum(np.frombuffer(data, np.int32, n)), np.frombuffer(data, np.float32, n, 4 * n)
+
+
 @dataclass
 class Model:
     """``weights`` of all groups; a probability is sigmoid(slope * logit + intercept)."""
@@ -79,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 rows = []
                 for g in hashed(Counts(t)):
                     at, n = np.unique(g, return_counts=True)
-                    rows.append(np.stack([at.astype(np.float32), (n / max(1, len(g))).astype(np.float32)]))
-                out.append(np.concatenate(rows, axis=1).tobytes())
+                    rows.append(np.stack([at, n / max(1, len(g))]))
+                out.append(deflated(np.concatenate(rows, axis=1)))
         return pa.array(out, pa.binary())
 
     chosen = F.broadcast(sample(labels, key, label, most))
@@ -104,12 +117,12 @@ def train(packed: list[bytes], y: np.ndarray, rounds: int = 150) -> Model:
     model = Model(np.zeros(GROUPS * BUCKETS))
     if len(set(y)) < 2:
         return model
-    sizes = np.array([len(x) // 8 for x in packed])
+    sizes = np.array([int.from_bytes(x[:4], "little") for x in packed])
     ends = np.cumsum(sizes)
     at, share = np.empty(ends[-1], dtype=np.int32), np.empty(ends[-1], dtype=np.float32)
     for i in range(len(packed)):
-        both = np.frombuffer(packed[i], dtype=np.float32).reshape(2, -1)
-        at[ends[i] - sizes[i] : ends[i]], share[ends[i] - sizes[i] : ends[i]] = both
+        part = slice(ends[i] - sizes[i], ends[i])
+        at[part], share[part] = inflated(packed[i])
         packed[i] = b""
     row = np.repeat(np.arange(len(packed), dtype=np.int32), sizes)
     parts = [slice(i, i + CHUNK) for i in range(0, len(at), CHUNK)]

@@ -203,6 +203,15 @@ def test_features_are_word_and_character_n_grams(spark):
         assert len(set(of.values())) > 0.97 * expected
 
 
+def test_features_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        at = np.sort(rng.choice(quality_rules.GROUPS * quality_rules.BUCKETS, n, replace=False))
+        share = rng.random(n)
+        got = quality_rules.inflated(quality_rules.deflated(np.stack([at, share])))
+        assert (got[0] == at).all() and (got[1] == share.astype(np.float32)).all()
+
+
 def test_rules_on_rows_not_learned_from(spark):
     """A fifth of the labels is held out."""
     path = "/root/testdata/sf0.01"
