@@ -57,6 +57,8 @@ def compiled(formats: dict[str, dict], parts: dict[str, dict]) -> tuple[list[tup
 
 
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}
+#: rows and characters of text that a batch of nodes holds about at most, besides one document
+ROWS, CHARS = 10_000, 4 << 20
 NODE = "doc_id {id}, path string, type string, kind string, size long, text string, names array<string>"
 
 
@@ -79,26 +81,32 @@ def _nodes(value, root: str, edges: dict[tuple[str, str], str]) -> Iterator[tupl
         waiting += [x for x in below if x[2]]
 
 
-def nodes(docs: DataFrame, edges: list[tuple[str, str, str]]) -> DataFrame:
-    """``doc_id, format, json`` -> a row per typed node of each document: ``path``, ``type`` (the format for the root), ``kind``,
-    ``size`` of texts and lists, ``text`` of plain values, ``names`` of fields."""
-    table = {(a, step): b for a, step, b in edges}
+def _flat(table: dict[tuple[str, str], str]):
+    """Batches of documents -> batches of their nodes, bounded by rows and by what the texts in them hold."""
+    columns = ["doc_id", "path", "type", "kind", "size", "text", "names"]
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "path", "type", "kind", "size", "text", "names"]
         for batch in batches:
-            rows = []
+            rows, chars = [], 0
             for doc_id, form, text in zip(batch["doc_id"], batch["format"], batch["json"]):
                 try:
                     rows += [(doc_id, *node) for node in _nodes(json.loads(text), form, table)]
                 except (ValueError, RecursionError):
                     rows.append((doc_id, "", form, NOT_JSON, None, None, None))
-                if len(rows) > 10_000:
+                chars += len(text)
+                if len(rows) > ROWS or chars > CHARS:
                     yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
-                    rows = []
+                    rows, chars = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
 
+    return flat
+
+
+def nodes(docs: DataFrame, edges: list[tuple[str, str, str]]) -> DataFrame:
+    """``doc_id, format, json`` -> a row per typed node of each document: ``path``, ``type`` (the format for the root), ``kind``,
+    ``size`` of texts and lists, ``text`` of plain values, ``names`` of fields."""
+    flat = _flat({(a, step): b for a, step, b in edges})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "format", "json").filter("json is not null").mapInPandas(flat, NODE.format(id=kind))
 

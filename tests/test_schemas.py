@@ -2,6 +2,9 @@
 
 import json
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from runlens.functions.published import FORMATS, PARTS, choice, keyed, kind, many, record, text
 from runlens.operators import schemas
 
@@ -60,3 +63,15 @@ def test_published_formats(spark):
     got = breaches(spark, [walk], FORMATS, PARTS, "walkthrough/1")
     assert got == [(0, "maxLength", "explanations.a.py:3.text", "701"), (0, "names", "explanations.a", "name")]
     assert breaches(spark, [walk], FORMATS, PARTS, "unknown") == [] and breaches(spark, [], FORMATS, PARTS) == []
+
+
+def test_batches_are_bounded_by_their_texts(spark):
+    text = F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 1 << 20), F.lit('"}'))
+    docs = spark.range(0, 40, numPartitions=1).select("id", text.alias("json"))
+    sizes = lambda batches: (pd.DataFrame({"n": [b["json"].str.len().sum()]}) for b in batches)
+    assert docs.mapInPandas(sizes, "n long").agg(F.max("n")).first()[0] <= 16 << 20
+    edges, _ = schemas.compiled({"f": {"properties": {"a": {"type": ["string"]}}}}, {})
+    batch = pd.DataFrame({"doc_id": range(40), "format": "f", "json": '{"a":"' + "x" * (1 << 20) + '"}'})
+    found = list(schemas._flat({(a, step): b for a, step, b in edges})(iter([batch])))
+    assert max(f["text"].str.len().sum() for f in found) <= 2 * schemas.CHARS
+    assert sorted(i for f in found for i in f["doc_id"]) == sorted([*range(40)] * 2)
