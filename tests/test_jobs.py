@@ -317,3 +317,11 @@ def test_closing_tag_in_text_survives(spark):
 def test_watch_list(spark):
     used = spark.createDataFrame([(1, "boto3"), (1, "sqlalchemy"), (1, "numpy")], "run_id long, library string")
     assert [r.library for r in lookups.watched_libraries(used).collect()] == ["boto3"]
+
+
+def test_warnings_parse_a_document_once(spark):
+    from conftest import DATA
+    from runlens.plans import all_queries
+
+    plan = all_queries()["chk7_warnings"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan  # the whole texts were read for a narrow table, before
