@@ -21,10 +21,13 @@ from ..session import materialise, written
 
 SPAN = 1 << 12
 _CHUNK = "__span"
+_AT = "__key_span"
 
 
-def same_keys(left: list[Column], right: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
+def _key_span(keys: list[str]) -> Column:
+    """A key and its span as one value that is never null and equal where all parts are equal or null. Windows inside a span
+    and the join with what is carried into it use it alike, so the rows are shuffled and sorted once for both."""
+    return F.struct(*keys, _CHUNK)
 
 
 def scan(
@@ -84,7 +87,7 @@ def scan(
 
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] + [F.col(_CHUNK).alias("__s")]
+    carried = [_key_span(keys).alias("__into")]
     if row_number:
         carried.append(F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
     if lag:
@@ -98,7 +101,7 @@ def scan(
     carry = spans.select(*carried)
 
     # inside each span
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    inside = Window.partitionBy(_AT).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols: dict[str, Column] = {}
     if row_number:
@@ -111,10 +114,9 @@ def scan(
         cols[f"__psum{i}"] = F.sum(col).over(upto)
     for i, col in enumerate(last.values()):
         cols[f"__plast{i}"] = F.last(col, ignorenulls=True).over(upto)
-    local = base.withColumns(cols)
+    local = base.withColumn(_AT, _key_span(keys)).withColumns(cols)
 
-    on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
-    both = local.join(carry, on, "inner")
+    both = local.join(carry, F.col(_AT) == F.col("__into"), "inner")
 
     out = [F.col(c) for c in df.columns]
     if row_number:
@@ -176,28 +178,25 @@ def islands(
     base = df.withColumns(
         {_CHUNK: F.floor(F.col(order[0]) / F.lit(span)).cast("long"), "__tag": F.struct(*same_as), "__forced": forced}
     )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    local = base.withColumn("__prev", F.lag("__tag").over(inside))
+    inside = Window.partitionBy(_AT).orderBy(*order)
+    local = base.withColumn(_AT, _key_span(keys)).withColumn("__prev", F.lag("__tag").over(inside))
     new = F.col("__prev").isNotNull() & (F.col("__forced") | ~F.col("__tag").eqNullSafe(F.col("__prev")))
     local = local.withColumn("__new", new.cast("long"))
     local = local.withColumn("__upto", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     at = F.struct(*order)
-    spans = local.groupBy(*keys, _CHUNK).agg(
+    spans = local.groupBy(_AT).agg(
         F.min_by(F.struct("__tag", "__forced"), at).alias("__first"),
         F.max_by("__tag", at).alias("__last"),
         F.sum("__new").alias("__runs"),
-    )
+    ).select(f"{_AT}.*", "__first", "__last", "__runs")
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
     before = F.lag("__last").over(across)
     edge = (before.isNull() | F.col("__first.__forced") | ~before.eqNullSafe(F.col("__first.__tag"))).cast("long")
     spans = spans.withColumn("__edge", edge)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("__runs") + F.col("__edge")).over(earlier), F.lit(0).cast("long")) + F.col("__edge")
-    carry = spans.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("__s"), start.alias("__start")
-    )
-    on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
-    return local.join(carry, on).select(*[F.col(c) for c in df.columns], (F.col("__upto") + F.col("__start")).alias(out))
+    carry = spans.select(_key_span(keys).alias("__into"), start.alias("__start"))
+    return local.join(carry, F.col(_AT) == F.col("__into")).select(*[F.col(c) for c in df.columns], (F.col("__upto") + F.col("__start")).alias(out))
 
 
 def value_before_run(
@@ -210,21 +209,18 @@ def value_before_run(
     order = [order] if isinstance(order, str) else order
     df = df if settled else written(df)
     base = df.withColumn(_CHUNK, F.floor(F.col(order[0]) / F.lit(span)).cast("long"))
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    inside = Window.partitionBy(_AT).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = base.withColumn("__prev", F.lag(col).over(inside))
+    local = base.withColumn(_AT, _key_span(keys)).withColumn("__prev", F.lag(col).over(inside))
     local = local.withColumn("__changed", F.when(F.col("__prev") != F.col(col), F.col("__prev")))
     local = local.withColumn("__local", F.last("__changed", ignorenulls=True).over(upto))
     at = F.struct(*order)
-    spans = local.groupBy(*keys, _CHUNK).agg(
+    spans = local.groupBy(_AT).agg(
         F.min_by(col, at).alias("__first"), F.max_by(col, at).alias("__end"), F.max_by("__local", at).alias("__before")
-    )
+    ).select(f"{_AT}.*", "__first", "__end", "__before")
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
     was = F.lag("__end").over(across)
     spans = spans.withColumn("__edge", F.when(was != F.col("__first"), was))
     handed = F.last(F.coalesce("__before", "__edge"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    carry = spans.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("__s"), F.coalesce(F.col("__edge"), handed).alias("__start")
-    )
-    on = same_keys([F.col(k) for k in keys] + [F.col(_CHUNK)], [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("__s")])
-    return local.join(carry, on).select(*[F.col(c) for c in df.columns], F.coalesce("__local", "__start").alias(out))
+    carry = spans.select(_key_span(keys).alias("__into"), F.coalesce(F.col("__edge"), handed).alias("__start"))
+    return local.join(carry, F.col(_AT) == F.col("__into")).select(*[F.col(c) for c in df.columns], F.coalesce("__local", "__start").alias(out))

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import ordered, steps, trees
+from runlens.operators.ordered import islands, scan, value_before_run
+from runlens.session import materialise
 
 
 def hot_rows(n=400, seed=1):
@@ -163,3 +165,22 @@ def test_reach_stops_at_depth(spark):
     start = spark.createDataFrame([("n0",)], "v string")
     assert {r.v: r.depth for r in trees.reach(edges, start, 5).collect()} == {f"n{i}": i for i in range(5)}
     assert trees.reach(edges, start).count() == 11
+
+
+def test_rows_are_shuffled_once_for_a_scan(spark):
+    rows = materialise(spark.createDataFrame([(1, 1), (1, 5000), (None, 2), (None, 3), (None, 9000), (2, None)], "k long, o long"), "once")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (
+            scan(rows, ["k"], "o", row_number="n", last={"v": "o"}, settled=True),
+            islands(rows, ["k"], "o", ["k"], "n", settled=True),
+            value_before_run(rows, ["k"], "o", "o", "n", settled=True),
+        ):
+            # the rows, the sums of the spans by span and by key, and what is carried
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+            assert out.count() == 6
+        numbered = scan(rows, ["k"], "o", row_number="n", settled=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert {(r.k, r.o, r.n) for r in numbered} == {(1, 1, 1), (1, 5000, 2), (None, 2, 1), (None, 3, 2), (None, 9000, 3), (2, None, 1)}
