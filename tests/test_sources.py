@@ -14,6 +14,22 @@ from runlens.sources import readers, recordings
 from runlens.sources.settings import SettingError, settings
 
 
+def test_recordings_are_parsed_once(spark, tmp_path):
+    """Tables read their columns of parsed recordings: none of them parses the text again."""
+    fn = {"id": "m:f", "name": "f", "branches": [{"line": 3, "condition": "q > 1", "has_else": True, "body_lines": [3, 4]}], "loops": []}
+    lines = [{"entry": "a", "modules": {"m": {"functions": {"f": fn}}}, "io": {"env_vars": {"V": {"set": True}}}}, {"entry": "b", "io": {"env_vars": {}}}, {"entry": "a"}]
+    (tmp_path / "log.json").write_text("\n".join([*map(json.dumps, lines), "no recording"]))
+    tables = recordings.bundle_tables(recordings.read_bundles(spark, str(tmp_path), one_per_file=False))
+    for name in ("runs", "branches", "loops", "env_vars"):
+        assert "from_json" not in tables[name]._jdf.queryExecution().optimizedPlan().toString(), name
+    runs = {r.run_id: r.entry for r in tables["runs"].collect()}
+    assert sorted(map(str, runs.values())) == ["None", "a", "a", "b"]
+    branch, = tables["branches"].collect()
+    assert (runs[branch.run_id], branch.fn, branch.line, branch.condition, branch.has_else, branch.body_lines) == ("a", "m:f", 3, "q > 1", True, [3, 4])
+    assert tables["loops"].count() == 0
+    assert [(runs[r.run_id], r.name, r.set, r.secret) for r in tables["env_vars"].collect()] == [("a", "V", True, None)]
+
+
 def test_input_order_is_lazy(spark, tmp_path):
     words = [f"w{i}" for i in range(5000)]
     for n in range(3):
