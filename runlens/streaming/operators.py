@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegralType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegralType, StringType, StructField, StructType
 
 from ..functions.numbers import exact_mean, half_even
 from ..functions.text import endpoint, is_log_line, log_fields, percent
@@ -53,61 +52,63 @@ def match_calls(stack: list[tuple[int, str, float]], events) -> tuple[list[tuple
     return stack, done
 
 
-class _Idle(StatefulProcessor):
-    """State of a key that goes when nothing has come for ``idle_ms`` of event time: each input moves a timer, and the timer that
-    the watermark passes clears the key."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def stay(self, latest: pd.Timestamp) -> None:
-        """Moves the timer; an older event doesn't move it back."""
-        at = int(latest.value // 1_000_000) + self.idle_ms
-        for old in list(self.handle.listTimers()):
-            if old >= at:
-                return
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        yield self.nothing
-
-    def close(self) -> None:
-        pass
-
-
 CALLS = "run_id long, thread long, seq long, end_seq long, fn string, depth long, dur_ms double"
 
 
-class _Stack(_Idle):
-    """Open calls of a thread. A micro-batch is bounded by the trigger, and so is what is sorted here."""
-
-    nothing = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (x.split() for x in CALLS.replace("long", "int64").replace("double", "float64").replace("string", "object").split(", "))})
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getListState("open", "seq long, fn string, t_ms double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stack = [tuple(x) for x in self.held.get()] if self.held.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        stack, done = match_calls(stack, zip(batch["seq"].tolist(), batch["fn"].tolist(), batch["is_start"].tolist(), batch["t_ms"].tolist()))
-        if stack:
-            self.held.put(stack)
-        else:
-            self.held.clear()
-        self.stay(batch["ts"].max())
-        yield pd.concat([self.nothing, pd.DataFrame([(*key, *d) for d in done], columns=self.nothing.columns).astype(self.nothing.dtypes)])
+#: rows of state that the open calls of all threads are spread over
+STACKS = 4096
 
 
 def paired_calls(events: DataFrame, delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """Starts and ends of calls per (run, thread) as finished calls with depth and inclusive time.
 
     ``events(run_id, thread, seq, fn, is_start, t_ms, ts)``. The open calls of a thread are dropped when the watermark (``delay`` behind
-    the latest ``ts``) is ``idle_ms`` past its last event, so a thread that never ends its calls doesn't stay for ever."""
+    the latest ``ts``) is ``idle_ms`` past its last event, so a thread that never ends its calls doesn't stay for ever. A micro-batch is
+    bounded by the trigger, and so is what is sorted for a thread.
+
+    A row of state holds the threads that share a hash, so a micro-batch costs by its rows and not by its threads, which may be as many.
+    Whole numbers travel as texts, since beside nulls they would become doubles."""
     keyed_state(events.sparkSession)
-    wanted = events.select("run_id", "thread", "seq", "fn", "is_start", "t_ms", "ts").withWatermark("ts", delay)
-    return wanted.groupBy("run_id", "thread").transformWithStateInPandas(_Stack(idle_ms), CALLS, "Append", "EventTime")
+    whole = ["run_id", "thread", "seq", "end_seq"]
+    sent = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in StructType.fromDDL(CALLS)])
+
+    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs, threads, latest, *calls = state.get if state.exists else ([], [], [], [], [], [])
+        held = {(r, t): (at, [*zip(*c)]) for r, t, at, *c in zip(runs, threads, latest, *calls)}
+        arrived = {}
+        for batch in batches:  # none for a row whose time is over
+            for run, thread, *event, ms in zip(*(batch[c].tolist() for c in ("run_id", "thread", "seq", "fn", "is_start", "t_ms", "ms"))):
+                new = arrived.setdefault((run, thread), ([], []))
+                new[0].append(event)
+                new[1].append(ms)
+        finished = []
+        for thread, (new, times) in arrived.items():
+            at, stack = held.get(thread, (0, []))
+            new.sort(key=lambda e: (e[0] is None, int(e[0] or 0)))
+            stack, done = match_calls(stack, new)
+            # an older event doesn't make a thread older
+            held[thread] = (max([at, *(int(ms) for ms in times if ms == ms)]), stack)
+            finished += [(*thread, *d) for d in done]
+        mark = state.getCurrentWatermarkMs()
+        held = {thread: x for thread, x in held.items() if x[0] + idle_ms >= mark}
+        if held:
+            open_calls = [[*map(list, zip(*stack))] or [[], [], []] for _, stack in held.values()]
+            state.update((*map(list, zip(*held)), [at for at, _ in held.values()], *map(list, zip(*open_calls))))
+            state.setTimeoutTimestamp(min(at for at, _ in held.values()) + idle_ms)
+        elif state.exists:
+            state.remove()
+        if finished:
+            yield pd.DataFrame(finished, columns=sent.names)
+
+    texts = [F.col(c).cast("string").alias(c) for c in ("run_id", "thread", "seq")]
+    wanted = events.select(*texts, "fn", "is_start", "t_ms", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).withWatermark("ts", delay)
+    share = F.pmod(F.xxhash64("run_id", "thread"), F.lit(STACKS)).alias("share")
+    found = wanted.withColumn("share", share).groupBy("share").applyInPandasWithState(
+        keep, sent,
+        "runs array<string>, threads array<string>, latest array<long>, seqs array<array<string>>, fns array<array<string>>, starts array<array<double>>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    return found.withColumns({c: F.col(c).cast("long") for c in whole})
 
 
 FIRST = "run_id long, parent long, fn string, nodes array<long>, seen long"

@@ -132,6 +132,41 @@ def test_call_stack_across_batches(spark):
     assert sorted(tuple(x) for x in out.collect()) == sorted(want)
 
 
+def test_call_stacks_share_rows_of_state(spark):
+    """Many threads, nulls among their keys: few rows of state, and the calls of each thread as if it were alone."""
+    r, big = random.Random(4), 2**60 + 1
+    keys = [(run, thread) for run in [*range(2000), big, None] for thread in (0, 1, None)]
+    rows = [(run, thread, i * 9000 + j, r.choice("fg"), r.random() < 0.6, float(i), at(i)) for i in range(3) for j, (run, thread) in enumerate(keys)]
+    size = len(keys)
+    schema = "run_id long, thread long, seq long, fn string, is_start boolean, t_ms double, ts timestamp"
+    _, live = arrivals(spark, [rows[:size], rows[size : 2 * size], rows[2 * size :]], schema)
+    out, state = place(spark)
+    q = S.paired_calls(live).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    per = {}
+    for run, thread, *event, _ in rows:
+        per.setdefault((run, thread), []).append(event)
+    want = [(*k, *d) for k, events in per.items() for d in S.match_calls([], events)[1]]
+    assert sorted(map(repr, map(tuple, spark.read.parquet(out).collect()))) == sorted(map(repr, want))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= S.STACKS
+
+
+def test_idle_threads_leave_a_shared_row(spark, monkeypatch):
+    """Threads that share a row of state are forgotten one by one, each by its own last event."""
+    monkeypatch.setattr(S, "STACKS", 1)
+    hour = 3600
+    batches = [
+        [(1, 0, 1, "f", True, 0.0, at(0)), (1, 1, 2, "f", True, 0.0, at(0))],
+        [(1, 1, 3, "g", True, 1.0, at(5 * hour))], [(1, 1, 4, "g", False, 2.0, at(5 * hour + 1))],
+        [(1, 0, 5, "f", False, 9.0, at(5 * hour + 2)), (1, 1, 6, "f", False, 9.0, at(5 * hour + 2))],
+    ]
+    _, live = arrivals(spark, batches, "run_id long, thread long, seq long, fn string, is_start boolean, t_ms double, ts timestamp")
+    out = append_run(S.paired_calls(live), *place(spark))
+    # the call of thread 0 was dropped before its end came, that of thread 1 was still held
+    assert sorted((x.thread, x.seq, x.end_seq) for x in out.collect()) == [(1, 2, 6), (1, 3, 4)]
+
+
 @pytest.mark.parametrize("again", [False, True])
 def test_outbox_is_idempotent(spark, again):
     good = [(i, 'ip - - "GET /a HTTP" 200 1') for i in range(10)]
