@@ -15,9 +15,10 @@ is found, once.
 *Radius.* The ``k`` nearest vectors are sought among all codes within h + ``DEVIATIONS`` sqrt(h (1 - h / BITS)), h being the
 distance of the k-th nearest code: differing bits are binomial, so this is a bound in standard deviations that adapts to
 each query and to every size of the table. A first round probes the radius that the sample makes likely. It tells the own
-radius of each query that found ``k`` codes; those whose radius is larger are probed once more, up to the largest of
-these. Queries that found fewer try wider radii, in the end all codes. All codes within a query's radius are ranked again
-by their inner product in double precision. Nothing caps their number.
+radius of each query that found ``k`` codes; those whose radius is larger are probed once more, each up to its own.
+Queries that found fewer try the radius that would be likely for ``WIDER`` times as many, and so on, in the end all codes.
+All codes within a query's radius are ranked again by their inner product in double precision. Nothing caps their number.
+A task holds about ``HELD`` pairs, however many a round finds.
 
 Vectors that are null, zero or hold null or not finite components take no part; shorter ones count as padded with zeros. A row is a
 query's own if it has its id; null ids are candidates, never queries. Rows that agree on id and vector are one candidate. The lists of
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,9 @@ BITS, PARTS, SAMPLE, BLOCK, GROUP, DEVIATIONS = 512, 8, 4096, 8192, 8192, 2.0
 WORD = BITS // PARTS  # bits of a substring, one machine word
 PREFIX = 12  # leading bits of a cell, at most
 SLICE = 32  # queries compared at once with a block
+HELD = 400_000  # pairs that a task holds before it hands them on
+WIDER = 16  # times as many codes in the next round, for queries that found too few
+TAIL = 8  # rank in the sample from which smaller ranks are carried on
 
 
 def rotations(x: np.ndarray, bits: int = BITS, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -99,6 +104,17 @@ def unpacked(entries) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].astype(np.int64), both[:, 1:].copy()
 
 
+def limited(own: Column) -> Column:
+    """A query's entry with the radius up to which it asks, two bytes behind it."""
+    return F.concat("e", F.unhex(F.lpad(F.hex(own), 4, "0")))
+
+
+def unlimited(entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, codes and radii of ``limited`` entries."""
+    own = np.frombuffer(b"".join(e[-2:] for e in entries), dtype=">u2").astype(np.int64)
+    return *unpacked([e[:-2] for e in entries]), own
+
+
 def within(queries: np.ndarray, codes: np.ndarray, part: int, limits: list[int], radius: int) -> tuple[np.ndarray, ...]:
     """Pairs (query, code, distance) within ``radius`` whose first substring within its limit is ``part``."""
     found = []
@@ -115,13 +131,37 @@ def within(queries: np.ndarray, codes: np.ndarray, part: int, limits: list[int],
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def near_enough(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def near_enough(query: np.ndarray, row: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Pairs within the radius that the pairs held so far allow; later ones can only make it smaller."""
-    found = found.sort_values(["query", "h"], kind="stable")
-    at = found.groupby("query", sort=False).cumcount()
-    kth = found[at == k - 1].set_index("query")["h"]
-    limit = found["query"].map(reach(kth)).fillna(BITS)
-    return found[found["h"] <= limit]
+    order = np.lexsort((h, query))
+    query, row, h = query[order], row[order], h[order]
+    start = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    n = np.diff(np.append(start, len(query)))
+    kth = h[np.minimum(start + k - 1, len(h) - 1)]
+    keep = h <= np.repeat(np.where(n >= k, reach(kth), BITS), n)
+    return query[keep], row[keep], h[keep]
+
+
+def pairs_of(met, radius: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``query, row, h`` in pieces: the pairs of each ``part, queries, entries`` that met. A slice of queries is done at a
+    time, so what is held depends neither on the radius nor on how many queries and entries meet."""
+    limits, held, size = radii(radius), [], 0
+    for part, queries, entries in met:
+        (q_rows, q, own), (rows, codes) = unlimited(queries), unpacked(entries)
+        for start in range(0, len(q), SLICE):
+            a, b, h = within(q[start : start + SLICE], codes, part, limits, radius)
+            a += start
+            keep = h <= own[a]
+            held.append((q_rows[a[keep]], rows[b[keep]], h[keep]))
+            size += int(keep.sum())
+            if size > HELD:
+                held = [near_enough(*map(np.concatenate, zip(*held)), k)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield held.pop()
+                    size = 0
+    if size:
+        yield near_enough(*map(np.concatenate, zip(*held)), k)
 
 
 def cells(entry: str, bits: int) -> Column:
@@ -145,14 +185,16 @@ def index(codes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
 
 
 def probe(todo: DataFrame, blocks: DataFrame, sizes: DataFrame, bits: int, radius: int, k: int) -> DataFrame:
-    """``query, row, h``: all codes within ``radius`` of a query that may be within its own radius.
+    """``query, row, h``: all codes within ``radius`` of a query that may be within its own radius, its ``own`` where
+    ``todo`` has it.
 
     The queries of a cell are cut into groups as its entries are cut into blocks, and each group meets each block, so one
     pair of them is all that a row of the join holds."""
     limits = radii(radius)
     limit = F.element_at(F.array(*[F.lit(x) for x in limits]), F.col("part") + 1)
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda c: F.bit_count(c.bitwiseXOR(F.col("own"))) <= limit)
-    asked = todo.select(F.col("row").alias("query"), "e", F.posexplode(cells("e", bits)).alias("part", "own"))
+    own = F.least("own", F.lit(radius)) if "own" in todo.columns else F.lit(radius)
+    asked = todo.select(F.col("row").alias("query"), limited(own).alias("e"), F.posexplode(cells("e", bits)).alias("part", "own"))
     asked = asked.select("query", "e", "part", F.explode(near).alias("cell")).join(F.broadcast(sizes), ["part", "cell"])
     per_cell = asked.groupBy("part", "cell", "blocks").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     per_cell = materialise(per_cell, "asked")
@@ -171,35 +213,48 @@ def probe(todo: DataFrame, blocks: DataFrame, sizes: DataFrame, bits: int, radiu
     held = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*on, "entries")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, size = [], 0
-        for batch in batches:
-            for part, queries, entries in zip(batch["part"], batch["queries"], batch["entries"]):
-                (q_rows, q), (rows, codes) = unpacked(queries), unpacked(entries)
-                a, b, h = within(q, codes, part, limits, radius)
-                found.append(pd.DataFrame({"query": q_rows[a], "row": rows[b], "h": h}))
-                size += len(a)
-                if size > 1_000_000:
-                    found = [near_enough(pd.concat(found), k)]
-                    size = len(found[0])
-                    if size > 500_000:
-                        yield found.pop()
-                        size = 0
-        if size:
-            yield near_enough(pd.concat(found), k)
+        met = (x for batch in batches for x in zip(batch["part"], batch["queries"], batch["entries"]))
+        for query, row, h in pairs_of(met, radius, k):
+            yield pd.DataFrame({"query": query, "row": row, "h": h})
 
     both = asked.join(held, on).select("part", "queries", "entries")
     return both.mapInPandas(look, "query long, row long, h int")
 
 
 def likely_radius(queries: np.ndarray, codes: np.ndarray, n: int, k: int) -> int:
-    """The radius within which the sample lets most queries end, of ``n`` codes."""
-    if not len(queries) or not len(codes):
+    """The radius within which most queries end, of ``n`` codes; ``codes`` is a sample that begins with the ``queries``.
+
+    A query is in the sample whatever its size, so its own code says nothing about the others and is left out. What lies
+    nearer than the sample shows is carried on from its nearest codes, as the tail of a normal distribution."""
+    others = len(codes) - 1
+    if not len(queries) or others < 1 or k + 1 >= n:
         return BITS
     apart = np.zeros((len(queries), len(codes)), dtype=np.int64)
     for part in range(PARTS):
         apart += np.bitwise_count(queries[:, part, None] ^ codes[None, :, part])
-    kth = np.quantile(apart, min(1.0, (k + 1) / max(n, 1)), axis=1)
-    return int(min(BITS, reach(float(np.quantile(kth, 0.95)))))
+    apart[np.arange(len(queries)), np.arange(len(queries))] = BITS + 1
+    apart = np.sort(apart, axis=1)[:, :others]
+    rank = others * (k + 1) / n
+
+    def at(rank: float) -> np.ndarray:
+        place = min(max(rank - 0.5, 0), others - 1)
+        low, high = apart[:, int(place)], apart[:, min(int(place) + 1, others - 1)]
+        return low + (high - low) * (place - int(place))
+
+    kth, inner = at(max(rank, TAIL)), min(8 * TAIL, others / 2)
+    if rank < TAIL < inner:
+        z = [NormalDist().inv_cdf(r / others) for r in (rank, TAIL, inner)]
+        kth = kth - np.median(at(inner) - kth) * (z[1] - z[0]) / (z[2] - z[1])
+    return int(min(BITS, max(0, reach(max(0.0, float(np.quantile(kth, 0.95)))))))
+
+
+def wider_radius(queries: np.ndarray, codes: np.ndarray, n: int, k: int, radius: int) -> int:
+    """The next radius for queries that found less than ``k`` codes within ``radius``."""
+    while k < n:
+        k *= WIDER
+        if (next_one := likely_radius(queries, codes, n, k)) > radius:
+            return next_one
+    return BITS
 
 
 def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) -> DataFrame:
@@ -240,7 +295,8 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
 
     blocks, sizes, bits = index(materialise(rows.where(useful).select("row", entries(False)), "codes"), n)
     asked = materialise(rows.where("q").select("row", entries(True)), "asked")
-    waiting = [(asked, likely_radius(coder.words(sample[:256], True), coder.words(sample, False), n, k))]
+    learned_from = coder.words(sample[:256], True), coder.words(sample, False), n
+    waiting = [(asked, likely_radius(*learned_from, k))]
     pairs = asked.select(F.col("row").alias("query"), "row").limit(0)
     while waiting:
         todo, radius = waiting.pop()
@@ -254,12 +310,12 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
         pairs = pairs.unionByName(found.join(limits, "query").where(f"own <= {radius} and h <= own").select("query", "row"))
         if radius >= BITS:
             continue
-        again = todo.join(limits.where(f"own > {radius}").select(F.col("query").alias("row")), "row", "left_semi")
+        again = todo.select("row", "e").join(limits.where(f"own > {radius}").select(F.col("query").alias("row"), "own"), "row")
         wider = limits.agg(F.max("own")).first()[0]
         if wider is not None and wider > radius:
             waiting.append((materialise(again, "asked"), min(wider, BITS)))
         fewer = todo.join(limits.select(F.col("query").alias("row")), "row", "left_anti")
-        waiting.append((materialise(fewer, "asked"), (radius + BITS) // 2 if 4 * radius < 3 * BITS else BITS))
+        waiting.append((materialise(fewer, "asked"), wider_radius(*learned_from, k, radius)))
 
     @F.pandas_udf("double")
     def product(a: pd.Series, b: pd.Series) -> pd.Series:

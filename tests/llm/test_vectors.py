@@ -1,14 +1,17 @@
 """Operators over vectors, against plain Python and numpy."""
 
 import hashlib
+from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from runlens.llm import centroids, hashing, qd, queries, whitening
 from runlens.llm.vectors import squared
+from runlens.session import materialise
 
 DATA = "/root/testdata/sf0.01"
 VECTORS = StructType(
@@ -181,6 +184,70 @@ def test_cells_and_blocks_lose_no_code(spark, monkeypatch):
         assert {(i, j) for i, j in zip(*np.nonzero(apart <= limit[:, None]))} <= few <= set(got)
 
 
+def test_probing_meets_few_codes_of_a_large_table(spark, monkeypatch):
+    """The sample is far smaller than the table: no round goes much beyond the radii that the queries need."""
+    monkeypatch.setattr(hashing, "SAMPLE", 128)
+    tried, needed, real = [], [], hashing.probe
+
+    def noted(todo, blocks, sizes, bits, radius, k):
+        found = materialise(real(todo, blocks, sizes, bits, radius, k))
+        nearest = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("h"))).where(F.col("at") == k)
+        needed.append(nearest.agg(F.max("h")).first()[0] or 0)
+        tried.append(radius)
+        return found
+
+    monkeypatch.setattr(hashing, "probe", noted)
+    x = np.random.default_rng(11).normal(size=(6000, 16))
+    rows = [(i, [float(c) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2)
+    want = brute_nearest(rows, 2)
+    assert set(got) == set(want) and all(len(v) == 2 for v in got.values())
+    assert np.mean([i in [j for _, j in got[q]] for q, found in want.items() for _, i in found]) >= 0.9
+    assert max(tried) <= hashing.reach(max(needed)) + 20, (tried, needed)
+
+
+def test_the_radius_is_that_of_the_other_codes():
+    """A query's own code in the sample doesn't make the radius small; equal codes do, and no sample leaves all codes."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 63, size=(1000, hashing.PARTS)).astype(np.uint64) << np.uint64(1)
+    for n in (10**4, 10**5, 10**6, 10**7):  # 504 bits differ or not, by chance
+        kth = NormalDist(252, 504**0.5 / 2).inv_cdf(21 / n)
+        assert abs(hashing.likely_radius(codes[:100], codes, n, 20) - hashing.reach(kth)) <= 6
+    radius, steps = hashing.likely_radius(codes[:100], codes, 10**6, 20), []
+    while radius < hashing.BITS:
+        steps.append(radius)
+        radius = hashing.wider_radius(codes[:100], codes, 10**6, 20, radius)
+    assert steps == sorted(set(steps)) and 3 <= len(steps) <= 5
+    same = np.repeat(codes[:1], 50, axis=0)
+    assert hashing.likely_radius(same, same, 1000, 5) == 0 and hashing.wider_radius(same, same, 1000, 5, 0) == hashing.BITS
+    assert hashing.likely_radius(codes[:1], codes[:1], 10, 2) == hashing.likely_radius(codes, codes, 10, 20) == hashing.BITS
+
+
+def test_pairs_are_handed_on_in_pieces(monkeypatch):
+    """Whatever the radius, a piece is bounded; no pair within a query's own radius that may count is lost."""
+    monkeypatch.setattr(hashing, "HELD", 2000)
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 63, size=(700, hashing.PARTS)).astype(np.uint64)
+    apart = np.bitwise_count(codes[:300, None] ^ codes[None]).sum(2)
+    entries, own = hashing.packed(np.arange(700), codes), rng.integers(0, hashing.BITS + 1, size=300)
+    queries = [e + int(r).to_bytes(2, "big") for e, r in zip(entries, own)]
+    pieces = list(hashing.pairs_of([(0, queries, entries[:400]), (0, queries, entries[400:])], hashing.BITS, 700))
+    assert max(len(x) for x, _, _ in pieces) <= 2000 + hashing.SLICE * 400
+    found = [x for piece in pieces for x in zip(*(c.tolist() for c in piece))]
+    assert len(found) == len(set(found)) and set(found) == {(i, j, apart[i, j]) for i, j in zip(*np.nonzero(apart <= own[:, None]))}
+
+
+def test_queries_ask_up_to_their_own_radius(spark):
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 1 << 63, size=(200, hashing.PARTS)).astype(np.uint64)
+    rows = spark.createDataFrame(list(zip(range(200), hashing.packed(np.arange(200), codes))), "row long, e binary")
+    blocks, sizes, bits = hashing.index(rows, 200)
+    todo = rows.where("row < 30").withColumn("own", (230 + F.col("row")).cast("int"))
+    got = {(r["query"], r["row"]) for r in hashing.probe(todo, blocks, sizes, bits, 250, 200).collect()}
+    apart = np.bitwise_count(codes[:30, None] ^ codes[None]).sum(2)
+    assert got == {(i, j) for i, j in zip(*np.nonzero(apart <= np.minimum(230 + np.arange(30), 250)[:, None]))}
+
+
 MATRICES = {
     "plain": lambda rng: rng.normal(size=(200, 24)),
     "graded": lambda rng: rng.normal(size=(200, 24)) * np.logspace(0, -7, 24),
