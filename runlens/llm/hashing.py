@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -45,6 +46,7 @@ BITS, PARTS, SAMPLE, BLOCK, GROUP, DEVIATIONS = 512, 8, 4096, 8192, 8192, 2.0
 WORD = BITS // PARTS  # bits of a substring, one machine word
 PREFIX = 12  # leading bits of a cell, at most
 SLICE = 32  # queries compared at once with a block
+ASKED = 8 << 20  # bytes of query vectors that are broadcast at once
 HELD = 400_000  # pairs that a task holds before it hands them on
 WIDER = 16  # times as many codes in the next round, for queries that found too few
 TAIL = 8  # rank in the sample from which smaller ranks are carried on
@@ -276,8 +278,8 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
         scale = np.abs(x).max(1)
         return pd.Series(scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1)))
 
-    n, width, most = rows.select(useful.alias("useful"), F.size("v").alias("size"), norm("v").alias("norm")).agg(
-        F.count_if("useful"), F.max("size"), F.max("norm")
+    n, width, most, n_asked = rows.select(useful.alias("useful"), F.size("v").alias("size"), norm("v").alias("norm"), "q").agg(
+        F.count_if("useful"), F.max("size"), F.max("norm"), F.count_if("q")
     ).first()
     if not n:
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
@@ -321,9 +323,19 @@ def search(data: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series((stacked(a, width, np.float64) * stacked(b, width, np.float64)).sum(1))
 
+    def ranked(scored: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # pairs are dealt by row only; the vectors of queries come to them in shares of bounded size, so no pair carries a vector
+    # through a shuffle
+    shares = max(1, -(-n_asked * width * 8 // ASKED))
     asking = rows.where("q").select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("asked"))
-    scored = pairs.join(rows.where(useful).select("row", F.col("id").alias("vec_id"), "v"), "row").join(asking, "query")
-    scored = scored.where(~F.col("vec_id").eqNullSafe(F.col("query_id"))).select("query_id", "vec_id", product("asked", "v").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    given = rows.where(useful).select("row", F.col("id").alias("vec_id"), "v")
+    found = []
+    for i in range(shares):
+        share = F.pmod(F.xxhash64("query"), F.lit(shares)) == i
+        scored = pairs.where(share).join(given, "row").join(F.broadcast(asking.where(share)), "query")
+        scored = scored.where(~F.col("vec_id").eqNullSafe(F.col("query_id"))).select("query_id", "vec_id", product("asked", "v").alias("score"))
+        found.append(ranked(scored) if shares == 1 else materialise(ranked(scored), "ranked"))
+    return found[0] if shares == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"))

@@ -184,6 +184,20 @@ def test_cells_and_blocks_lose_no_code(spark, monkeypatch):
         assert {(i, j) for i, j in zip(*np.nonzero(apart <= limit[:, None]))} <= few <= set(got)
 
 
+def test_shares_of_queries_give_the_same_lists(spark, vectors, monkeypatch):
+    """Queries in several shares, also those of one id: the same lists as at once. No vector of a pair is dealt by query."""
+    rng = np.random.default_rng(12)
+    rows = [(i % 150 or None, [float(c) for c in rng.normal(size=5)]) for i in range(400)]
+    find = lambda: hashing.search(vectors(rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 7)
+    once = find()
+    dealt = [x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(query#" in x]
+    assert not any("asked#" in x for x in dealt)
+    want = {(r["query_id"], r["rank"]): r for r in once.collect()}
+    monkeypatch.setattr(hashing, "ASKED", 5 * 8 * 3)
+    got = {(r["query_id"], r["rank"]): r for r in find().collect()}
+    assert len(want) == 49 and got == want
+
+
 def test_probing_meets_few_codes_of_a_large_table(spark, monkeypatch):
     """The sample is far smaller than the table: no round goes much beyond the radii that the queries need."""
     monkeypatch.setattr(hashing, "SAMPLE", 128)
